@@ -150,7 +150,7 @@ class ByteGRU:
             owners.clear()
             lanes.clear()
 
-        for i, t in enumerate(texts):
+        for i, t in enumerate(texts if self.labels else []):
             for at in range(0, lengths[i], WINDOW):
                 part = np.frombuffer(t, np.uint8, min(WINDOW, lengths[i] - at), at).astype(np.intp)
                 if len(part) < WINDOW:
@@ -162,7 +162,7 @@ class ByteGRU:
         if lanes:
             flush()
         sums /= np.maximum(lengths, 1)[:, None]
-        best = sums.argmax(axis=1) if len(texts) else []
+        best = sums.argmax(axis=1) if len(texts) and self.labels else []
         names, scores = [], []
         for i, t in enumerate(texts):
             if not has_letter(t) or not self.labels:
