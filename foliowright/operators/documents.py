@@ -22,6 +22,13 @@ def _arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows over all cores where the input has fewer partitions than that (one small file, say);
+    a large input has more and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False) -> DataFrame:
     """One row per segment, ids s1..sN in document order; a null or blank document yields none.
 

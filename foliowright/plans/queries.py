@@ -62,6 +62,7 @@ def judgements(spark, d):
 def document_round_trip(spark, d):
     """Extract, pseudo-translate, check and splice every document, with a report per language."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
+    docs = D.spread(docs)
     seg = D.extract_segments(docs)
     out = T.translate(seg, ["fr", "sv"], T.Pseudo())
     memory = out.where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
