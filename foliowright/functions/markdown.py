@@ -11,6 +11,8 @@ import hashlib
 import re
 from dataclasses import dataclass
 
+from . import code_comments
+
 # Front matter keys with prose, and elements whose content is never translated.
 PROSE_KEYS = frozenset("title description summary subtitle excerpt abstract sidebar_label caption alt label heading tagline lead keywords".split())
 NO_TRANSLATE = frozenset("script style pre code kbd samp var textarea svg math template noscript iframe object embed".split())
@@ -38,6 +40,7 @@ _DIRECTIVE = re.compile(r"^ {0,3}:{2,}.*$|^\s*\{\{[<%].*[%>]\}\}\s*$|^\s*\[![A-Z
 _TABLE_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
 _KEY = re.compile(r"^([ \t]*(?:- )?)([A-Za-z_][\w-]*):[ \t]+(.*?)[ \t]*$")
+_BLOCK_SCALAR = re.compile(r"[|>][-+\d]{0,2}(?:\s+#.*)?$")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,8 +52,15 @@ def _front_matter(lines: list[tuple[int, str]]) -> tuple[int, list[Segment]]:
     if end is None:
         return 0, []
     found = []
+    block = None  # key and indent of the block scalar that is being read
     for at, line in lines[1:end]:
+        indent = len(line) - len(line.lstrip())
+        if block and (indent > block[1] or not line.strip()):
+            if block[0] in PROSE_KEYS and _LETTER.search(line):
+                found.append(Segment("frontmatter", at + indent, at + len(line.rstrip()), block[0]))
+            continue
         m = _KEY.match(line)
+        block = (m[2], len(m[1])) if m and _BLOCK_SCALAR.match(m[3]) else None
         if not m or m[2] not in PROSE_KEYS or not _LETTER.search(m[3]) or m[3][0] in "[{|>&*!":
             continue
         a, b = m.span(3)
@@ -74,8 +84,8 @@ def _cells(at: int, line: str) -> list[Segment]:
     return out
 
 
-def segments(text: str, front_matter: bool = True) -> list[Segment]:
-    """Segments in document order; they never overlap."""
+def segments(text: str, front_matter: bool = True, comments: bool = True, docstrings: bool = True) -> list[Segment]:
+    """Segments in document order; they never overlap. Comments and docstrings are those of fenced code."""
     shift = 1 if text.startswith("﻿") else 0
     lines, at = [], shift
     for raw in text[shift:].splitlines(keepends=True) if "\r\n" not in text else re.findall(r"[^\n]*\n|[^\n]+$", text[shift:]):
@@ -104,11 +114,19 @@ def segments(text: str, front_matter: bool = True) -> list[Segment]:
         if m := _FENCE.match(body):
             close()
             mark, i = m[1], i + 1
+            first = i
             while i < len(lines):
                 rest = lines[i][1][inner:] if inner and lines[i][1].lstrip().startswith(">") else lines[i][1]
                 i += 1
                 if re.match(rf"^\s*{re.escape(mark[0])}{{{len(mark)},}}\s*$", rest):
                     break
+            else:
+                first = i  # no end: all the rest of the document stays as it is
+            name = code_comments.language(m[2])
+            if name and first < i - 1 and not inner:
+                a, b = lines[first][0], lines[i - 1][0]
+                for x, y, kind in code_comments.prose(name, text[a:b], comments, docstrings):
+                    out.append(Segment("comment", a + x, a + y, f"{name} {kind}"))
             continue
         if not body.strip() or _DIRECTIVE.match(body) or _DEFINITION.match(body) and not _NOTE.match(body) and not open_:
             close()
@@ -160,11 +178,14 @@ def skeleton(text: str) -> list[str]:
     """One signature a block: kinds, heading depths and hashes of what must not change."""
     out, at = [], 0
     for s in segments(text):
-        gap = text[at : s.start]
+        a, b = s.start, s.end
+        if s.kind == "frontmatter" and text[a - 1 : a] in ("'", '"') and text[b : b + 1] == text[a - 1 : a]:
+            a, b = a - 1, b + 1  # a value's quotes may change
+        gap = text[at:a]
         if gap.strip():
             out.append("raw:" + hashlib.sha256(gap.strip().encode("utf-8", "surrogatepass")).hexdigest()[:12])
         out.append(s.kind)
-        at = s.end
+        at = b
     if text[at:].strip():
         out.append("raw:" + hashlib.sha256(text[at:].strip().encode("utf-8", "surrogatepass")).hexdigest()[:12])
     return out

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markdown, masking
+from ..functions import anchors as heading_anchors
+from ..functions import code_comments, markdown, masking
 from ..functions.protect import find_protected
 
 SEGMENTS = (
@@ -72,16 +73,17 @@ def rule_matches(text: Column, rule: str) -> Column:
     return F.regexp_extract_all(text, F.lit(jvm_pattern(rule)), F.lit(0))
 
 
-def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str = "doc", content: str = "content") -> DataFrame:
-    """doc, lang, text, reverted, identical, error: translations spliced into their documents.
+def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str = "doc", content: str = "content", anchors: bool = False) -> DataFrame:
+    """doc, lang, text, reverted, anchors, identical, error: translations spliced into their documents.
 
     memory (doc, lang, seg_id, text) holds masked translations. A translation whose tags don't fit is
     left out; if the structure differs, translations are withdrawn one by one from the front until it
     is the source's, at worst all of them. Work of a document stays in one task; documents are
-    spread by (doc, lang), and only segments with a translation travel.
+    spread by (doc, lang), and only segments with a translation travel. With ``anchors``, headings get an
+    empty anchor of their old slug where the translation changes it.
     """
-    picked = segments.select("doc", "seg_id", "start", "end", "singles", "pairs").join(memory, ["doc", "seg_id"])
-    per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "text", "singles", "pairs")).alias("parts"))
+    picked = segments.select("doc", "seg_id", "kind", "start", "end", "singles", "pairs").join(memory, ["doc", "seg_id"])
+    per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "singles", "pairs")).alias("parts"))
     full = docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).join(per, "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,12 +92,13 @@ def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str =
             for d, lang, source, parts in zip(b["doc"], b["lang"], b["content"], b["parts"], strict=True):
                 try:
                     text, reverted = splice(source, parts)
-                    rows.append((d, lang, text, reverted, text == source, None))
+                    text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
+                    rows.append((d, lang, text, reverted, added, text == source, None))
                 except Exception as e:  # a document that can't be assembled stays as it is
-                    rows.append((d, lang, source, [], True, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc", "lang", "text", "reverted", "identical", "error"])
+                    rows.append((d, lang, source, [], [], True, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc", "lang", "text", "reverted", "anchors", "identical", "error"])
 
-    return full.select("doc", "lang", "content", "parts").mapInPandas(run, "doc string, lang string, text string, reverted array<string>, identical boolean, error string")
+    return full.select("doc", "lang", "content", "parts").mapInPandas(run, "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string")
 
 
 def splice(source: str, parts) -> tuple[str, list[str]]:
@@ -106,7 +109,12 @@ def splice(source: str, parts) -> tuple[str, list[str]]:
         if masking.check_tags(set(singles), set(pairs), p["text"]):
             reverted.append(p["seg_id"])
             continue
-        made = masking.render_escape(masking.unmask(p["text"], singles, pairs), source[p["start"] : p["end"]])
+        made, old = masking.unmask(p["text"], singles, pairs), source[p["start"] : p["end"]]
+        kind = p["kind"] if "kind" in p else "paragraph"
+        if made != old and kind == "frontmatter":
+            made = masking.render_yaml(made, source, p["start"])
+        elif kind not in ("frontmatter", "comment"):
+            made = masking.render_escape(made, old)
         todo.append((p["start"], p["end"], made, p["seg_id"]))
 
     def build(items):
@@ -135,3 +143,37 @@ def map_column(df: DataFrame, source: str, target: str, fn: Callable[[str], obje
         return s.map(lambda v: None if v is None else fn(v))
 
     return df.withColumn(target, apply(F.col(source)))
+
+
+def comment_prose(df: DataFrame, keys: list[str], language: Column | str, code: str = "code") -> DataFrame:
+    """keys, start, end, kind, prose of every line of prose in comments and docstrings of code.
+
+    Code of an unknown or null language yields no rows, nor does null code. One narrow Python stage.
+    """
+    picked = df.select(*keys, (F.col(language) if isinstance(language, str) else language).alias("__l"), F.col(code).alias("__c"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            code_, lang = b.pop("__c"), b.pop("__l")
+            found = [[(*s, c[s[0] : s[1]]) for s in code_comments.prose(code_comments.language(n), c)] if isinstance(c, str) and isinstance(n, str) else [] for n, c in zip(lang, code_, strict=True)]
+            at = [i for i, spans in enumerate(found) for _ in spans]
+            flat = pd.DataFrame([s for spans in found for s in spans], columns=["start", "end", "kind", "prose"])
+            yield pd.concat([b.iloc[at].reset_index(drop=True), flat], axis=1)
+
+    return picked.mapInPandas(run, f"{fields}, start int, end int, kind string, prose string")
+
+
+def heading_slugs(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, seq, heading, slug, own_id of every heading with letters; null text has none."""
+    picked = df.select(*keys, F.col(text).alias("__t"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [[(i, *h[1:]) for i, h in enumerate(heading_anchors.headings(t))] if isinstance(t, str) else [] for t in b.pop("__t")]
+            at = [i for i, hs in enumerate(found) for _ in hs]
+            flat = pd.DataFrame([h for hs in found for h in hs], columns=["seq", "heading", "slug", "own_id"])
+            yield pd.concat([b.iloc[at].reset_index(drop=True), flat], axis=1)
+
+    return picked.mapInPandas(run, f"{fields}, seq int, heading string, slug string, own_id boolean")

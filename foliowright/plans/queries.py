@@ -119,6 +119,46 @@ _rule("hostport", "documents", "doc_id", "text", r"\b(?:localhost|127\.0\.0\.1|0
 _rule("call", "documents", "doc_id", "text", r"\b[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*\(\)")
 
 
+_COMMENTED = r"""
+SELECT d.doc_id, count(*) AS comments, sum(len(w))::BIGINT AS chars FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents
+) d GROUP BY d.doc_id
+"""
+
+
+@register(_COMMENTED)
+def code_comment_prose(spark, d):
+    """Comments of C-like code, one word a comment, between strings that look like comments."""
+    docs = _t(spark, d, "documents")
+    lines = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.concat(F.lit('f("// no"); // '), w))
+    found = D.comment_prose(docs.select("doc_id", F.array_join(lines, "\n").alias("code")), ["doc_id"], F.lit("js"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("comments"), F.sum(F.length("prose")).alias("chars"))
+
+
+@register(r"""
+WITH h AS (SELECT doc_id, lang, source, replace(regexp_replace(lower(concat(lang, ' & ', source, '!')), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') AS s FROM documents)
+SELECT source, doc_id, s || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END AS slug
+FROM (SELECT *, row_number() OVER (PARTITION BY source, s ORDER BY doc_id) AS n FROM h WHERE lang IS NOT NULL AND source IS NOT NULL)
+""")
+def heading_slug_numbers(spark, d):
+    """Slugs of headings; repeated ones in a file are numbered in order."""
+    h = _t(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    h = h.select("source", "doc_id", S.slug(F.concat("lang", F.lit(" & "), "source", F.lit("!"))).alias("s"))
+    n = F.row_number().over(W.Window.partitionBy("source", "s").orderBy("doc_id"))
+    return h.select("source", "doc_id", F.concat("s", F.when(n > 1, F.concat(F.lit("-"), (n - 1).cast("string"))).otherwise("")).alias("slug"))
+
+
+@register()
+def assemble_with_anchors(spark, d):
+    """Translated headings keep an anchor of their old slug."""
+    text = F.concat(F.lit("# About "), F.col("source"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    docs = D.spread(_t(spark, d, "documents").where("source IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc"), text.alias("content")))
+    seg = D.extract_segments(docs)
+    memory = T.translate(seg.where("kind = 'heading'"), ["fr"], T.Pseudo()).where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
+    made = D.assemble(docs, seg, memory, anchors=True)
+    return made.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("anchors")).alias("anchors"), F.sum(F.size("reverted")).alias("reverted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
 # ---- scalars
 
 
