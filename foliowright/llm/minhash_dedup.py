@@ -100,6 +100,8 @@ def _branch(members: DataFrame, reps: DataFrame) -> DataFrame:
     """Children (node, rep) of the nodes' documents, by the positions that each node picks."""
     at_most = int((1 << 20) / (LAMBDA * POSITIONS))
     picks = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda p: F.pmod(F.xxhash64("node", p), F.lit(1 << 20)) < at_most)
+    # a node that would pick nothing picks one position, so that no pair is lost to an empty draw
+    picks = F.when(F.size(picks) > 0, picks).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit("one")), F.lit(POSITIONS)).cast("int")))
     rows = members.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", F.explode(picks).alias("p"))
     return rows.select(F.xxhash64("node", "p", F.get("sig", F.col("p"))).alias("node"), "rep")
 

@@ -147,6 +147,16 @@ def test_minhash_large_groups_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
 
 
+def test_every_node_branches(spark):
+    """No node draws an empty set of positions, and equal signatures stay together."""
+    reps = spark.createDataFrame([(r, [7 * k for k in range(minhash_dedup.POSITIONS)]) for r in (1, 2)], "rep long, sig array<int>")
+    members = spark.range(300).select(F.col("id").alias("node"), F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("rep"))
+    got = {}
+    for r in minhash_dedup._branch(members, reps).collect():
+        got.setdefault(r["rep"], set()).add(r["node"])
+    assert got[1] == got[2] and len(got[1]) >= 300
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
