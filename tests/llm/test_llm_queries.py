@@ -150,7 +150,7 @@ def test_minhash_large_groups_in_blocks(spark, monkeypatch):
 def test_every_node_branches(spark):
     """No node draws an empty set of positions, and equal signatures stay together."""
     reps = spark.createDataFrame([(r, [7 * k for k in range(minhash_dedup.POSITIONS)]) for r in (1, 2)], "rep long, sig array<int>")
-    members = spark.range(300).select(F.col("id").alias("node"), F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("rep"))
+    members = spark.range(300).select(F.col("id").alias("node"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("rep"))
     got = {}
     for r in minhash_dedup._branch(members, reps).collect():
         got.setdefault(r["rep"], set()).add(r["node"])
