@@ -5,12 +5,15 @@ corpus hold them, rarest first. A block B contains a template T when |B and T| >
 alpha = ceil(threshold * |T|). Any such pair shares a token inside the first |T| - alpha + 1 tokens
 of T and inside the first |B| - alpha + 1 of B (prefix filter), B has at least alpha tokens (length
 filter), and what is left behind the shared position still reaches alpha (positional filter).
-Survivors are verified on full sets, so the join is exact. A block is a line of the text.
+Survivors are verified on full sets, so the join is exact. Blocks are all windows of the whole text's
+words, over line ends, of at most SPREAD times the template's words. A text whose own set does not
+contain T has no such window; in the others only windows that hold one of T's prefix tokens are read.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +44,7 @@ TEMPLATES = (
     ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission"),
 )
 THRESHOLD = 0.8
+SPREAD = 1.5  # words of a block for each word of the template: room for inserted words, not for a whole text
 
 #: Bytes of words lower-cased; all other ASCII becomes a blank. Bytes from 0x80 belong to words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -56,14 +60,17 @@ class TemplateIndex:
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
         self.sets = [frozenset(words(t.encode())) for _, t in templates]
         self.labels = [label for label, _ in templates]
+        self.width = [math.ceil(SPREAD * len(words(t.encode()))) for _, t in templates]
         vocabulary = frozenset().union(*self.sets) if self.sets else frozenset()
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.vocabulary = vocabulary
         self.alpha = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.index: dict[bytes, list[tuple[int, int]]] = {}
+        self.rare: list[list[bytes]] = []
         for t, s in enumerate(self.sets):
             ordered = sorted(s, key=self.rank.__getitem__)
-            for i, w in enumerate(ordered[: len(s) - self.alpha[t] + 1]):
+            self.rare.append(ordered[: len(s) - self.alpha[t] + 1])
+            for i, w in enumerate(self.rare[t]):
                 self.index.setdefault(w, []).append((t, i))
         self.prefix = frozenset(self.index)
 
@@ -86,6 +93,69 @@ class TemplateIndex:
                 out.append((t, shared / len(self.sets[t])))
         return out
 
+    def blocks(self, ws: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, containment) of the blocks of a text, without overlap in a template.
+
+        Of overlapping windows of one template the fullest counts, the first of equals.
+        """
+        held = self.contained(ws)
+        if not held:
+            return []
+        places: dict[bytes, list[int]] = {}
+        for i, w in enumerate(ws):
+            if w in self.vocabulary:
+                places.setdefault(w, []).append(i)
+        out = []
+        for t, _ in held:
+            wide = self.width[t]
+            near: list[list[int]] = []  # [first, last] words of the stretches around prefix tokens
+            for p in sorted(p for w in self.rare[t] for p in places.get(w, ())):
+                if near and p - wide < near[-1][1]:
+                    near[-1][1] = p + wide - 1
+                else:
+                    near.append([p - wide + 1, p + wide - 1])
+            at = sorted((p, w) for w in self.sets[t] for p in places.get(w, ()))
+            for first, last in near:
+                part = at[bisect_left(at, (first,)) : bisect_left(at, (last + 1,))]
+                if len(part) >= self.alpha[t]:
+                    out += [(t, a, b, n / len(self.sets[t])) for a, b, n in self._fullest(part, t)]
+        return out
+
+    def _fullest(self, part: list[tuple[int, bytes]], t: int) -> Iterator[tuple[int, int, int]]:
+        """(first word, last word, shared tokens) from a template's token places in order."""
+        alpha, wide = self.alpha[t], self.width[t]
+        k = 0
+        best: tuple[int, int, int] | None = None
+        last: dict[bytes, int] = {}  # last place of every token inside the window, oldest first
+        while k < len(part) or best:
+            if best and (k == len(part) or part[k][0] - wide >= best[1]):
+                yield best
+                # go on behind the block
+                k, best = bisect_left(part, (best[1] + 1,)), None
+                last.clear()
+                continue
+            p, w = part[k]
+            k += 1
+            last.pop(w, None)
+            last[w] = p
+            while (old := next(iter(last))) and last[old] <= p - wide:
+                del last[old]
+            n = len(last)
+            if n >= alpha and (best is None or (n > best[2] and next(iter(last.values())) <= best[1])):
+                best = (next(iter(last.values())), p, n)
+
+
+def fullest(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float, bool]]:
+    """The blocks in order of their first word, each with whether no fuller one overlaps it."""
+    found = sorted(found, key=lambda x: (x[1], x[2], x[0]))
+    widest = max((b - a for _, a, b, _ in found), default=0)
+    starts = [a for _, a, _, _ in found]
+    out = []
+    for t, a, b, c in found:
+        close = found[bisect_left(starts, a - widest) : bisect_left(starts, b + 1)]
+        out.append((t, a, b, c, all(x[3] <= c or x[2] < a for x in close)))
+    return out
+
 
 def phrase_places(ws: list[bytes], phrases) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase's words stand consecutively."""
@@ -123,11 +193,11 @@ def token_frequency(docs: DataFrame, templates=TEMPLATES, text: str = "text") ->
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, places (word, label) and matches (template, label, line, containment, best) per
-    document; best marks the fullest of a line's matches, which names the license.
+    """doc_id, n_words, places (word, label) and matches (template, label, first and last word,
+    containment, best) per document; best marks a match that no fuller one overlaps: it names the license.
 
     A null text is an empty text: no words, places or matches. Repeated rows each give a row; a null
-    id is carried. Every line is compared with every template through the index; nothing is capped.
+    id is carried. Every window is compared with every template through the index; nothing is capped.
     """
     index = TemplateIndex(templates, token_frequency(docs, templates, text), threshold)
 
@@ -137,16 +207,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
             ws = words(raw or b"")
             n_words.append(len(ws))
             places.append([{"word": i, "label": x} for i, x in phrase_places(ws, phrases)])
-            found = []
-            if not index.prefix.isdisjoint(ws):
-                for k, line in enumerate(raw.split(b"\n")):
-                    got = index.contained(words(line))
-                    top = max((c for _, c in got), default=0.0)
-                    found += [{"template": t, "label": index.labels[t], "line": k, "containment": c, "best": c == top} for t, c in got]
-            matches.append(found)
+            got = fullest(index.blocks(ws))
+            matches.append([{"template": t, "label": index.labels[t], "first": a, "last": b, "containment": c, "best": best} for t, a, b, c, best in got])
         return [n_words, places, matches]
 
-    fields = "n_words bigint, places array<struct<word:bigint,label:string>>, matches array<struct<template:int,label:string,line:int,containment:double,best:boolean>>"
+    fields = "n_words bigint, places array<struct<word:bigint,label:string>>, matches array<struct<template:int,label:string,first:bigint,last:bigint,containment:double,best:boolean>>"
     return map_texts(docs, {"doc_id": F.col(doc_id)}, fields, scan, text)
 
 

@@ -1,6 +1,7 @@
 """Every operator over awkward tables: nulls, empty and long texts, ties, repeated rows, clashing extra columns, no rows."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -49,6 +50,20 @@ def test_license_scan(docs, none):
     assert license_scan.digest(license_scan.license_scan(none)).count() == 0
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    """Every long template is found when its notice is wrapped, also behind comment marks, and twice when it stands twice."""
+    long = [(label, t) for label, t in license_scan.TEMPLATES if len(t) > 72]
+    assert {"mit", "bsd", "isc", "gpl", "mpl"} <= {label for label, _ in long}
+    made = [f"int a;\n{lead}" + f"\n{lead}".join(textwrap.wrap(t, 72 - len(lead))) + "\nint b;" for lead in ("", " * ") for _, t in long]
+    rows = [*enumerate(made), (90, made[0] + "\n" + made[0]), (91, "int a;\n" * 9)]
+    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i in range(len(made)):
+        label = long[i % len(long)][0]
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 and got[i]["n_blocks"] >= 1
+    assert (got[90]["labels"], got[90]["n_blocks"], got[90]["score"]) == ("mit", 2, 1.0)
+    assert (got[91]["labels"], got[91]["n_blocks"], got[91]["score"]) == ("", 0, 0.0)
+
+
 def test_token_counts(docs, none):
     path = public_tokenizers.path(token_count.VOCABULARY)
     got = token_count.token_counts(docs, path).collect()

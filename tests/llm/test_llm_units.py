@@ -92,6 +92,28 @@ def test_template_join_against_brute_force():
         assert index.contained(block) == want
 
 
+def test_license_blocks_against_brute_force():
+    """Every template that some window of the text contains, at the highest containment of any window."""
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, {}, 0.8)
+    rng = random.Random(4)
+    notices = [license_scan.words(t.encode()) for _, t in license_scan.TEMPLATES]
+    for _ in range(300):
+        ws = []
+        for _ in range(rng.randint(1, 4)):
+            ws += [rng.choice([b"foo", b"the", b"under"]) for _ in range(rng.randint(0, 15))]
+            ws += [w for w in rng.choice(notices) if rng.random() < 0.9]
+        got = {}
+        for t, a, b, c in index.blocks(ws):
+            assert b - a < index.width[t] and c == len(index.sets[t] & set(ws[a : b + 1])) / len(index.sets[t])
+            got.setdefault(t, []).append((a, b, c))
+        for t, s in enumerate(index.sets):
+            most = max(len(s & set(ws[i : i + index.width[t]])) for i in range(len(ws) + 1))
+            assert (t in got) == (most >= index.alpha[t])
+            if t in got:
+                spans = sorted(got[t])
+                assert max(c for *_, c in spans) == most / len(s) and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
 def test_pack_fills_shards_evenly():
     rng = np.random.default_rng(0)
     items = rng.random((4000, 3)) ** 4
