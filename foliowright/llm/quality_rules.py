@@ -19,6 +19,7 @@ from .common import CONTINUATION, load, map_texts, materialize
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 KEEP_AT = 0.5
+STRETCH = 1000  # words over which distinct ones are counted
 #: Rules: name, figure, lowest, highest, vote inside that range (2 good, 0 bad); outside it a rule abstains.
 #: The figures are shares of words, lines or characters.
 RULES = (
@@ -55,8 +56,22 @@ def repeated_words(ws: list[bytes]) -> int:
     return n
 
 
+def same_share(ws: list[bytes]) -> float:
+    """Share of words that repeat an earlier one: of the whole text, or the mean over stretches of STRETCH words.
+
+    A longer text's stretches are as few as cover it, evenly spread, so that its length alone does not
+    move the figure and one word more than STRETCH hardly does.
+    """
+    n = len(ws)
+    if n <= STRETCH:
+        return 1 - len(set(ws)) / n if n else 1.0
+    k = -(-n // STRETCH)
+    starts = [i * (n - STRETCH) // (k - 1) for i in range(k)]
+    return 1 - sum(len(set(ws[a : a + STRETCH])) for a in starts) / (k * STRETCH)
+
+
 def counts(raw: bytes | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper letters, marks, distinct words)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper letters, marks, share of repeated words)."""
     raw = raw or b""
     ws = raw.split()
     joined = b"".join(ws)
@@ -70,7 +85,7 @@ def counts(raw: bytes | None) -> tuple:
         repeated_words(ws),
         len(joined) - len(joined.translate(None, _UPPER)),
         len(joined.translate(None, _NOT_MARK)),
-        len(set(ws)),
+        same_share(ws),
     )
 
 
@@ -83,7 +98,7 @@ def votes() -> F.Column:
         "repeat_share": F.col("n_repeat_words") / words,
         "dup_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "upper_share": F.col("n_upper") / chars,
-        "same_share": F.when(F.col("n_words") <= 1000, 1 - F.col("n_distinct") / words).otherwise(0.0),
+        "same_share": F.col("same_share"),
         "mark_share": F.col("n_marks") / chars,
     }
     return F.concat(*[F.when((figures[f] >= lo) & (figures[f] <= hi), str(v)).otherwise("1") for _, f, lo, hi, v in RULES])
@@ -142,7 +157,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         rows = [(*counts(t), len([x for x in (t or b"").split(b"\n") if x and not x.isspace()])) for t in texts]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(9)]
 
-    fields = f"{COUNTS}, n_upper bigint, n_marks bigint, n_distinct bigint, n_lines bigint"
+    fields = f"{COUNTS}, n_upper bigint, n_marks bigint, same_share double, n_lines bigint"
     made = map_texts(docs, {"doc_id": F.col(doc_id)}, fields, run, text).withColumn("votes", votes())
     made = materialize(made, "quality-rules")
     patterns = {r["votes"]: r["count"] for r in made.groupBy("votes").count().collect()}

@@ -1,5 +1,6 @@
 """Every operator over awkward tables: nulls, empty and long texts, ties, repeated rows, clashing extra columns, no rows."""
 
+import random
 import re
 import textwrap
 import zlib
@@ -98,6 +99,15 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_few_distinct_votes_on_long_texts(spark):
+    rng = random.Random(3)
+    draw = lambda n, k: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    rows = [(n, draw(n, 150)) for n in (999, 1000, 1001, 1500, 12000)] + [(-n, draw(n, 5000)) for n in (999, 1001, 12000)]
+    at = next(i for i, r in enumerate(quality_rules.RULES) if r[0] == "few_distinct")
+    got = {r["doc_id"]: r["votes"][at] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "0" if i > 0 else "1" for i, _ in rows}
+
+
 def test_sharding(docs, none):
     got = sharding.shards(docs).collect()
     assert len(got) == len(_rows())

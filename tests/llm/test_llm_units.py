@@ -80,6 +80,20 @@ def test_repeated_words_against_brute_force():
         assert quality_rules.repeated_words(ws) == len(hit)
 
 
+def test_repeated_words_share_at_any_length():
+    """The share of shuffled words of a small vocabulary stays where the text passes 1,000 words, and far beyond."""
+    rng = random.Random(7)
+    few = [b"w%d" % rng.randrange(150) for _ in range(20000)]
+    many = [b"w%d" % rng.randrange(5000) for _ in range(20000)]
+    for n in (999, 1000, 1001, 1999, 2001, 20000):
+        assert quality_rules.same_share(few[:n]) == pytest.approx(0.85, abs=0.003)
+        assert quality_rules.same_share(many[:n]) < 0.2
+    assert quality_rules.same_share([b"a"] * 4 + [b"b"]) == pytest.approx(0.6)
+    # every word counts: repeats in any part of a long text move the figure
+    for at in (0, 700, 1500):
+        assert quality_rules.same_share(many[:at] + [b"x"] * 1000 + many[at:1500]) > quality_rules.same_share(many[:2500]) + 0.2
+
+
 def test_template_join_against_brute_force():
     freq = {}
     index = license_scan.TemplateIndex(license_scan.TEMPLATES, freq, 0.8)
