@@ -5,7 +5,8 @@ corpus hold them, rarest first. A block B contains a template T when |B and T| >
 alpha = ceil(threshold * |T|). Any such pair shares a token inside the first |T| - alpha + 1 tokens
 of T and inside the first |B| - alpha + 1 of B (prefix filter), B has at least alpha tokens (length
 filter), and what is left behind the shared position still reaches alpha (positional filter).
-Survivors are verified on full sets, so the join is exact. Blocks are all windows of the whole text's
+Survivors are verified on full sets, so the join is exact. What is shared must include the words that
+name T's license (NAMES): 'released under the license' is no MIT notice. Blocks are all windows of the whole text's
 words, over line ends, of at most SPREAD times the template's words. A text whose own set does not
 contain T has no such window; in the others only windows that hold one of T's prefix tokens are read.
 """
@@ -43,6 +44,8 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission"),
 )
+#: Words that tell one license from another. A block must hold those of every entry that its template holds.
+NAMES = ("mit license", "apache", "mozilla", "general", "lesser", "affero", "cc by", "nc", "sa", "creative commons attribution")
 THRESHOLD = 0.8
 SPREAD = 1.5  # words of a block for each word of the template: room for inserted words, not for a whole text
 
@@ -57,10 +60,12 @@ def words(raw: bytes) -> list[bytes]:
 class TemplateIndex:
     """Inverted index over the prefixes of the templates, in global frequency order."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates, frequency: dict[bytes, int], threshold: float, names: tuple[str, ...] = ()):
         self.sets = [frozenset(words(t.encode())) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.width = [math.ceil(SPREAD * len(words(t.encode()))) for _, t in templates]
+        entries = [frozenset(words(n.encode())) for n in names]
+        self.names = [frozenset().union(*(e for e in entries if e <= s)) for s in self.sets]
         vocabulary = frozenset().union(*self.sets) if self.sets else frozenset()
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         self.vocabulary = vocabulary
@@ -107,6 +112,8 @@ class TemplateIndex:
                 places.setdefault(w, []).append(i)
         out = []
         for t, _ in held:
+            if not self.names[t].issubset(places):
+                continue
             wide = self.width[t]
             near: list[list[int]] = []  # [first, last] words of the stretches around prefix tokens
             for p in sorted(p for w in self.rare[t] for p in places.get(w, ())):
@@ -123,7 +130,7 @@ class TemplateIndex:
 
     def _fullest(self, part: list[tuple[int, bytes]], t: int) -> Iterator[tuple[int, int, int]]:
         """(first word, last word, shared tokens) from a template's token places in order."""
-        alpha, wide = self.alpha[t], self.width[t]
+        alpha, wide, names = self.alpha[t], self.width[t], self.names[t]
         k = 0
         best: tuple[int, int, int] | None = None
         last: dict[bytes, int] = {}  # last place of every token inside the window, oldest first
@@ -141,7 +148,7 @@ class TemplateIndex:
             while (old := next(iter(last))) and last[old] <= p - wide:
                 del last[old]
             n = len(last)
-            if n >= alpha and (best is None or (n > best[2] and next(iter(last.values())) <= best[1])):
+            if n >= alpha and names <= last.keys() and (best is None or (n > best[2] and next(iter(last.values())) <= best[1])):
                 best = (next(iter(last.values())), p, n)
 
 
@@ -192,14 +199,14 @@ def token_frequency(docs: DataFrame, templates=TEMPLATES, text: str = "text") ->
     return {bytes(r["token"]): r["n"] for r in rows}
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, names=NAMES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, places (word, label) and matches (template, label, first and last word,
     containment, best) per document; best marks a match that no fuller one overlaps: it names the license.
 
     A null text is an empty text: no words, places or matches. Repeated rows each give a row; a null
     id is carried. Every window is compared with every template through the index; nothing is capped.
     """
-    index = TemplateIndex(templates, token_frequency(docs, templates, text), threshold)
+    index = TemplateIndex(templates, token_frequency(docs, templates, text), threshold, names)
 
     def scan(texts: list[bytes | None]) -> list[list]:
         n_words, places, matches = [], [], []

@@ -65,6 +65,26 @@ def test_license_notices_wrapped_over_lines(spark):
     assert (got[91]["labels"], got[91]["n_blocks"], got[91]["score"]) == ("", 0, 0.0)
 
 
+def test_license_names_and_one_line_texts(spark):
+    """A short notice needs the words that name its license, close together."""
+    far = " ".join(["word"] * 30)
+    rows = [
+        (1, "Released under the Apache License 2.0", "apache", 1.0),
+        (2, "Released under the BSD License", "", 0.0),
+        (3, f"They released a film {far} under {far} the rug without a license", "", 0.0),
+        (4, f"MIT {far} released {far} under the {far} license", "", 0.0),
+        (5, "Papers released by MIT under the old rule", "", 0.0),
+        (6, "Licensed under CC BY 4.0", "", 0.0),
+        (7, "Licensed under CC BY-SA 4.0", "cc-by-sa", 1.0),
+        (8, "Licensed under CC BY-NC 4.0", "cc-by-nc", 1.0),
+        (9, "This library is licensed under the GNU Lesser General Public License", "gpl,lgpl", 1.0),
+        (10, f"{far} This is released under the terms of the MIT License {far}", "mit", 1.0),
+        (11, "Released under MIT-style license", "mit", 0.8),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.digest(license_scan.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))).collect()}
+    assert got == {i: (labels, score) for i, _, labels, score in rows}
+
+
 def test_token_counts(docs, none):
     path = public_tokenizers.path(token_count.VOCABULARY)
     got = token_count.token_counts(docs, path).collect()
