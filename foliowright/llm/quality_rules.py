@@ -34,7 +34,13 @@ RULES = (
 )
 #: Bounds of the accuracies: a rule against a text fires seldom and for a reason, a rule for it says little.
 BOUNDS = {0: (0.85, 0.99), 2: (0.55, 0.70)}
-MOST_GOOD = 0.9
+#: Bounds of the share of good documents. At the least, a text that one rule speaks for and none against is kept
+#: (0.45 / 0.55 * 0.55 / 0.45 = 1); without it the share falls to nothing where most texts are bad.
+LEAST_GOOD, MOST_GOOD = 0.45, 0.9
+#: Rules whose lone vote rejects at any share and beside two votes for the text: above 0.98, as
+#: 0.9 / 0.1 * (0.70 / 0.30) ** 2 = 49 = 0.98 / 0.02. Good texts repeat lines or windows at times, so those two are not.
+STRONG = frozenset({"symbols", "marks", "shouting", "few_distinct"})
+STRONG_BOUNDS = (0.985, 0.99)
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 _UPPER = bytes(range(65, 91))
@@ -108,21 +114,21 @@ class VoteModel:
     """Accuracies of the rules by expectation-maximisation over pattern counts.
 
     A vote of rule r is right with probability acc[r]; an abstention says nothing. Accuracies start in
-    the middle of BOUNDS and stay inside; the share of good documents stays at MOST_GOOD or below.
-    Without bounds the likelihood is as high where rare rules are mere noise.
+    the middle of BOUNDS (STRONG_BOUNDS) and stay inside; the share of good documents stays between
+    LEAST_GOOD and MOST_GOOD. Without bounds the likelihood is as high where rare rules are mere noise.
     """
 
     def __init__(self, patterns: dict[str, int], rounds: int = 200, prior: float = 0.7):
         keys = sorted(patterns)
         self.prior = prior
-        low, high = (np.array([BOUNDS[v][i] for *_, v in RULES]) for i in (0, 1))
+        low, high = (np.array([(STRONG_BOUNDS if name in STRONG else BOUNDS[v])[i] for name, *_, v in RULES]) for i in (0, 1))
         self.acc = (low + high) / 2
         if keys:
             v = self._matrix(keys)
             w = np.array([patterns[k] for k in keys], float)
             for _ in range(rounds):
                 q = self._posterior(v)
-                old, self.prior = self.acc, float(np.clip((w * q).sum() / w.sum(), 0.05, MOST_GOOD))
+                old, self.prior = self.acc, float(np.clip((w * q).sum() / w.sum(), LEAST_GOOD, MOST_GOOD))
                 hit = (v > 0) * q[:, None] + (v < 0) * (1 - q)[:, None]
                 got, votes_ = (w[:, None] * hit).sum(0), (w[:, None] * (v != 0)).sum(0)
                 self.acc = np.clip((got + 1) / (votes_ + 2), low, high)
