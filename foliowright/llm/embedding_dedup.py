@@ -11,6 +11,7 @@ matrix products, counts links and emits one edge a vector, so no list of all pai
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,22 +88,30 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     """vec_id, n_links, component_id and kept for every row.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing, nor
-    does one of another length than the most frequent (the shortest of equals), nor one with a null id
-    (component null, kept). Repeated rows are linked with each other. All pairs at or above the
-    threshold count, whatever the size of their group.
+    does one with a null id (component null, kept). Vectors are joined once per length; those of unequal
+    lengths stay unlinked. Repeated rows are linked with each other. All pairs at or above the threshold
+    count, whatever the size of their group.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     fine = F.col("vec_id").isNotNull() & F.coalesce(F.forall("e", number) & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("ok", fine)
-    sizes = rows.where("ok").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("e") == dim))
+    sizes = rows.where("ok").groupBy(F.size("e").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row a length
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
+    if not sizes:
         return alone
-    classes = rows.where("ok").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    linked = [r["d"] for r in sizes]
+    rows = rows.withColumn("ok", F.col("ok") & F.size("e").isin(linked))
+    known = reduce(DataFrame.union, [_known(rows.where(F.col("ok") & (F.size("e") == d)), d, threshold) for d in linked])
+    rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"), F.lit(True))
+    out = rows.where("ok").join(known, "e").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.union(rest)
+
+
+def _known(rows: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """e, n_links and component_id of every distinct vector of one length."""
+    spark = rows.sparkSession
+    classes = rows.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     total = classes.count()
     k = min(MAX_PIVOTS, max(1, math.ceil(total / CELL)))
@@ -155,10 +164,7 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     links = tiles.groupBy("cid").agg(F.sum("links").alias("links"))
     found = connected_components(tiles.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")), "vectors")
     known = classes.join(links, "cid", "left").join(found, classes["rep"] == found["node"], "left")
-    known = known.select("e", (F.coalesce("links", "n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rest = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"), F.lit(True))
-    out = rows.where("ok").join(known, "e").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.union(rest)
+    return known.select("e", (F.coalesce("links", "n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -232,6 +232,26 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_each_length(spark):
+    """Two models' vectors in one table: every length is joined, unequal lengths never are."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim, n in ((6, 40), (3, 20), (1, 2), (9, 1)):
+        centre = rng.standard_normal((n // 4 + 1, dim))
+        rows += [(len(rows) + i, [float(v) for v in centre[i % len(centre)] + 0.1 * rng.standard_normal(dim)]) for i in range(n)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = [np.array(e) / np.linalg.norm(e) for _, e in rows]
+    near = {i: {j for j, _ in rows if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95} for i, _ in rows}
+    assert len(got) == len(rows) and sum(len(near[i]) - 1 for i in range(40, 60)) > 0
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            fresh = near[todo.pop()] - seen
+            seen |= fresh
+            todo += fresh
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near[i]) - 1, min(seen), min(seen) == i)
+
+
 def test_cells_keep_every_pair(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 20)
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
