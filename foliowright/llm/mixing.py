@@ -2,7 +2,8 @@
 
 A source's target divided by its size is the number of copies that each of its documents should get: the
 whole part is certain, the rest is the inclusion probability pi of one more copy. Documents are ranked by
-(u / (1 - u)) / (pi / (1 - pi)) with u a hash of the id, and the first of the ranking are taken until
+(u / (1 - u)) / (pi / (1 - pi)) with u a hash of the id; pi is the same for all documents of a source, so
+that within one this is the order of u. The first of the ranking are taken until
 the source's missing words are filled (the fixed size, in words). One more document of the source, the
 one whose size is nearest to the words still missing, completes the sample if that brings it nearer.
 """
