@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, connected_components, load, map_texts, materialize
@@ -81,8 +81,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (n + m - shared)
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), sig for every row, written once."""
+    """doc_id, h (hash of the text), n_shingles, key (of the set), sig for every row, written once."""
 
     def run(texts):
         n, keys, sigs = [], [], []
@@ -93,7 +98,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sigs.append(signature(s).view(np.int32) if len(s) else None)
         return [n, keys, sigs]
 
-    return materialize(map_texts(docs, {"doc_id": F.col(doc_id).cast("long")}, "n_shingles bigint, key binary, sig array<int>", run, text), "sets")
+    return materialize(map_texts(docs, {"doc_id": F.col(doc_id).cast("long"), "h": text_hash(text)}, "n_shingles bigint, key binary, sig array<int>", run, text), "sets")
 
 
 def _branch(members: DataFrame, reps: DataFrame) -> DataFrame:
@@ -233,12 +238,17 @@ def _confirmed(assigned: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component) of every set that more than one document shares or that has a link."""
+    """(key, component, group) of every set that more than one row shares or that has a link.
+
+    component is the least id of the linked sets, group tells apart components that share a least id.
+    """
     usable = sets.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    reps = usable.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    # a set is a node of its own, also where one id has several texts
+    reps = reps.select("key", "copies", "n", "sig", F.col("least.doc_id").alias("least"), F.col("least.h").alias("h"), F.monotonically_increasing_id().alias("rep"))
     reps = materialize(reps, "classes")
     found = connected_components(candidate_edges(reps), "candidates")
-    sized = reps.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n")).join(found, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("comp"))
+    sized = reps.select("rep", "n").join(found, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("comp"))
     members = materialize(sized, "members")
     loads = members.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("s"), *[F.min(F.struct(F.xxhash64("rep", F.lit(i)), "rep")).alias(f"p{i}") for i in range(PIVOTS)])
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
@@ -252,14 +262,18 @@ def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
     block = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
     assigned = dealt.select(bundle.alias("bundle"), "comp", block.alias("block"), "rep", F.col("rep").alias("label"), F.lit(False).alias("wander"), "blocks")
     assigned = assigned.withColumn("block", F.when(F.col("blocks") == 1, -1).otherwise(F.col("block"))).drop("blocks")
-    keys = dealt.select(F.col("rep").alias("__r"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("b")).join(keys, F.col("rep") == F.col("__r"), "left_semi").groupBy("rep").agg(F.first("b").alias("b"))
+    # the text of each set: its least document's, and of that one's texts the one that has this set
+    keys = reps.join(dealt.select("rep"), "rep", "left_semi").select("rep", "least", "h")
+    texts = docs.select(F.col(doc_id).cast("long").alias("least"), text_hash(text).alias("h"), F.col(text).cast("binary").alias("b"))
+    texts = texts.join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "b")
     linked = materialize(_confirmed(assigned, texts), "linked")
     big = dealt.where("blocks > 1").select("comp", "rep", "blocks", "own")
     if not big.isEmpty():
         linked = materialize(_across(linked, big, texts), "linked-across")
-    final = linked.groupBy("rep").agg(F.min("label").alias("component"))
-    return reps.join(final, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), "copies", "rep").where("copies > 1 OR component <> rep").select("key", "component")
+    final = linked.groupBy("rep").agg(F.min("label").alias("group"))
+    grouped = reps.join(final, "rep", "left").select("key", "least", "copies", F.coalesce("group", "rep").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
+    return grouped.join(least, "group").select("key", "component", "group")
 
 
 def _across(linked: DataFrame, big: DataFrame, texts: DataFrame) -> DataFrame:
@@ -285,18 +299,30 @@ def _across(linked: DataFrame, big: DataFrame, texts: DataFrame) -> DataFrame:
     return rest.select("comp", "rep", "label").union(now.select("comp", "rep", "label"))
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, h, n_shingles, component_id, group (null where nothing is linked or equal) and kept for every row."""
+    sets = _sets(docs, doc_id, text)
+    groups = components(sets, docs, doc_id, text)
+    out = sets.select("doc_id", "h", "n_shingles", "key").join(groups, "key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), "group").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def minhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Null, empty and wordless texts and rows without an id link with nothing (component: the own id;
-    kept, also where the id is null). Rows that share an id are one document. Equal sets share a
-    component at any number of copies.
+    kept, also where the id is null). Rows that share an id but not a set are linked each by its own
+    text. Equal sets share a component at any number of copies.
     """
-    sets = _sets(docs, doc_id, text)
-    groups = components(sets, docs, doc_id, text)
-    out = sets.select("doc_id", "n_shingles", "key").join(groups, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _rows(docs, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h) of one text of each group, and of every text that nothing is linked with or equal to; no null ids."""
+    kept = _rows(docs, doc_id, text).where("kept AND doc_id IS NOT NULL")
+    alone = kept.where("group IS NULL").select("doc_id", "h").distinct()
+    return kept.where("group IS NOT NULL").groupBy("doc_id", "group").agg(F.min("h").alias("h")).select("doc_id", "h").union(alone)
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -192,6 +192,21 @@ def test_minhash_large_groups_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
 
 
+def test_minhash_rows_that_share_an_id(spark):
+    """Each text of an id is linked by its own set; the pipeline drops only those that are equal or linked."""
+    import corpus_pipeline as P
+
+    text = lambda c, *new: " ".join([*(f"{c}{i}" for i in range(80)), *new])
+    rows = [(3, text("a")), (5, text("a", "x")), (5, text("b")), (5, text("c")), (9, text("b", "y")), (7, text("c", "z")), (8, text("d")), (8, text("e")), (8, text("e", "w")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = minhash_dedup.minhash_groups(docs).select("doc_id", "component_id", "kept").collect()
+    want = [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (9, 5, False), (7, 5, False), (8, 8, True), (8, 8, True), (8, 8, True), (None, None, True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    left = [(r["doc_id"], r["text"]) for r in P.stage_near_dedup(spark, docs, "").collect()]
+    assert len(left) == len(set(left)) == 6
+    assert {rows[0], rows[2], rows[3], rows[6], rows[9]} < set(left) and len({rows[7], rows[8]} & set(left)) == 1
+
+
 def test_every_node_branches(spark):
     """No node draws an empty set of positions, and equal signatures stay together."""
     reps = spark.createDataFrame([(r, [7 * k for k in range(minhash_dedup.POSITIONS)]) for r in (1, 2)], "rep long, sig array<int>")
