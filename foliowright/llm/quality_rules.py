@@ -1,8 +1,9 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (+1), bad (-1) or abstains (0) on a whole text. Expectation-maximisation on the
-counts of vote patterns of the whole corpus estimates every rule's accuracy and the share of good
-documents without any label; a document is kept by its posterior probability.
+Each rule votes good (2), bad (0) or abstains (1) on a whole text. Expectation-maximisation on the
+counts of vote patterns of the whole corpus estimates, without any label, how often every rule fires on
+good and on bad documents and the share of good ones. A rule that stays silent says something too. A
+document is kept by its posterior probability.
 """
 
 from __future__ import annotations
@@ -32,15 +33,17 @@ RULES = (
     ("punctuated", "mark_share", 0.005, 0.07, 2),
     ("sentence_case", "upper_share", 0.002, 0.15, 2),
 )
-#: Bounds of the accuracies: a rule against a text fires seldom and for a reason, a rule for it says little.
-BOUNDS = {0: (0.85, 0.99), 2: (0.55, 0.70)}
-#: Bounds of the share of good documents. At the least, a text that one rule speaks for and none against is kept
-#: (0.45 / 0.55 * 0.55 / 0.45 = 1); without it the share falls to nothing where most texts are bad.
-LEAST_GOOD, MOST_GOOD = 0.45, 0.9
-#: Rules whose lone vote rejects at any share and beside two votes for the text: above 0.98, as
-#: 0.9 / 0.1 * (0.70 / 0.30) ** 2 = 49 = 0.98 / 0.02. Good texts repeat lines or windows at times, so those two are not.
+#: What is believed of a rule before the corpus is seen: how often it fires on good and on bad texts, and how
+#: many texts that belief weighs on either side, as a multiple of the corpus. The weights grow with the corpus,
+#: so that verdicts are alike at every size. A strong rule hardly ever fires on a good text and that is believed
+#: firmly; good texts repeat lines or windows at times, so those two rules are left to the corpus.
+BELIEF = {
+    "strong": ((0.0002, 3.0), (0.30, 0.1)),
+    "weak": ((0.02, 0.1), (0.30, 0.1)),
+    "for": ((0.75, 1.0), (0.60, 1.0)),
+}
 STRONG = frozenset({"symbols", "marks", "shouting", "few_distinct"})
-STRONG_BOUNDS = (0.985, 0.99)
+GOOD_SHARE = 0.7  # of documents, where expectation-maximisation starts
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
 _UPPER = bytes(range(65, 91))
@@ -111,51 +114,58 @@ def votes() -> F.Column:
 
 
 class VoteModel:
-    """Accuracies of the rules by expectation-maximisation over pattern counts.
+    """How often every rule fires on good and on bad documents, by expectation-maximisation over pattern counts.
 
-    A vote of rule r is right with probability acc[r]; an abstention says nothing. Accuracies start in
-    the middle of BOUNDS (STRONG_BOUNDS) and stay inside; the share of good documents stays between
-    LEAST_GOOD and MOST_GOOD. Without bounds the likelihood is as high where rare rules are mere noise.
+    Documents are a mixture of two classes inside which rules fire independently. The estimates are those of
+    the largest posterior under BELIEF; nothing is clipped. ``good`` and ``bad`` hold the rates, ``prior``
+    the share of good documents.
     """
 
-    def __init__(self, patterns: dict[str, int], rounds: int = 200, prior: float = 0.7):
+    def __init__(self, patterns: dict[str, int], rounds: int = 2000):
         keys = sorted(patterns)
-        self.prior = prior
-        low, high = (np.array([(STRONG_BOUNDS if name in STRONG else BOUNDS[v])[i] for name, *_, v in RULES]) for i in (0, 1))
-        self.acc = (low + high) / 2
-        if keys:
-            v = self._matrix(keys)
-            w = np.array([patterns[k] for k in keys], float)
-            for _ in range(rounds):
-                q = self._posterior(v)
-                old, self.prior = self.acc, float(np.clip((w * q).sum() / w.sum(), LEAST_GOOD, MOST_GOOD))
-                hit = (v > 0) * q[:, None] + (v < 0) * (1 - q)[:, None]
-                got, votes_ = (w[:, None] * hit).sum(0), (w[:, None] * (v != 0)).sum(0)
-                self.acc = np.clip((got + 1) / (votes_ + 2), low, high)
-                if np.abs(self.acc - old).max() < 1e-10:
-                    break
+        beliefs = [BELIEF["for" if v else "strong" if name in STRONG else "weak"] for name, *_, v in RULES]
+        (start_good, firm_good), (start_bad, firm_bad) = (np.array([b[side] for b in beliefs]).T for side in (0, 1))
+        self.prior, self.good, self.bad = GOOD_SHARE, start_good, start_bad
+        if not keys:
+            return
+        x = self._fired(keys)
+        w = np.array([patterns[k] for k in keys], float)
+        n = w.sum()
+        for _ in range(rounds):
+            q = self._posterior(x)
+            old = np.concatenate([self.good, self.bad, [self.prior]])
+            is_good, is_bad = w * q, w * (1 - q)
+            self.prior = (is_good.sum() + 1) / (n + 2)
+            self.good = (is_good @ x + firm_good * n * start_good) / (is_good.sum() + firm_good * n)
+            self.bad = (is_bad @ x + firm_bad * n * start_bad) / (is_bad.sum() + firm_bad * n)
+            if np.abs(np.concatenate([self.good, self.bad, [self.prior]]) - old).max() < 1e-10:
+                break
 
     @staticmethod
-    def _matrix(keys) -> np.ndarray:
-        return np.array([[int(c) - 1 for c in k] for k in keys])
+    def _fired(keys) -> np.ndarray:
+        return np.array([[c != "1" for c in k] for k in keys], float)
 
-    def _posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = np.log(self.prior / (1 - self.prior)) + v @ np.log(self.acc / (1 - self.acc))
+    def _posterior(self, x: np.ndarray) -> np.ndarray:
+        fires, silent = np.log(self.good / self.bad), np.log((1 - self.good) / (1 - self.bad))
+        odds = np.log(self.prior / (1 - self.prior)) + x @ fires + (1 - x) @ silent
         return 1 / (1 + np.exp(-odds))
 
     def table(self, patterns) -> dict[str, float]:
         keys = sorted(patterns)
-        return dict(zip(keys, self._posterior(self._matrix(keys)).tolist(), strict=True)) if keys else {}
+        return dict(zip(keys, self._posterior(self._fired(keys)).tolist(), strict=True)) if keys else {}
 
-    def accuracies(self) -> dict[str, float]:
-        return {name: float(a) for (name, *_), a in zip(RULES, self.acc, strict=True)}
+    def rates(self) -> dict[str, tuple[float, float]]:
+        """Rule: how often it fires on good and on bad documents."""
+        return {name: (float(g), float(b)) for (name, *_), g, b in zip(RULES, self.good, self.bad, strict=True)}
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, the counts, base_failed, votes, posterior and kept for every row.
 
-    A null text is an empty one: zero counts, so base_failed and not kept. The counts (no text) are
-    written once; at most 3 ** rules pattern counts reach the driver and the posterior table of the
+    A null or empty text has zero counts, so base_failed and not kept; texts of any length are read whole.
+    Repeated rows each give a row with the same verdict, an empty table no rows; the id, null or not, is
+    carried, and no other column is read. A posterior of just ``keep_at`` is kept. The counts (no text) are
+    written once; at most 2 ** rules pattern counts reach the driver and the posterior table of the
     patterns, bounded alike, goes back as a literal map.
     """
 
