@@ -1,9 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
-A small network on counts of byte classes, their pairs and repetition figures of the whole text is
-trained to minimise the non-negative unbiased risk  pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with
-the logistic loss: trusted positives are documents labelled 1 in the learning folds, unlabelled text
-is any document of those folds whatever its label, and the class prior pi is estimated.
+A small network on counts of byte classes, their pairs and repetition figures of the whole
+text is trained to minimise the non-negative unbiased risk
+pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))  with the logistic loss: trusted positives are documents
+labelled 1 in the learning folds, unlabelled text is any document of those folds whatever its label.
+The class prior pi is estimated from scores of held-back positives and unlabelled documents alone; a
+document labelled 0 is nothing but unlabelled text.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ for _i, _b in enumerate(_MARKS):
 CLASSES = 8 + len(_MARKS)
 #: Coarse classes for pairs: all marks are one.
 _COARSE = np.minimum(_CLASS, 8)
-EXTRA = 8
-WIDTH = CLASSES + 81 + EXTRA
+SHARES = CLASSES + 81
+WIDTH = SHARES + 8
 
 
 def features(raw: bytes | None) -> np.ndarray:
@@ -49,14 +51,15 @@ def features(raw: bytes | None) -> np.ndarray:
     if n > 1:
         c = _COARSE.astype(np.uint8)[b]
         pair = c[:-1] * np.uint8(9) + c[1:]
-        out[CLASSES : CLASSES + 81] = np.bincount(pair, minlength=81) / (n - 1)
+        out[CLASSES:SHARES] = np.bincount(pair, minlength=81) / (n - 1)
     ws = raw.split()
     k = max(1, len(ws))
+    distinct = set(ws)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     same = sum(a == z for a, z in zip(ws, ws[1:], strict=False))
     pairs = list(zip(ws, ws[1:], strict=False))
-    out[CLASSES + 81 :] = (
-        len(set(ws)) / k,
+    out[SHARES:] = (
+        len(distinct) / k,
         same / k,
         1 - len(set(lines)) / max(1, len(lines)),
         1 - len(set(pairs)) / max(1, len(pairs)),
@@ -70,7 +73,7 @@ def features(raw: bytes | None) -> np.ndarray:
 
 def feature_matrix(texts: list[bytes | None]) -> np.ndarray:
     x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, WIDTH), np.float32)
-    x[:, : CLASSES + 81] = np.sqrt(x[:, : CLASSES + 81])  # rare marks count too
+    x[:, :SHARES] = np.sqrt(x[:, :SHARES])  # rare marks count too
     return x
 
 
@@ -113,23 +116,49 @@ class PUNetwork:
                 self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.999**s)) + 1e-7)).astype(np.float32)
         return self
 
-    def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        g = self._forward((feature_matrix(texts) - self.mean) / self.scale)[1]
+    def score_rows(self, x: np.ndarray) -> np.ndarray:
+        g = self._forward((x - self.mean) / self.scale)[1]
         return 1 / (1 + np.exp(-np.clip(g.astype(np.float64), -30, 30)))
 
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        return self.score_rows(feature_matrix(texts))
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scores of rows that no training saw.
+
+    Above a threshold that few but positives reach, the unlabelled share is the prior times the positive
+    share. The threshold with the least ratio of the two, each widened by its sampling error, is taken.
+    The result is the ratio's lower bound (two standard errors): a prior that is too large lets the risk
+    of the negatives vanish, one that is a little too small costs next to nothing.
+    """
+    at = np.unique(pos)
+    above = lambda z: 1 - np.searchsorted(np.sort(z), at) / len(z)
+    p, u = above(pos), above(unl)
+    k = int(np.argmin((u + np.sqrt(1 / len(unl)) + np.sqrt(1 / len(pos))) / p))
+    error = np.sqrt((1 - u[k]) / max(u[k] * len(unl), 1) + (1 - p[k]) / (p[k] * len(pos)))
+    return float(np.clip(u[k] / p[k] * (1 - 2 * error), 0.01, 0.99))
+
+
+def learn(pos: np.ndarray, unl: np.ndarray, steps: int = STEPS) -> PUNetwork:
+    """Estimates the prior by a first network that sees half of the rows, then trains on all of them."""
+    if min(len(pos), len(unl)) < 2:
+        return PUNetwork(0.5).fit(pos, unl, steps) if len(pos) and len(unl) else PUNetwork(0.5)
+    first = PUNetwork(0.5).fit(pos[::2], unl[::2], steps // 3)
+    prior = class_prior(first.score_rows(pos[1::2]), first.score_rows(unl[1::2]))
+    return PUNetwork(prior).fit(pos, unl, steps)
+
 
-def train(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> PUNetwork:
-    """Fits on bounded samples (POSITIVES, UNLABELLED rows, drawn by hash) of the rows where ``learn`` holds.
+def train(docs: DataFrame, labels: DataFrame, learn_from, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> PUNetwork:
+    """Fits on bounded samples (POSITIVES, UNLABELLED rows, drawn by hash) of the rows where ``learn_from`` holds.
 
-    The prior is the share of label 1 among the labelled learning rows, with one added to each side.
-    Without positives the score is the prior for all.
+    Only labels of 1 are read. Labels repeated for an id count once; ids of repeated rows are positives in
+    each row. Without positives or rows the score is one half for all.
     """
-    known = labels.where(learn & F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(quality).alias("__q"))
-    ones, n = known.agg(F.coalesce(F.sum((F.col("__q") == 1).cast("long")), F.lit(0)), F.count("*")).first()
-    model = PUNetwork((ones + 1) / (n + 2))
+    known = labels.where(learn_from & (F.col(quality) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
     draw = F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(1 << 30))
-    picked = known.where("__q = 1").orderBy(draw, "__id").limit(POSITIVES).select("__id")  # bounded by the limit
-    rows = docs.where(learn).select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
+    picked = known.orderBy(draw, "__id").limit(POSITIVES)  # bounded by the limit
+    rows = docs.where(learn_from).select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
     total = rows.count()
     drawn = draw < int(min(1.0, 1.1 * UNLABELLED / max(1, total)) * (1 << 30))
     # one scan yields both samples; at most POSITIVES ids are broadcast
@@ -138,13 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", tex
     got = vectors.orderBy("k").limit(POSITIVES * 2 + UNLABELLED * 2).collect()
     pos = [np.frombuffer(r["x"], np.float32) for r in got if r["p"]]
     unl = [np.frombuffer(r["x"], np.float32) for r in got if r["u"]]
-    return model.fit(np.stack(pos), np.stack(unl)) if pos and unl else model
+    stacked = lambda rows: np.stack(rows) if rows else np.zeros((0, WIDTH), np.float32)
+    return learn(stacked(pos), stacked(unl))
 
 
 def quality_scores(docs: DataFrame, model: PUNetwork, carry: dict | None = None, text: str = "text", threshold: float = THRESHOLD, raw: bool = False) -> DataFrame:
     """The carried columns with score (0 to 1) and predicted for every row; no shuffle.
 
-    A null text is scored as an empty one. Repeated rows get equal scores.
+    A null text is scored as an empty one, a long one by its whole text. Repeated rows get equal scores; an
+    empty table gives no rows. A score of just the threshold is predicted 1. No other column is read.
     """
 
     def run(texts):
