@@ -129,7 +129,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
     Above a threshold that few but positives reach, the unlabelled share is the prior times the positive
     share. The threshold with the least ratio of the two, each widened by its sampling error, is taken.
-    The result is the ratio's lower bound (two standard errors): a prior that is too large lets the risk
+    The result is the ratio less two standard errors, in proportion: a prior that is too large lets the risk
     of the negatives vanish, one that is a little too small costs next to nothing.
     """
     at = np.unique(pos)
@@ -137,7 +137,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     p, u = above(pos), above(unl)
     k = int(np.argmin((u + np.sqrt(1 / len(unl)) + np.sqrt(1 / len(pos))) / p))
     error = np.sqrt((1 - u[k]) / max(u[k] * len(unl), 1) + (1 - p[k]) / (p[k] * len(pos)))
-    return float(np.clip(u[k] / p[k] * (1 - 2 * error), 0.01, 0.99))
+    return float(np.clip(u[k] / p[k] / (1 + 2 * error), 0.01, 0.99))
 
 
 def learn(pos: np.ndarray, unl: np.ndarray, steps: int = STEPS) -> PUNetwork:
