@@ -7,7 +7,7 @@ probability bounded below at every level. Nodes of at most LEAF documents are co
 sketches; larger ones branch on, and what still stays together at DEPTH shared tokens is taken as
 similar. The candidate groups are then confirmed exactly on full shingle sets, where pairs already
 connected need no comparison. Groups too large for a task are confirmed in blocks that share pivots,
-and whatever a pivot does not connect is compared with all blocks.
+and whatever that leaves outside a group's largest part is dealt into tiles, each of which meets each block.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ DEPTH = 4
 BLOCK = 400  # documents a task confirms at once
 BLOCK_SHINGLES = 1_500_000
 PIVOTS = 4
+SIGNATURE_AT = 36  # equal positions of a pair worth confirming; one of similarity 0.8 has fewer once in 10^6
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -186,55 +187,53 @@ def candidate_edges(reps: DataFrame, trees: int = TREES) -> DataFrame:
     return out
 
 
-def _confirm(rows: list[tuple[int, np.ndarray, int, bool]]) -> list[tuple[int, int]]:
-    """(rep, least connected rep) inside one group; rows: rep, set, label so far, wanderer.
+def _confirm(rep: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, label: np.ndarray, wander: np.ndarray) -> np.ndarray:
+    """The least connected rep or label of every row of one group; reps in ascending order.
 
-    Equal labels are connected already. If any row is a wanderer, only pairs with one are compared.
+    Equal labels are connected already. If any row is a wanderer, only pairs with one are compared. Pairs
+    that differ too much in size or in the signature need no comparison of full sets.
+    """
+    n = np.array([len(x) for x in sets])
+    group = np.unique(label, return_inverse=True)[1]
+    some = wander.any()
+    for i in range(1, len(rep)):
+        fit = (group[:i] != group[i]) & (DENOMINATOR * np.minimum(n[:i], n[i]) >= NUMERATOR * np.maximum(n[:i], n[i]))
+        if some and not wander[i]:
+            fit &= wander[:i]
+        at = np.flatnonzero(fit)
+        agree = (sig[at] == sig[i]).sum(axis=1)
+        near = agree >= SIGNATURE_AT
+        for j in at[near][np.argsort(-agree[near], kind="stable")]:
+            if group[j] != group[i] and similar(sets[i], sets[j]):
+                group[group == group[i]] = group[j]
+    low = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, np.minimum(rep, label))
+    return low[group]
+
+
+def _confirmed(assigned: DataFrame, full: DataFrame) -> DataFrame:
+    """Edges (comp, rep, label) found inside groups of full sets.
+
+    assigned: bundle, block, tile (a task each), comp, rep, label, wander; full: rep, sig, s.
     """
-    rows = sorted(rows, key=lambda r: r[0])
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    first: dict[int, int] = {}
-    for i, r in enumerate(rows):
-        j = first.setdefault(r[2], i)
-        parent[find(i)] = find(j)
-    wander = any(r[3] for r in rows)
-    for i in range(1, len(rows)):
-        for j in range(i):
-            if wander and not (rows[i][3] or rows[j][3]):
-                continue
-            a, b = find(i), find(j)
-            if a != b and similar(rows[i][1], rows[j][1]):
-                parent[max(a, b)] = min(a, b)
-    low: dict[int, int] = {}
-    for i, r in enumerate(rows):
-        low.setdefault(find(i), min(r[0], r[2]))
-    for i, r in enumerate(rows):
-        low[find(i)] = min(low[find(i)], r[0], r[2])
-    return [(r[0], low[find(i)]) for i, r in enumerate(rows)]
-
-
-def _confirmed(assigned: DataFrame, texts: DataFrame) -> DataFrame:
-    """(comp, rep, label) from groups of full texts; assigned: bundle, comp, block, rep, label, wander."""
 
     def run(table: pa.Table) -> pa.Table:
-        groups: dict = {}
-        sets: dict = {}
-        for comp, block, rep, label, wander, raw in zip(*(table[c].to_pylist() for c in ("comp", "block", "rep", "label", "wander", "b")), strict=True):
-            if rep not in sets:
-                sets[rep] = shingles(raw)
-            groups.setdefault((comp, block), {})[rep] = (rep, sets[rep], label, wander)
-        out = [(comp, rep, low) for (comp, _), g in groups.items() for rep, low in _confirm(list(g.values()))]
-        return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(("comp", "rep", "label"))})
-
-    full = assigned.join(texts, "rep")
-    return full.groupBy("bundle", "block").applyInArrow(run, "comp bigint, rep bigint, label bigint")
+        comp, rep, label, wander = (table[c].to_numpy() for c in ("comp", "rep", "label", "wander"))
+        sig = table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, POSITIONS)
+        raw = table["s"].to_pylist()
+        order = np.lexsort((~wander, rep, comp))
+        first = np.append(True, (comp[order][1:] != comp[order][:-1]) | (rep[order][1:] != rep[order][:-1]))
+        order = order[first]  # a wanderer that is at home in this block stands here once
+        out = []
+        for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            if len(part) > 1:
+                low = _confirm(rep[part], [np.frombuffer(raw[i], np.uint64) for i in part], sig[part], label[part], wander[part])
+                moved = low < label[part]
+                out.append((comp[part][moved], rep[part][moved], low[moved]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("comp", "rep", "label"), columns, strict=True)})
+
+    return assigned.join(full, "rep").groupBy("bundle", "block", "tile").applyInArrow(run, "comp bigint, rep bigint, label bigint")
 
 
 def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,40 +259,46 @@ def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
     # small groups go in bundles of about BLOCK documents; large ones by block, pivots to each block
     bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(math.ceil(docs_in / BLOCK)))).otherwise(F.col("comp"))
     block = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
-    assigned = dealt.select(bundle.alias("bundle"), "comp", block.alias("block"), "rep", F.col("rep").alias("label"), F.lit(False).alias("wander"), "blocks")
+    assigned = dealt.select(bundle.alias("bundle"), "comp", block.alias("block"), F.lit(0).alias("tile"), "rep", F.col("rep").alias("label"), F.lit(False).alias("wander"), "blocks")
     assigned = assigned.withColumn("block", F.when(F.col("blocks") == 1, -1).otherwise(F.col("block"))).drop("blocks")
     # the text of each set: its least document's, and of that one's texts the one that has this set
-    keys = reps.join(dealt.select("rep"), "rep", "left_semi").select("rep", "least", "h")
+    keys = reps.join(dealt.select("rep"), "rep", "left_semi").select("rep", "least", "h", "sig")
     texts = docs.select(F.col(doc_id).cast("long").alias("least"), text_hash(text).alias("h"), F.col(text).cast("binary").alias("b"))
-    texts = texts.join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "b")
-    linked = materialize(_confirmed(assigned, texts), "linked")
-    big = dealt.where("blocks > 1").select("comp", "rep", "blocks", "own")
+    texts = texts.join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "sig", "b")
+    full = map_texts(texts, {"rep": F.col("rep"), "sig": F.col("sig")}, "s binary", lambda ts: [[shingles(t).tobytes() for t in ts]], "b")
+    full = materialize(full, "full-sets")
+    linked = materialize(_confirmed(assigned, full), "linked")
+    big = dealt.where("blocks > 1").select("comp", "rep", "n", "blocks", "own")
     if not big.isEmpty():
-        linked = materialize(_across(linked, big, texts), "linked-across")
+        linked = materialize(_across(linked, big, full), "linked-across")
     final = linked.groupBy("rep").agg(F.min("label").alias("group"))
     grouped = reps.join(final, "rep", "left").select("key", "least", "copies", F.coalesce("group", "rep").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
     return grouped.join(least, "group").select("key", "component", "group")
 
 
-def _across(linked: DataFrame, big: DataFrame, texts: DataFrame) -> DataFrame:
-    """Joins the blocks of large groups: labels meet over the pivots, then every document outside its
-    group's largest label is compared with all blocks."""
+def _across(linked: DataFrame, big: DataFrame, full: DataFrame) -> DataFrame:
+    """Joins the blocks of large groups: labels meet over the pivots, then the documents outside their
+    group's largest label are dealt into tiles and every tile meets every block, a task each."""
     of_big = linked.join(big.select("comp").distinct(), "comp", "left_semi")
     rest = linked.join(big.select("comp").distinct(), "comp", "left_anti")
 
     def settled(edges: DataFrame, name: str) -> DataFrame:
         got = connected_components(edges.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")), name)
-        return materialize(big.join(got, F.col("rep") == F.col("node"), "left").select("comp", "rep", "blocks", "own", F.coalesce("component", "rep").alias("label")), name)
+        return materialize(big.join(got, F.col("rep") == F.col("node"), "left").select("comp", "rep", "n", "blocks", "own", F.coalesce("component", "rep").alias("label")), name)
 
     now = settled(of_big, "across")
-    sizes = now.groupBy("comp", "label").count()
-    most = sizes.groupBy("comp").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("comp", F.col("top.label").alias("top"))
+    sizes = now.groupBy("comp", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    most = sizes.groupBy("comp").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum("s").alias("s")).where("labels > 1")
+    tiles = F.greatest(F.ceil((F.col("m") - F.col("top.m")) / BLOCK), F.ceil((F.col("s") - F.col("top.s")) / BLOCK_SHINGLES)).cast("int")
+    most = materialize(most.select("comp", F.col("top.label").alias("top"), tiles.alias("tiles")), "across-top")
     if not most.isEmpty():
         open_ = now.join(most, "comp")
-        wander = F.col("label") != F.col("top")
-        block = F.explode(F.when(wander, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
-        again = _confirmed(open_.select(F.col("comp").alias("bundle"), "comp", block.alias("block"), "rep", "label", wander.alias("wander")), texts)
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        home = open_.select("comp", F.col("own").alias("block"), each(F.col("tiles")).alias("tile"), "rep", "label", F.lit(False).alias("wander"))
+        tile = F.pmod(F.xxhash64("rep", F.lit(78)), F.col("tiles")).cast("int")
+        wanderers = open_.where("label <> top").select("comp", each(F.col("blocks")).alias("block"), tile.alias("tile"), "rep", "label", F.lit(True).alias("wander"))
+        again = _confirmed(home.union(wanderers).withColumn("bundle", F.col("comp")), full)
         edges = again.select("comp", "rep", "label").union(now.select("comp", "rep", "label"))
         now = settled(edges, "across-2")
     return rest.select("comp", "rep", "label").union(now.select("comp", "rep", "label"))

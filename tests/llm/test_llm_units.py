@@ -67,8 +67,15 @@ def test_set_similarity_is_exact():
 
 def test_group_is_confirmed_without_all_pairs():
     s = lambda *x: np.array(x, np.uint64)
-    rows = [(5, s(*range(10)), 5, False), (3, s(*range(9)), 3, False), (9, s(*range(50, 60)), 9, False)]
-    assert sorted(minhash_dedup._confirm(rows)) == [(3, 3), (5, 3), (9, 9)]
+    sets = [s(*range(9)), s(*range(10)), s(*range(50, 60))]
+    rep = np.array([3, 5, 9])
+    sig = np.stack([minhash_dedup.signature(x << np.uint64(33)) for x in sets])
+    sig[1] = sig[0]
+    assert minhash_dedup._confirm(rep, sets, sig, rep, np.zeros(3, bool)).tolist() == [3, 3, 9]
+    # equal labels are connected as they are; with a wanderer, pairs without one are left alone
+    assert minhash_dedup._confirm(rep, sets, sig, np.array([3, 5, 3]), np.zeros(3, bool)).tolist() == [3, 3, 3]
+    assert minhash_dedup._confirm(rep, sets, sig, rep, np.array([False, False, True])).tolist() == [3, 5, 9]
+    assert minhash_dedup._confirm(rep, sets, sig, rep, np.array([True, False, False])).tolist() == [3, 3, 9]
 
 
 def test_repeated_words_against_brute_force():
