@@ -187,7 +187,11 @@ def has_letter(raw: bytes | None) -> bool:
 
 def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS, steps: int = STEPS) -> ByteGRU:
     """Fits the network on a bounded sample: at most about ``per_lang`` documents of each language among
-    the rows where ``learn`` holds, and TRAIN_WINDOWS windows of each, spread over its whole length."""
+    the rows where ``learn`` holds, and TRAIN_WINDOWS windows of each, spread over its whole length.
+
+    The network has one output for each language, so the languages of a corpus (not its documents) set its
+    width and the rows that reach the driver: one count and at most 2 * per_lang samples a language.
+    """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     labels = sorted(counts)

@@ -203,8 +203,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
     """doc_id, n_words, places (word, label) and matches (template, label, first and last word,
     containment, best) per document; best marks a match that no fuller one overlaps: it names the license.
 
-    A null text is an empty text: no words, places or matches. Repeated rows each give a row; a null
-    id is carried. Every window is compared with every template through the index; nothing is capped.
+    A null text is an empty text: no words, places or matches. Repeated rows each give a row, an empty table
+    none; a null id is carried and no other column is read. Every window is compared with every template through the index; nothing is capped.
     """
     index = TemplateIndex(templates, token_frequency(docs, templates, text), threshold, names)
 

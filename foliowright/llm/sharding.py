@@ -42,7 +42,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     size is the UTF-8 bytes plus 1 (null text: 1); text_crc32 of a null text is that of an empty one.
-    Nulls form one group, empty texts another. Slots are numbered by doc_id inside hash cells.
+    Nulls form one group, empty texts another. Slots are numbered by doc_id inside hash cells, a null id first;
+    repeated rows are of one group and get a slot each, in no stated order. Of shards with an equal score
+    the lowest is taken. An empty table gives no rows; no other column is read.
     """
     spark, col = docs.sparkSession, F.col(text)
     rows = docs.select(

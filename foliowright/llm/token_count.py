@@ -111,6 +111,8 @@ def counter(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row; null text counts as empty (0 bytes, 0 tokens).
 
+    Long texts are counted whole. Repeated rows each give a row with the same counts, an empty table none;
+    the id, null or not, is carried and no other column is read. Just ``limit`` tokens are not over it.
     ``vocabulary`` is a path that every executor can open. One narrow stage, no shuffle.
     """
 
