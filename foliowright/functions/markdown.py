@@ -13,11 +13,23 @@ from dataclasses import dataclass
 
 from . import code_comments
 
-# Front matter keys with prose, and elements whose content is never translated.
-PROSE_KEYS = frozenset("title description summary subtitle excerpt abstract sidebar_label caption alt label heading tagline lead keywords".split())
-NO_TRANSLATE = frozenset("script style pre code kbd samp var textarea svg math template noscript iframe object embed".split())
-TEXT_ATTRIBUTES = frozenset("alt title placeholder label summary caption aria-label aria-description content".split())
-INLINE_ELEMENTS = frozenset("a abbr b bdi bdo br cite data del dfn em font i img ins mark q s small span strike strong sub sup time tt u wbr".split())
+# Front matter keys with prose and with lists of prose; elements whose content is never translated, inline
+# and void elements; attributes of HTML and of components that hold prose.
+PROSE_KEYS = frozenset(
+    "title subtitle titlesuffix description summary excerpt abstract caption heading lead teaser tagline seo_title seotitle seo_description og_title "
+    "og_description twitter_title twitter_description sidebar_label nav_title linktitle menu_title".split()
+)
+LIST_KEYS = frozenset(["keywords"])
+NO_TRANSLATE = frozenset("script style pre code kbd samp var tt textarea svg math template noscript iframe object".split())
+VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+TEXT_ATTRIBUTES = frozenset("alt title aria-label aria-description aria-placeholder placeholder label summary abbr".split())
+COMPONENT_ATTRIBUTES = TEXT_ATTRIBUTES | frozenset("description caption heading subtitle tooltip message emptytext helptext hint buttontext linktext".split())
+INLINE_ELEMENTS = frozenset(
+    "a abbr b bdi bdo br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr big nobr "
+    "picture source".split()
+)
+_FORMALITY = re.compile(r"^(?:formality|translation_formality|translation-formality|tone):[ \t]*[\"']?([A-Za-z]+)", re.IGNORECASE | re.MULTILINE)
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+\Z")
 
 
 @dataclass(frozen=True)
@@ -39,7 +51,9 @@ _NOTE = re.compile(r"^ {0,3}\[\^[^\]\n]+\]:[ \t]+(?=\S)")
 _DIRECTIVE = re.compile(r"^ {0,3}:{2,}.*$|^\s*\{\{[<%].*[%>]\}\}\s*$|^\s*\[![A-Za-z]+\]\s*$")
 _TABLE_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
-_KEY = re.compile(r"^([ \t]*(?:- )?)([A-Za-z_][\w-]*):[ \t]+(.*?)[ \t]*$")
+_KEY = re.compile(r"^([ \t]*(?:- )?)([A-Za-z_][\w-]*):(?:[ \t]+|$)(.*?)[ \t]*$")
+_ITEM = re.compile(r"^[ \t]*-[ \t]+(.*?)[ \t]*$")
+_WHOLE_ELEMENT = re.compile(r"^ {0,3}<(script|pre|style|textarea)(?=[\s>]|$)", re.IGNORECASE)
 _BLOCK_SCALAR = re.compile(r"[|>][-+\d]{0,2}(?:\s+#.*)?$")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -51,27 +65,50 @@ def _front_matter(lines: list[tuple[int, str]]) -> tuple[int, list[Segment]]:
     end = next((i for i in range(1, len(lines)) if lines[i][1].rstrip() in ("---", "...")), None)
     if end is None:
         return 0, []
-    found = []
+    found: list[Segment] = []
+
+    def value(at: int, text: str, key: str) -> None:
+        """One plain or quoted scalar that starts at ``at``; flow collections, anchors and tags stay as they are."""
+        if not text or not _LETTER.search(text) or text[0] in "[{|>&*!":
+            return
+        inside = text[0] in "\"'"
+        if inside and (len(text) < 3 or text[-1] != text[0]):
+            return
+        found.append(Segment("frontmatter", at + inside, at + len(text) - inside, key))
+
     block = None  # key and indent of the block scalar that is being read
+    items = None  # key and indent of the list that is being read
     for at, line in lines[1:end]:
         indent = len(line) - len(line.lstrip())
         if block and (indent > block[1] or not line.strip()):
             if block[0] in PROSE_KEYS and _LETTER.search(line):
                 found.append(Segment("frontmatter", at + indent, at + len(line.rstrip()), block[0]))
             continue
-        m = _KEY.match(line)
-        block = (m[2], len(m[1])) if m and _BLOCK_SCALAR.match(m[3]) else None
-        if not m or m[2] not in PROSE_KEYS or not _LETTER.search(m[3]) or m[3][0] in "[{|>&*!":
+        if items and (m := _ITEM.match(line)) and indent >= items[1]:
+            value(at + m.start(1), m[1], items[0])
             continue
-        a, b = m.span(3)
-        if m[3][0] in "\"'":
-            if len(m[3]) < 3 or m[3][-1] != m[3][0]:
-                continue
-            a, b = a + 1, b - 1
-        found.append(Segment("frontmatter", at + a, at + b, m[2]))
+        m = _KEY.match(line)
+        key = m[2].lower() if m else ""
+        block = (key, len(m[1])) if m and _BLOCK_SCALAR.match(m[3]) else None
+        items = (key, len(m[1])) if key in LIST_KEYS and not m[3] else None
+        if key in LIST_KEYS and m[3].startswith("[") and m[3].endswith("]"):
+            for part in re.finditer(r"[^,\[\]\s][^,\[\]]*", m[3]):
+                value(at + m.start(3) + part.start(), part[0].rstrip(), key)
+        elif key in PROSE_KEYS:
+            value(at + m.start(3), m[3], key)
     return end + 1, found
 
 
+def front_matter_formality(text: str) -> str | None:
+    """The formality that a document asks for at the top level of its front matter, in lower case."""
+    lines = text.lstrip("﻿").splitlines()
+    if not lines or lines[0].rstrip() != "---":
+        return None
+    end = next((i for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), 0)
+    m = _FORMALITY.search("\n".join(lines[1:end]))
+    return m[1].lower() if m else None
+
+
 def _cells(at: int, line: str) -> list[Segment]:
     out, start, i = [], 0, 0
     cuts = [i for i in range(len(line)) if line[i] == "|" and (i == 0 or line[i - 1] != "\\")]
@@ -88,7 +125,7 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
     """Segments in document order; they never overlap. Comments and docstrings are those of fenced code."""
     shift = 1 if text.startswith("﻿") else 0
     lines, at = [], shift
-    for raw in text[shift:].splitlines(keepends=True) if "\r\n" not in text else re.findall(r"[^\n]*\n|[^\n]+$", text[shift:]):
+    for raw in _LINE.findall(text[shift:]):
         lines.append((at, raw.rstrip("\r\n")))
         at += len(raw)
     skip, found = _front_matter(lines)
@@ -142,8 +179,16 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
                 section = [*section[: len(m[1]) - 1], m[2].strip()]
                 note = ("section " + '"' + " > ".join(section)[:160] + '"') if section else ""
         elif not open_ and _HTML.match(body):
-            while i < len(lines) and lines[i][1].strip():
+            # comments and some elements run to their end, other blocks to a blank line
+            until = "-->" if body.lstrip().startswith("<!--") else f"</{m[1].lower()}>" if (m := _WHOLE_ELEMENT.match(body)) else None
+            first = i
+            while i < len(lines) and (until or lines[i][1].strip()):
                 i += 1
+                if until and until in lines[i - 1][1].lower():
+                    break
+            if not inner:
+                a, b = lines[first][0], lines[i - 1][0] + len(lines[i - 1][1])
+                out += [Segment(s.kind, a + s.start, a + s.end, s.note) for s in html_segments(text[a:b])]
             continue
         elif not open_ and (line.startswith("    ") or line.startswith("\t")) and not _LIST.match(line):
             pass
@@ -174,23 +219,31 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
     return sorted(out, key=lambda s: s.start)
 
 
-def skeleton(text: str) -> list[str]:
-    """One signature a block: kinds, heading depths and hashes of what must not change."""
-    out, at = [], 0
+def outline(text: str) -> list[tuple[str, int, int]]:
+    """(signature, start, end) of every block: kinds, and hashes of what must not change."""
+    out: list[tuple[str, int, int]] = []
+    at = 0
+
+    def raw(a: int, b: int) -> None:
+        gap = text[a:b].strip()
+        if gap:
+            out.append(("raw:" + hashlib.sha256(gap.encode("utf-8", "surrogatepass")).hexdigest()[:12], a, b))
+
     for s in segments(text):
         a, b = s.start, s.end
         if s.kind == "frontmatter" and text[a - 1 : a] in ("'", '"') and text[b : b + 1] == text[a - 1 : a]:
             a, b = a - 1, b + 1  # a value's quotes may change
-        gap = text[at:a]
-        if gap.strip():
-            out.append("raw:" + hashlib.sha256(gap.strip().encode("utf-8", "surrogatepass")).hexdigest()[:12])
-        out.append(s.kind)
+        raw(at, a)
+        out.append((s.kind, a, b))
         at = b
-    if text[at:].strip():
-        out.append("raw:" + hashlib.sha256(text[at:].strip().encode("utf-8", "surrogatepass")).hexdigest()[:12])
+    raw(at, len(text))
     return out
 
 
+def skeleton(text: str) -> list[str]:
+    return [sig for sig, _, _ in outline(text)]
+
+
 def blocks(text: str) -> list[str]:
     """Blank-line blocks; fences and a front matter block stay whole."""
     out: list[str] = []
@@ -221,21 +274,56 @@ def blocks(text: str) -> list[str]:
 _TOKEN = re.compile(r"<!--.*?-->|<![^>]*>|<\?.*?\?>|</?[A-Za-z][^\s/>]*(?:\s+(?:[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?))*\s*/?>", re.DOTALL)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_KEEP = re.compile(r"\stranslate\s*=\s*[\"']?no\b|\sclass\s*=\s*[\"'][^\"']*\bnotranslate\b", re.IGNORECASE)
+
+
+def attributes(tag: str) -> list[tuple[str, int, int]]:
+    """(name in lower case, start, end of the value without quotes) of the attributes of a tag that have a value."""
+    name = _NAME.match(tag)
+    out = []
+    for a in _ATTRIBUTE.finditer(tag, name.end() if name else 0):
+        g = next(k for k in (2, 3, 4) if a[k] is not None)
+        out.append((a[1].lower(), a.start(g), a.end(g)))
+    return out
+
+
+def tag_skeleton(tag: str) -> str:
+    """A tag whose translatable attribute values are blanked."""
+    out, at = [], 0
+    for name, a, b in attributes(tag):
+        if name in TEXT_ATTRIBUTES:
+            out += [tag[at:a], "…"]
+            at = b
+    return "".join([*out, tag[at:]])
+
+
+def html_skeleton(html: str) -> list[str]:
+    return [tag_skeleton(m[0]) for m in _TOKEN.finditer(html)]
 
 
 def html_segments(html: str) -> list[Segment]:
-    """Maximal runs of text and inline elements, and prose attributes; opaque elements are skipped."""
+    """Maximal runs of text and inline elements, and prose attributes of tags outside such runs.
+
+    Opaque elements and elements marked not to be translated are skipped: a block one ends the run, an inline
+    one stays inside it as it is.
+    """
     out: list[Segment] = []
     run: list[int] = []
-    opaque: str | None = None
+    aside: list[Segment] = []  # attributes of the run's tags, which count where the run has no prose
+    prose = False  # the run holds letters outside tags and opaque elements
+    opaque: tuple[str, int] | None = None  # name and depth of the element that is skipped
 
     def close() -> None:
-        if run:
+        nonlocal prose
+        if run and prose:
             part = html[run[0] : run[1]]
-            if _LETTER.search(_TOKEN.sub("", part)):
-                a = run[0] + len(part) - len(part.lstrip())
-                out.append(Segment("html", a, run[0] + len(part.rstrip())))
-            run.clear()
+            a = run[0] + len(part) - len(part.lstrip())
+            out.append(Segment("html", a, run[0] + len(part.rstrip())))
+        else:
+            out.extend(aside)
+        run.clear()
+        aside.clear()
+        prose = False
 
     def extend(a: int, b: int) -> None:
         if run:
@@ -245,31 +333,35 @@ def html_segments(html: str) -> list[Segment]:
 
     at = 0
     for m in _TOKEN.finditer(html):
-        if not opaque and html[at : m.start()].strip():
+        text = html[at : m.start()]
+        if not opaque and text.strip():
             extend(at, m.start())
+            prose = prose or bool(_LETTER.search(text))
         at = m.end()
-        name = (n[1].lower() if (n := _NAME.match(m[0])) else "")
-        closing = m[0].startswith("</")
+        tag = m[0]
+        name = n[1].lower() if (n := _NAME.match(tag)) else ""
+        closing = tag.startswith("</")
+        empty = tag.endswith("/>") or name in VOID_ELEMENTS
         if opaque:
-            if closing and name == opaque:
-                opaque = None
+            if name == opaque[0] and not empty:
+                depth = opaque[1] + (-1 if closing else 1)
+                opaque = (name, depth) if depth else None
+                if not depth and name in INLINE_ELEMENTS and run:
+                    extend(m.start(), m.end())
             continue
-        if name in NO_TRANSLATE and not closing and not m[0].endswith("/>"):
-            close()
-            opaque = name
-        elif not name:
-            close()
-        elif name in INLINE_ELEMENTS:
-            if run or not closing:
-                extend(m.start(), m.end()) if run else None
-        else:
+        inline = name in INLINE_ELEMENTS
+        if not inline:
             close()
-        if name and not closing and not opaque:
-            for a in _ATTRIBUTE.finditer(m[0], len(name) + 1):
-                g = next(k for k in (2, 3, 4) if a[k] is not None)
-                if a[1].lower() in TEXT_ATTRIBUTES and _LETTER.search(a[g]) and not run:
-                    out.append(Segment("attr", m.start() + a.start(g), m.start() + a.end(g), a[1].lower()))
+        elif run or not closing:
+            extend(m.start(), m.end())
+        if not closing and not empty and (name in NO_TRANSLATE or _KEEP.search(tag)):
+            opaque = (name, 1)
+        elif name and not closing and not _KEEP.search(tag):
+            for attribute, a, b in attributes(tag):
+                if attribute in TEXT_ATTRIBUTES and _LETTER.search(tag[a:b]):
+                    (aside if inline else out).append(Segment("attr", m.start() + a, m.start() + b, attribute))
     if not opaque and html[at:].strip():
         extend(at, len(html))
+        prose = prose or bool(_LETTER.search(html[at:]))
     close()
     return sorted(out, key=lambda s: s.start)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +18,6 @@ SEGMENTS = (
 )
 
 
-def _arrow_rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows over all cores where the input has fewer partitions than that (one small file, say);
     a large input has more and is left as it is."""
@@ -76,14 +71,14 @@ def rule_matches(text: Column, rule: str) -> Column:
 def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str = "doc", content: str = "content", anchors: bool = False) -> DataFrame:
     """doc, lang, text, reverted, anchors, identical, error: translations spliced into their documents.
 
-    memory (doc, lang, seg_id, text) holds masked translations. A translation whose tags don't fit is
-    left out; if the structure differs, translations are withdrawn one by one from the front until it
+    memory (doc, lang, seg_id, text) holds masked translations. A translation whose tags or markup don't
+    fit is left out; if the structure differs, the translations at the place are withdrawn until it
     is the source's, at worst all of them. Work of a document stays in one task; documents are
     spread by (doc, lang), and only segments with a translation travel. With ``anchors``, headings get an
     empty anchor of their old slug where the translation changes it.
     """
-    picked = segments.select("doc", "seg_id", "kind", "start", "end", "singles", "pairs").join(memory, ["doc", "seg_id"])
-    per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "singles", "pairs")).alias("parts"))
+    picked = segments.select("doc", "seg_id", "kind", "start", "end", "masked", "singles", "pairs").join(memory, ["doc", "seg_id"])
+    per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "masked", "singles", "pairs")).alias("parts"))
     full = docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).join(per, "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,37 +96,89 @@ def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str =
     return full.select("doc", "lang", "content", "parts").mapInPandas(run, "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string")
 
 
+# Where the text of a kind of segment stands; all others stand in Markdown.
+CONTEXTS = {"cell": "cell", "frontmatter": "yaml", "comment": "comment", "html": "html", "attr": "attr"}
+#: What would end a comment or docstring too early.
+CLOSERS = ("*/", "-->", '"""', "'''", "*)", "-}", "#>", "--]]")
+ROUNDS = 100  # of withdrawing translations from one document; then all of them go
+NARROWEST = 40  # columns of a paragraph that is wrapped anew
+
+
+def finished(part, source: str) -> str | None:
+    """The bytes of a translated segment for its place in the document; None if they would change its markup.
+
+    A text that is the source's own keeps the source's bytes.
+    """
+    singles = dict(part["singles"] or {})
+    pairs = {k: (v["open"], v["close"]) for k, v in dict(part["pairs"] or {}).items()}
+    old, kind = source[part["start"] : part["end"]], part["kind"] if "kind" in part else "paragraph"
+    before = part["masked"] if "masked" in part else masking.mask(old)[0]
+    text = part["text"]
+    if masking.check_tags(set(singles), set(pairs), text):
+        return None
+    if text == before:
+        return old
+    context = CONTEXTS.get(kind, "markdown")
+    if context in ("markdown", "cell"):
+        text = masking.tight_emphasis(text, pairs)
+    quote = source[part["start"] - 1 : part["start"]] if kind == "attr" else ""
+    made = masking.unmask(text, singles, pairs, masking.escaper(context, masking.plain_text(text), masking.plain_text(before), quote))
+    if kind == "frontmatter":
+        return masking.render_yaml(made, source, part["start"])
+    if kind == "comment":
+        return None if made.rstrip().endswith("\\") or any(c in made and c not in old for c in CLOSERS) else made
+    if kind == "html":
+        return made if markdown.html_skeleton(made) == markdown.html_skeleton(old) else None
+    if kind == "attr":
+        return made
+    if masking.inline_signature(made) != masking.inline_signature(old):
+        return None
+    lines = old.splitlines()
+    if kind == "paragraph" and len(lines) > 1 and "\n" not in made:
+        made = masking.rewrap(made, max(NARROWEST, *map(len, lines)), "\r\n" if "\r\n" in old else "\n")
+    return masking.render_escape(made, old)
+
+
 def splice(source: str, parts) -> tuple[str, list[str]]:
+    """(document with its translations, ids of those left out).
+
+    Where the outline differs from the source's, the translations that overlap or touch the first block
+    that differs are withdrawn; after ROUNDS of that, all of them.
+    """
     todo, reverted = [], []
     for p in sorted(parts, key=lambda p: p["start"]):
-        singles = dict(p["singles"] or {})
-        pairs = {k: (v["open"], v["close"]) for k, v in dict(p["pairs"] or {}).items()}
-        if masking.check_tags(set(singles), set(pairs), p["text"]):
+        made = finished(p, source)
+        if made is None:
             reverted.append(p["seg_id"])
-            continue
-        made, old = masking.unmask(p["text"], singles, pairs), source[p["start"] : p["end"]]
-        kind = p["kind"] if "kind" in p else "paragraph"
-        if made != old and kind == "frontmatter":
-            made = masking.render_yaml(made, source, p["start"])
-        elif kind not in ("frontmatter", "comment"):
-            made = masking.render_escape(made, old)
-        todo.append((p["start"], p["end"], made, p["seg_id"]))
+        else:
+            todo.append((p["start"], p["end"], made, p["seg_id"]))
 
     def build(items):
-        out, at = [], 0
+        out, spans, at, length = [], [], 0, 0
         for a, b, t, _ in items:
             out += [source[at:a], t]
+            length += a - at
+            spans.append((length, length + len(t)))
+            length += len(t)
             at = b
-        return "".join([*out, source[at:]])
-
-    want = markdown.skeleton(source)
-    text = build(todo)
-    while todo and (got := markdown.skeleton(text)) != want:
-        # the first block that differs names the culprit: its segment, or else the first one
-        first = next((i for i, (x, y) in enumerate(zip(want, got, strict=False)) if x != y), min(len(want), len(got)))
-        k = min(len(todo) - 1, sum(1 for s in want[:first] if not s.startswith("raw:")))
-        reverted.append(todo.pop(k)[3])
-        text = build(todo)
+        return "".join([*out, source[at:]]), spans
+
+    want = [sig for sig, _, _ in markdown.outline(source)]
+    text, spans = build(todo)
+    for r in range(ROUNDS + 1):
+        if text == source:
+            break
+        got = markdown.outline(text)
+        if [sig for sig, _, _ in got] == want:
+            break
+        k = next((i for i, (x, y) in enumerate(zip(want, got, strict=False)) if x != y[0]), min(len(want), len(got)))
+        a, b = got[k][1:] if k < len(got) else (got[-1][1:] if got else (0, 0))
+        guilty = {i for i, (x, y) in enumerate(spans) if x <= b and y >= a and r < ROUNDS}
+        if not guilty and r < ROUNDS:  # the cause lies before the block
+            guilty = {max((i for i, (x, _) in enumerate(spans) if x <= b), default=0)}
+        reverted += [item[3] for i, item in enumerate(todo) if i in guilty or r == ROUNDS]
+        todo = [] if r == ROUNDS else [item for i, item in enumerate(todo) if i not in guilty]
+        text, spans = build(todo)
     return text, reverted
 
 
