@@ -177,7 +177,7 @@ def candidate_edges(reps: DataFrame, trees: int = TREES) -> DataFrame:
         if depth == DEPTH:
             edges.append(large.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
         else:
-            members = _branch(large.select("node", "rep"), reps)
+            members = materialize(_branch(large.select("node", "rep"), reps), f"branches-{depth}")
     leaves = small[0]
     for s in small[1:]:
         leaves = leaves.union(s)
