@@ -244,6 +244,26 @@ def skeleton(text: str) -> list[str]:
     return [sig for sig, _, _ in outline(text)]
 
 
+def code_blocks(text: str) -> list[tuple[str, str]]:
+    """(language, code) of every fenced block, also of one that nothing closes."""
+    out: list[tuple[str, str]] = []
+    open_: tuple[str, str] | None = None  # mark and language
+    code: list[str] = []
+    for raw in _LINE.findall(text):
+        line = raw.rstrip("\r\n")
+        if open_:
+            if re.match(rf"^ {{0,3}}{re.escape(open_[0][0])}{{{len(open_[0])},}}\s*$", line):
+                out.append((open_[1], "\n".join(code)))
+                open_, code = None, []
+            else:
+                code.append(line)
+        elif m := _FENCE.match(line):
+            open_ = (m[1], (m[2].split() or [""])[0])
+    if open_:
+        out.append((open_[1], "\n".join(code)))
+    return out
+
+
 def blocks(text: str) -> list[str]:
     """Blank-line blocks; fences and a front matter block stay whole."""
     out: list[str] = []

@@ -44,6 +44,12 @@ def masked_plain(c: Column) -> Column:
     return xml_unescape(F.regexp_replace(c, TAGS, ""))
 
 
+def same_tags(a: Column, b: Column) -> Column:
+    """True where two masked texts hold the same tags, each as often."""
+    listed = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit(TAGS), F.lit(0)))
+    return listed(a) == listed(b)
+
+
 def sanitize(translated: Column, source: Column) -> Column:
     """One line, with the outer white space of the source."""
     body = F.trim(F.regexp_replace(translated, r"\s*[\r\n]+\s*", " "))
@@ -126,6 +132,31 @@ def formality(option: Column, front_matter: Column, register: Column) -> Column:
     return F.coalesce(option, front_matter, F.when(register == "informal", "informal"), F.lit("formal"))
 
 
+# Names of languages by code.
+LANGUAGE_NAMES = dict(
+    x.split(":")
+    for x in (
+        "bg:Bulgarian cs:Czech da:Danish de:German el:Greek en:English es:Spanish et:Estonian fi:Finnish fr:French ga:Irish hr:Croatian hu:Hungarian it:Italian "
+        "ja:Japanese ko:Korean lt:Lithuanian lv:Latvian mt:Maltese nb:Norwegian nl:Dutch pl:Polish pt:Portuguese ro:Romanian sk:Slovak sl:Slovenian sv:Swedish "
+        "uk:Ukrainian zh:Chinese"
+    ).split()
+)
+
+
+def language_name(code: Column) -> Column:
+    """The name of a language by the base of its code, else the code itself."""
+    names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
+    return F.coalesce(names[F.lower(F.split(code, "[-_]")[0])], code)
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    return F.when(c.isNull() | F.isnan(c), "n/a").otherwise(F.concat(F.format_string(f"%.{digits}f", c.cast("double") * 100), F.lit("%")))
+
+
+def p_value(c: Column) -> Column:
+    return F.when(c.isNull() | F.isnan(c), "n/a").when(c < 0.001, "< 0.001").otherwise(F.format_string("%.3f", c.cast("double")))
+
+
 def switch(c: Column) -> Column:
     """true, 1, yes, on / false, 0, no, off; anything else is null."""
     t = F.lower(F.trim(c))

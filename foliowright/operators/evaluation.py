@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import scalars as S
 from ..functions import statistics as X
 
 
@@ -90,9 +89,7 @@ def latest_before(runs: DataFrame, history: DataFrame, by: list[str], at: str =
     """For each run the latest snapshot strictly before it: one sort by key and time, no range join."""
     h = history.select(*by, F.col(at).alias("__t"), F.struct("*").alias("__s"), F.lit(0).alias("__run"))
     r = runs.select(*by, F.col(at).alias("__t"), F.lit(None).cast(h.schema["__s"].dataType).alias("__s"), F.lit(1).alias("__run"))
-    w = W.Window.partitionBy(*by).orderBy("__t").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     strict = W.Window.partitionBy(*by).orderBy("__t", F.desc("__run")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    del w
     return h.union(r).withColumn("previous", F.last("__s", ignorenulls=True).over(strict)).where("__run = 1").select(*by, F.col("__t").alias(at), "previous")
 
 
@@ -105,9 +102,16 @@ def regression(now: DataFrame, before: DataFrame, by: list[str], rates: list[str
     return j.withColumn("status", F.when(d > 0, "better").when(d < 0, "worse").otherwise("same"))
 
 
+def dangling(targets: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Targets that are nowhere known, as often as they are named (a bag less a set)."""
+    return targets.join(known.select(*on).distinct(), on, "left_anti")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Quantiles by linear interpolation between ranks, and the mean."""
+    return df.groupBy(*by).agg(*[F.percentile(value, q).alias(name) for name, q in at.items()], F.avg(value).alias("mean"))
+
+
 def multiset_common(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     """Rows of both sides, as often as the rarer side has them."""
     return a.select(*cols).intersectAll(b.select(*cols))
-
-
-__all__ = ["S", "category_points", "decision", "defect_changes", "judge_reliability", "latest_before", "multiset_common", "pairwise_kappa", "panel", "regression", "tally"]

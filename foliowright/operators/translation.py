@@ -14,6 +14,36 @@ from ..functions import masking
 from ..functions import scalars as S
 
 BATCH_SEGMENTS, BATCH_CHARS = 40, 12000
+RETRY_SEGMENTS = 10
+SOURCE_LANGUAGE = "en"
+
+
+def jobs(docs: DataFrame, langs: list[str], source_lang: Column | None = None) -> DataFrame:
+    """Every document with each target language, but for those of the document's own language.
+
+    The targets are a list of the caller, so this is an explode of literals, no join.
+    """
+    rows = docs.withColumn("lang", F.explode(F.array(*map(F.lit, langs))))
+    return rows if source_lang is None else rows.where(~F.coalesce(S.same_language(source_lang, F.col("lang")), F.lit(False)))
+
+
+def source_language(option: Column, configured: Column, detected: Column) -> Column:
+    """The first of these that is not blank, else SOURCE_LANGUAGE."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (option, configured, detected)], F.lit(SOURCE_LANGUAGE))
+
+
+def translatable(docs: DataFrame, segments: DataFrame, doc: str = "doc") -> DataFrame:
+    """Documents that hold a segment to translate."""
+    return docs.join(segments.where("NOT passive").select(F.col("doc").alias(doc)), doc, "left_semi")
+
+
+def terms_for(terms: DataFrame, langs: list[str]) -> DataFrame:
+    """lang, term, text: glossary entries of each language, those of its base code where it has none of its own."""
+    wanted = terms.sparkSession.createDataFrame([(x,) for x in langs], "wanted string").withColumn("base", F.lower(F.split("wanted", "[-_]")[0]))
+    code = F.lower("lang")
+    hits = terms.join(F.broadcast(wanted), (code == F.lower("wanted")) | (code == F.col("base")))
+    best = hits.groupBy("wanted", "term").agg(F.min(F.struct((F.lower("lang") != F.lower("wanted")).alias("is_base"), "text")).alias("x"))
+    return best.select(F.col("wanted").alias("lang"), "term", F.col("x.text").alias("text"))
 
 
 def neighbours(segments: DataFrame, doc: str = "doc", seq: str = "seq", text: str = "masked") -> DataFrame:
@@ -27,33 +57,66 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256)
 
 
+def cache_keyed(segments: DataFrame, version: str, engine: str, review: str = "", formality: str = "formal", glossary: str = "") -> DataFrame:
+    """Adds key, on which a translation may be reused: what the engine sees of the segment and how it is set.
+
+    segments: doc, lang, seq, kind, masked, note.
+    """
+    near = W.Window.partitionBy("doc", "lang").orderBy("seq")
+    prev, after = F.lag("masked", 1, "").over(near), F.lead("masked", 1, "").over(near)
+    settings = [F.lit(x) for x in (version, engine, review)]
+    return segments.withColumn("key", content_key(*settings, F.col("lang"), F.lit(formality), F.col("kind"), F.col("note"), F.col("masked"), prev, after, F.lit(glossary)))
+
+
+def acceptable(source: Column, translated: Column) -> Column:
+    """True for a translation that holds the source's tags, each as often, and is not too short or long."""
+    return S.same_tags(source, translated) & ~S.ratio_fails(S.masked_plain(source), S.masked_plain(translated))
+
+
 def probe_cache(segments: DataFrame, cache: DataFrame, source: str = "masked") -> DataFrame:
-    """Left join on the key; a hit counts only while it still passes the length check."""
+    """Left join on the key; a hit counts only while it is still acceptable."""
     joined = segments.join(cache.select("key", F.col("text").alias("__hit")), "key", "left")
-    ok = F.col("__hit").isNotNull() & ~S.ratio_fails(F.col(source), F.col("__hit"))
+    ok = F.col("__hit").isNotNull() & acceptable(F.col(source), F.col("__hit"))
     return joined.withColumn("text", F.when(ok, F.col("__hit"))).withColumn("via", F.when(ok, "cache")).drop("__hit")
 
 
+def packed(sizes, max_items: int, max_size: int) -> list[int]:
+    """The batch of each size, in order: one closes when the next would exceed either limit."""
+    out, batch, items, total = [], 0, 0, 0
+    for n in sizes:
+        if items and (items >= max_items or total + n > max_size):
+            batch, items, total = batch + 1, 0, 0
+        items, total = items + 1, total + n
+        out.append(batch)
+    return out
+
+
 def batches(rows: DataFrame, by: list[str], order: str, text: str, max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS) -> DataFrame:
     """Adds batch: greedy packing in order, a batch closes when one more would exceed either limit.
 
-    A fold over one document's lengths (numbers, not texts), so a group stays small.
+    Only keys and lengths are grouped, three numbers a segment, and each group is read once. Equal places in
+    the order get one batch, that of the first.
     """
-    units = S.utf16_length(F.col(text)).cast("long")
-    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), units.alias("n")))).alias("__r"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<o:bigint,b:int>>").alias("out"))
+    small = rows.select(*by, order, S.utf16_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("__n"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[:-1])
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([order, "__n"], kind="stable")
+        return group.assign(batch=packed(group["__n"], max_items, max_chars)).drop(columns="__n")
 
-    def step(a, x):
-        full = (a["c"] > 0) & ((a["c"] >= max_items) | (a["n"] + x["n"] > max_chars))
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(a["c"] + 1).alias("c"), F.when(full, x["n"]).otherwise(a["n"] + x["n"]).alias("n"), F.concat(a["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), b.alias("b")))).alias("out"))
+    dealt = small.groupBy(*by).applyInPandas(pack, f"{kinds}, batch int").groupBy(*by, order).agg(F.min("batch").alias("batch"))
+    return rows.join(dealt, [*by, order])
 
-    folded = lists.select(*by, F.explode(F.aggregate("__r", zero, step, lambda a: a["out"])).alias("x"))
-    return rows.join(folded.select(*by, F.col("x.o").alias(order), F.col("x.b").alias("batch")), [*by, order])
+
+class TooLong(Exception):
+    """An engine raises it for a request whose answer would not fit; the request is halved."""
 
 
 class Translator(Protocol):
-    """An engine: masked texts and a target language to masked texts (None: it failed)."""
+    """An engine: masked texts and a target language to masked texts (None: it failed).
+
+    It may also have ``retry(texts, lang, previous, problems)``, which is then asked where answers were bad.
+    """
 
     name: str
 
@@ -86,72 +149,126 @@ class Memory:
         return [self.known.get(t) for t in texts]
 
 
-OUTCOMES = "doc string, lang string, seg_id string, kind string, text string, via string, retries int, errors array<string>, untranslated boolean"
+def ask(call, items: list) -> list[str | None]:
+    """The answers of ``call`` to a request; one that is too long is halved, one that fails has no answers."""
+    try:
+        got = call(items)
+        return [*got[: len(items)], *[None] * (len(items) - len(got))]
+    except TooLong:
+        if len(items) < 2:
+            return [None] * len(items)
+        half = len(items) // 2
+        return ask(call, items[:half]) + ask(call, items[half:])
+
+
+OUTCOMES = "doc string, lang string, seg_id string, kind string, text string, via string, retries int, errors array<string>, source string"
 
 
-def translate(segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2) -> DataFrame:
+def translate(segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Outcome of every active segment and language: engine, else retries, else fallback, else source.
 
-    One narrow stage per call: a failing text is tried again inside its task, so a lost task repeats
-    only its own rows. Answers are checked (tags, length) before they count.
+    One narrow stage: a failing text is asked again inside its task, so a lost task repeats only its own
+    rows. Requests hold at most BATCH_SEGMENTS texts and BATCH_CHARS characters of a document, retries
+    RETRY_SEGMENTS. Answers become one line where the source is one and are checked (tags, length by
+    language) before they count.
     """
-    rows = segments.where("NOT passive").select("doc", "seg_id", "kind", "masked", F.map_keys("singles").alias("s"), F.map_keys("pairs").alias("g"), F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
+    rows = jobs(segments.where("NOT passive").select("doc", "seg_id", "kind", "masked", F.map_keys("singles").alias("s"), F.map_keys("pairs").alias("g")), langs)
+    limits = ratios or {}
 
-    def check(src, singles, pairs, got):
+    def check(src, singles, pairs, got, lang):
+        if got is None:
+            return ["no answer for this segment"]
         errors = masking.check_tags(set(singles), set(pairs), got)
-        n = len(src.encode("utf-16-le")) / 2
-        if n >= S.RATIO_FROM and not S.RATIO[0] <= len(got.encode("utf-16-le")) / 2 / n <= S.RATIO[1]:
+        units = lambda s: len(masking.plain_text(s).strip().encode("utf-16-le", "surrogatepass")) / 2
+        low, high = limits.get(lang, S.RATIO)
+        n = units(src)
+        if n >= S.RATIO_FROM and not low <= units(got) / n <= high:
             errors.append("length ratio")
         return errors
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             out = []
-            for lang, part in b.groupby("lang", sort=False):
-                state = {i: [None, "source", 0, []] for i in part.index}
-                todo = list(part.index)
+            for (_, lang), part in b.groupby(["doc", "lang"], sort=False):
+                src, singles, pairs = (part[c].tolist() for c in ("masked", "s", "g"))
+                text, via = [None] * len(src), ["source"] * len(src)
+                retries, errors, given = [0] * len(src), [[] for _ in src], [None] * len(src)
+                todo = list(range(len(src)))
                 for e, rounds in ((engine, 1 + attempts), (fallback, 1)):
                     for r in range(rounds if e else 0):
-                        if not todo:
-                            break
-                        answers = e.translate([part.at[i, "masked"] for i in todo], lang)
+                        again = r and hasattr(e, "retry")
+                        call = (lambda at, e=e: e.retry([src[i] for i in at], lang, [given[i] for i in at], [errors[i] for i in at])) if again else (lambda at, e=e: e.translate([src[i] for i in at], lang))
+                        dealt = packed([len(src[i]) for i in todo], RETRY_SEGMENTS if r else BATCH_SEGMENTS, BATCH_CHARS)
                         left = []
-                        for i, got in zip(todo, answers, strict=True):
-                            errors = ["segment missing from the response"] if got is None else check(part.at[i, "masked"], part.at[i, "s"], part.at[i, "g"], got)
-                            if errors:
-                                state[i][3] = errors
-                                left.append(i)
-                            else:
-                                state[i] = [got, e.name, r, []]
+                        for k in range(dealt[-1] + 1 if dealt else 0):
+                            at = [i for i, d in zip(todo, dealt, strict=True) if d == k]
+                            for i, got in zip(at, ask(call, at), strict=True):
+                                got = masking.sanitize(got, src[i])
+                                errors[i], given[i] = check(src[i], singles[i], pairs[i], got, lang), got
+                                retries[i] = max(retries[i], r)
+                                if errors[i]:
+                                    left.append(i)
+                                else:
+                                    text[i], via[i] = got, e.name
                         todo = left
-                        for i in todo:
-                            state[i][2] = max(state[i][2], r)
-                for i, (text, via, retries, errors) in state.items():
-                    src = part.at[i, "masked"]
-                    long_words = sum(len(w) >= 3 for w in masking.plain_text(src).split())
-                    out.append((part.at[i, "doc"], lang, part.at[i, "seg_id"], part.at[i, "kind"], text, via, retries, errors, long_words >= 4 and text == src))
-            yield pd.DataFrame(out, columns=["doc", "lang", "seg_id", "kind", "text", "via", "retries", "errors", "untranslated"])
+                out.append(part[["doc", "lang", "seg_id", "kind"]].assign(text=text, via=via, retries=retries, errors=errors, source=src))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["doc", "lang", "seg_id", "kind", "text", "via", "retries", "errors", "source"])
 
-    return rows.mapInPandas(run, OUTCOMES)
+    made = rows.mapInPandas(run, OUTCOMES)
+    same = S.untranslated(F.trim(S.masked_plain(F.col("source"))), F.trim(S.masked_plain(F.col("text"))))
+    return made.withColumn("untranslated", F.coalesce(same, F.lit(False)))
 
 
 def apply_review(outcomes: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (doc, lang, seg_id, text, category, severity, explanation) that change something and are not
-    for cached text; the text before is kept in ``review``. Unknown ids drop out of the join."""
-    e = edits.select("doc", "lang", "seg_id", F.col("text").alias("__t"), "category", "severity", "explanation")
+    """Edits (doc, lang, seg_id, text, category, severity, explanation) that change something, are not for
+    cached text and, where outcomes carry their source, are acceptable and don't bring a comment back to it;
+    the text before is kept in ``review``. Unknown ids drop out of the join; of several edits the last by text counts."""
+    e = edits.groupBy("doc", "lang", "seg_id").agg(F.max(F.struct("text", "category", "severity", "explanation")).alias("__e"))
     j = outcomes.join(e, ["doc", "lang", "seg_id"], "left")
-    use = F.col("__t").isNotNull() & (F.col("via") != "cache") & F.col("text").isNotNull() & (F.col("__t") != F.col("text"))
-    review = F.when(use, F.struct("category", "severity", "explanation", F.col("text").alias("before")))
-    return j.withColumn("review", review).withColumn("text", F.when(use, F.col("__t")).otherwise(F.col("text"))).drop("__t", "category", "severity", "explanation")
-
-
-def report(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Roll-up by document and language with a status; counts are pre-aggregated map-side."""
-    vias = ("cache", "gpt", "nmt", "pseudo", "tm", "identity", "source")
-    out = outcomes.groupBy(*by).agg(
-        F.count("*").alias("segments"),
-        *[F.count_if(F.col("via") == v).alias(f"via_{v}") for v in vias],
-        F.count_if(F.col("retries") > 0).alias("retried"),
+    new = F.col("__e.text")
+    use = new.isNotNull() & (F.col("via") != "cache") & F.col("text").isNotNull() & (new != F.col("text"))
+    if "source" in outcomes.columns:
+        back = (F.col("kind") == "comment") & (F.trim(S.masked_plain(new)) == F.trim(S.masked_plain(F.col("source"))))
+        use = use & F.coalesce(acceptable(F.col("source"), new), F.lit(False)) & ~F.coalesce(back, F.lit(False))
+    review = F.when(use, F.struct("__e.category", "__e.severity", "__e.explanation", F.col("text").alias("before")))
+    return j.withColumn("review", review).withColumn("text", F.when(use, new).otherwise(F.col("text"))).drop("__e")
+
+
+VIAS = ("cache", "gpt", "nmt", "pseudo", "tm", "identity", "source")
+
+
+def run_counters(outcomes: DataFrame, by: list[str], vias: tuple[str, ...] = VIAS) -> DataFrame:
+    """Segments in all, by the engine that gave them, and tried again."""
+    return outcomes.groupBy(*by).agg(F.count("*").alias("segments"), *[F.count_if(F.col("via") == v).alias(f"via_{v}") for v in vias], F.count_if(F.col("retries") > 0).alias("retried"))
+
+
+def report(outcomes: DataFrame, by: list[str], vias: tuple[str, ...] = VIAS) -> DataFrame:
+    """Roll-up by document and language with a status, review edits, and the segments that stayed as they were.
+
+    Counts are pre-aggregated map-side; the lists hold ids of one document.
+    """
+    counts = run_counters(outcomes, by, vias)
+    kept = F.sort_array(F.collect_list(F.when(F.col("via") == "source", F.struct(F.col("seg_id").alias("id"), "errors"))))
+    lists = outcomes.groupBy(*by).agg(
         F.count_if("untranslated").alias("untranslated"),
+        F.sort_array(F.collect_list(F.when(F.col("untranslated"), F.col("seg_id")))).alias("untranslated_ids"),
+        kept.alias("kept_source"),
+        (F.count_if(F.col("review").isNotNull()) if "review" in outcomes.columns else F.lit(0).cast("long")).alias("review_edits"),
     )
-    return out.withColumn("status", F.when(F.col("via_source") == 0, "translated").when(F.col("via_source") < F.col("segments"), "partial").otherwise("failed"))
+    return counts.join(lists, by).withColumn("status", status(F.col("via_source"), F.col("segments")))
+
+
+def status(kept: Column, segments: Column) -> Column:
+    return F.when(kept == 0, "translated").when(kept < segments, "partial").otherwise("failed")
+
+
+def worst(statuses: DataFrame, by: list[str], column: str = "status") -> DataFrame:
+    """The worst status of each group: failed before partial before translated."""
+    rank = F.when(F.col(column) == "failed", 2).when(F.col(column) == "partial", 1).otherwise(0)
+    out = statuses.groupBy(*by).agg(F.max(rank).alias("rank"))
+    return out.withColumn(column, F.when(F.col("rank") == 2, "failed").when(F.col("rank") == 1, "partial").otherwise("translated"))
+
+
+def usage(calls: DataFrame, by: list[str], prompt: str = "prompt", completion: str = "completion") -> DataFrame:
+    """Calls and tokens of each deployment or purpose."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), F.sum(prompt).alias("prompt"), F.sum(completion).alias("completion"))

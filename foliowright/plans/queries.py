@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import markdown
 from ..functions import scalars as S
 from ..functions import statistics as X
 from ..operators import documents as D
@@ -70,32 +71,32 @@ def document_round_trip(spark, d):
     return made.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("reverted")).alias("reverted"), F.count_if("identical").alias("identical"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
-@register("SELECT count(*) AS docs, count(*) AS identical FROM documents WHERE trim(text) <> ''")
+@register(r"SELECT count(*) AS docs, count(*) AS assembled, count(*) AS identical FROM documents WHERE regexp_matches(text, '\p{L}')")
 def identity_proof(spark, d):
-    """Every document spliced with its own segments is the same, byte for byte."""
-    docs = _t(spark, d, "documents").where(F.trim("text") != "").select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
+    """Every document with a letter is assembled from its own segments and the same, byte for byte."""
+    docs = _t(spark, d, "documents").where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
     seg = D.extract_segments(docs)
     made = D.assemble(docs, seg, seg.select("doc", F.lit("xx").alias("lang"), "seg_id", F.col("masked").alias("text")))
-    joined = docs.join(made, "doc", "left")
-    return joined.agg(F.count("*").alias("docs"), F.count_if(F.coalesce(F.col("text"), F.col("content")) == F.col("content")).alias("identical"))
+    joined = docs.join(made.where("error IS NULL"), "doc", "left")
+    return joined.agg(F.count("*").alias("docs"), F.count("text").alias("assembled"), F.count_if(F.col("text") == F.col("content")).alias("identical"))
 
 
 @register()
 def extract_documents(spark, d):
-    seg = D.extract_segments(_t(spark, d, "documents"), "doc_id", "text")
+    seg = D.extract_segments(D.spread(_t(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return seg.groupBy("kind").agg(F.count("*").alias("segments"), F.sum(F.length("masked")).alias("chars"), F.sum(F.size("singles")).alias("tags"), F.count_if("passive").alias("passive"))
 
 
 @register()
 def extract_pages(spark, d):
-    seg = D.extract_segments(_t(spark, d, "pages"), "page_id", "html", html=True)
+    seg = D.extract_segments(D.spread(_t(spark, d, "pages").select("page_id", "html")), "page_id", "html", html=True)
     return seg.groupBy("kind").agg(F.count("*").alias("segments"), F.countDistinct("doc").alias("docs"), F.sum(F.length("original")).alias("chars"))
 
 
 @register()
 def protected_union(spark, d):
     """All 36 protection rules with overlap elimination, over whole texts."""
-    spans = D.protected_spans(_t(spark, d, "documents"), ["doc_id"])
+    spans = D.protected_spans(D.spread(_t(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
     return spans.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -136,16 +137,18 @@ def code_comment_prose(spark, d):
 
 
 @register(r"""
-WITH h AS (SELECT doc_id, lang, source, replace(regexp_replace(lower(concat(lang, ' & ', source, '!')), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') AS s FROM documents)
-SELECT source, doc_id, s || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END AS slug
-FROM (SELECT *, row_number() OVER (PARTITION BY source, s ORDER BY doc_id) AS n FROM h WHERE lang IS NOT NULL AND source IS NOT NULL)
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents),
+n AS (SELECT doc_id, lower(w) AS s, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS headings, sum(n - 1)::BIGINT AS numbered, max(CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END) AS last FROM n GROUP BY 1
 """)
 def heading_slug_numbers(spark, d):
-    """Slugs of headings; repeated ones in a file are numbered in order."""
-    h = _t(spark, d, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
-    h = h.select("source", "doc_id", S.slug(F.concat("lang", F.lit(" & "), "source", F.lit("!"))).alias("s"))
-    n = F.row_number().over(W.Window.partitionBy("source", "s").orderBy("doc_id"))
-    return h.select("source", "doc_id", F.concat("s", F.when(n > 1, F.concat(F.lit("-"), (n - 1).cast("string"))).otherwise("")).alias("slug"))
+    """Slugs of a document whose words are headings; repeated ones are numbered in order."""
+    lines = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.concat(F.lit("## "), w))
+    h = D.heading_slugs(D.spread(_t(spark, d, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))), ["doc_id"])
+    plain = F.regexp_replace("slug", "-[0-9]+$", "")
+    h = h.withColumn("n", F.coalesce(F.nullif(F.regexp_extract("slug", "-([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)))
+    top = h.groupBy("doc_id", plain.alias("s")).agg(F.count("*").alias("c"), F.max("n").alias("m"), F.max_by("slug", "n").alias("slug"))
+    return top.groupBy("doc_id").agg(F.sum("c").alias("headings"), F.sum("m").alias("numbered"), F.max("slug").alias("last"))
 
 
 @register()
@@ -236,36 +239,58 @@ def cache_keys(spark, d):
 
 
 @register("""
-WITH c AS (SELECT sha256(text) AS key, min(upper(role)) AS hit FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1)
-SELECT count(*) AS rows, count(hit) AS hits FROM conversations s LEFT JOIN c ON c.key = sha256(s.text)
+WITH c AS (SELECT sha256(text) AS key, min(CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 10) ELSE text || '.' END) AS hit FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1)
+SELECT role, count(*) AS rows, count(*) FILTER (hit IS NOT NULL AND (length(trim(text)) < 25 OR length(hit)::DOUBLE / length(text) BETWEEN 0.4 AND 3.0)) AS hits
+FROM conversations s LEFT JOIN c ON c.key = sha256(s.text) GROUP BY 1
 """)
 def cache_probe(spark, d):
-    s = _t(spark, d, "conversations").withColumn("key", F.sha2("text", 256))
-    c = s.where("conv_id % 2 = 0").groupBy("key").agg(F.min(F.upper("role")).alias("hit"))
-    return s.join(c, "key", "left").agg(F.count("*").alias("rows"), F.count("hit").alias("hits"))
+    """Hits of a cache that holds half of the texts; those cut to ten characters are too short to count."""
+    s = _t(spark, d, "conversations").withColumn("key", F.sha2("text", 256)).withColumn("masked", S.xml_escape(F.col("text")))
+    kept = F.when(F.length("text") % 3 == 0, F.substring("text", 1, 10)).otherwise(F.concat("text", F.lit(".")))
+    c = s.where("conv_id % 2 = 0").groupBy("key").agg(F.min(kept).alias("text")).withColumn("text", S.xml_escape(F.col("text")))
+    return T.probe_cache(s.drop("text"), c).groupBy("role").agg(F.count("*").alias("rows"), F.count("text").alias("hits"))
 
 
-@register()
+@register("""
+WITH RECURSIVE r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, length(text) AS n FROM conversations),
+p AS (
+  SELECT conv_id, i, n, 0 AS batch, 1 AS items, n AS chars FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.conv_id, r.i, r.n, CASE WHEN p.items >= 3 OR p.chars + r.n > 400 THEN p.batch + 1 ELSE p.batch END,
+    CASE WHEN p.items >= 3 OR p.chars + r.n > 400 THEN 1 ELSE p.items + 1 END, CASE WHEN p.items >= 3 OR p.chars + r.n > 400 THEN r.n ELSE p.chars + r.n END
+  FROM p JOIN r ON r.conv_id = p.conv_id AND r.i = p.i + 1
+)
+SELECT conv_id, batch, count(*) AS items, sum(n)::BIGINT AS chars FROM p GROUP BY 1, 2
+""")
 def batch_packing(spark, d):
     b = T.batches(_t(spark, d, "conversations"), ["conv_id"], "turn", "text", 3, 400)
     return b.groupBy("conv_id", "batch").agg(F.count("*").alias("items"), F.sum(F.length("text")).alias("chars"))
 
 
-@register("""
-SELECT user_id % 50 AS doc, count(*) AS segments, count(*) FILTER (event_type = 'click') AS via_click, count(*) FILTER (event_type = 'view') AS via_view,
-  count(*) FILTER (value > 50) AS retried, sum(CASE WHEN event_type NOT IN ('click', 'view') THEN 1 ELSE 0 END)::BIGINT AS via_other
-FROM events GROUP BY 1
+_VIA_SQL = "CASE event_type WHEN 'click' THEN 'cache' WHEN 'view' THEN 'gpt' WHEN 'signup' THEN 'nmt' ELSE 'source' END"
+
+
+@register(f"""
+WITH o AS (SELECT user_id % 50 AS doc, 's' || event_id AS id, {_VIA_SQL} AS via, value > 50 AS again, event_id % 7 = 0 AS same, event_id % 5 = 0 AS edited FROM events)
+SELECT doc, count(*) AS segments, count(*) FILTER (via = 'cache') AS via_cache, count(*) FILTER (via = 'gpt') AS via_gpt, count(*) FILTER (via = 'nmt') AS via_nmt,
+  count(*) FILTER (via = 'source') AS via_source, count(*) FILTER (again) AS retried, count(*) FILTER (same) AS untranslated, min(id) FILTER (same) AS first_untranslated,
+  min(id) FILTER (via = 'source') AS first_kept, count(*) FILTER (edited) AS review_edits,
+  CASE WHEN count(*) FILTER (via = 'source') = 0 THEN 'translated' WHEN count(*) FILTER (via = 'source') < count(*) THEN 'partial' ELSE 'failed' END AS status
+FROM o GROUP BY 1
 """)
 def report_rollup(spark, d):
-    e = _t(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 50).alias("doc")).agg(
-        F.count("*").alias("segments"), F.count_if(F.col("event_type") == "click").alias("via_click"), F.count_if(F.col("event_type") == "view").alias("via_view"),
-        F.count_if(F.col("value") > 50).alias("retried"), F.sum(F.when(~F.col("event_type").isin("click", "view"), 1).otherwise(0)).alias("via_other"))
+    """The report of outcomes that events stand for."""
+    via = F.when(F.col("event_type") == "click", "cache").when(F.col("event_type") == "view", "gpt").when(F.col("event_type") == "signup", "nmt").otherwise("source")
+    o = _t(spark, d, "events").select(
+        (F.col("user_id") % 50).alias("doc"), F.concat(F.lit("s"), "event_id").alias("seg_id"), via.alias("via"), (F.col("value") > 50).cast("int").alias("retries"),
+        (F.col("event_id") % 7 == 0).alias("untranslated"), F.array(F.lit("x")).alias("errors"), F.when(F.col("event_id") % 5 == 0, "edit").alias("review"))
+    r = T.report(o, ["doc"])
+    return r.select("doc", "segments", "via_cache", "via_gpt", "via_nmt", "via_source", "retried", "untranslated", F.get("untranslated_ids", F.lit(0)).alias("first_untranslated"), F.get("kept_source", F.lit(0))["id"].alias("first_kept"), "review_edits", "status")
 
 
 @register("SELECT event_type AS deployment, count(*) AS calls, sum(user_id)::BIGINT AS prompt, sum(event_id % 1000)::BIGINT AS completion FROM events GROUP BY 1")
 def token_usage(spark, d):
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("deployment")).agg(F.count("*").alias("calls"), F.sum("user_id").alias("prompt"), F.sum(F.col("event_id") % 1000).alias("completion"))
+    return T.usage(_t(spark, d, "events").select(F.col("event_type").alias("deployment"), F.col("user_id").alias("prompt"), (F.col("event_id") % 1000).alias("completion")), ["deployment"])
 
 
 @register("""
@@ -273,20 +298,20 @@ SELECT conv_id, max(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0
   CASE max(CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END) WHEN 2 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'translated' END AS status FROM conversations GROUP BY 1
 """)
 def worst_status(spark, d):
-    r = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(0)
-    x = _t(spark, d, "conversations").groupBy("conv_id").agg(F.max(r).alias("rank"))
-    return x.withColumn("status", F.when(F.col("rank") == 2, "failed").when(F.col("rank") == 1, "partial").otherwise("translated"))
+    named = F.when(F.col("role") == "user", "partial").when(F.col("role") == "assistant", "failed").otherwise("translated")
+    return T.worst(_t(spark, d, "conversations").select("conv_id", named.alias("status")), ["conv_id"])
 
 
 # ---- HTML
 
 
-@register("""
-SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x)), ' ') AS skeleton FROM pages
+@register(r"""
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<!--(?s:.*?)-->|<![^>]*>|</?[A-Za-z][^>]*>'), lambda x: regexp_replace(x, '( (?:alt|title)=")[^"]*"', '\1…"', 'g')), ' ') AS skeleton FROM pages
 """)
 def html_skeletons(spark, d):
-    tags = F.transform(F.regexp_extract_all("html", F.lit("</?[A-Za-z][A-Za-z0-9]*"), F.lit(0)), F.lower)
-    return _t(spark, d, "pages").select("page_id", F.array_join(tags, " ").alias("skeleton"))
+    """The tags of a page with their prose attributes blanked."""
+    p = D.map_column(_t(spark, d, "pages"), "html", "tags", markdown.html_skeleton, "array<string>")
+    return p.select("page_id", F.array_join("tags", " ").alias("skeleton"))
 
 
 @register("""
@@ -296,7 +321,7 @@ SELECT t.page_id, t.target, count(*) AS n FROM t ANTI JOIN k ON k.url = t.target
 def html_targets_broken(spark, d):
     p = _t(spark, d, "pages")
     t = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
-    return t.join(p.select(F.col("url").alias("target")), "target", "left_anti").groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    return E.dangling(t, p.select(F.col("url").alias("target")), ["target"]).groupBy("page_id", "target").agg(F.count("*").alias("n"))
 
 
 @register("""
@@ -401,7 +426,8 @@ def holm_adjust(spark, d):
 SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), 6) AS median, round(quantile_cont(value::DOUBLE, 0.9), 6) AS p90, round(avg(value), 6) AS mean FROM events GROUP BY 1
 """)
 def duration_quantiles(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.avg("value"), 6).alias("mean"))
+    q = E.quantiles(_t(spark, d, "events"), ["event_type"], "value", {"median": 0.5, "p90": 0.9})
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "p90", "mean")])
 
 
 @register()
@@ -438,6 +464,7 @@ SELECT defect, 'new' AS change FROM (SELECT defect FROM a EXCEPT SELECT defect F
 UNION ALL SELECT g.defect, CASE WHEN e.defect IS NULL THEN 'retired' ELSE 'fixed' END FROM (SELECT defect FROM b EXCEPT SELECT defect FROM a) g LEFT JOIN e ON e.defect = g.defect
 """)
 def defect_diff(spark, d):
+    """Defects of two runs, for which the first and second line of orders stand."""
     l = _t(spark, d, "lineitem")
     key = F.concat(F.lit("d"), F.col("l_orderkey"), F.lit("|"), F.col("l_returnflag")).alias("defect")
     e = _t(spark, d, "orders").select(F.concat(F.lit("d"), F.col("o_orderkey"), F.lit("|N")).alias("defect"))
@@ -449,6 +476,7 @@ WITH w AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM docum
 SELECT line, count(*) AS n FROM (SELECT line FROM w WHERE source = 'src1' INTERSECT ALL SELECT line FROM w WHERE source = 'src2') GROUP BY 1
 """)
 def english_left(spark, d):
+    """Lines that two texts share, each as often as the rarer side has it; the lines of two sources stand for them."""
     w = _t(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
     return E.multiset_common(w.where("source = 'src1'"), w.where("source = 'src2'"), ["line"]).groupBy("line").agg(F.count("*").alias("n"))
 

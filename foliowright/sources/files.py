@@ -28,8 +28,14 @@ def request(spark: SparkSession, files: dict[str, str], most: int = 500, longest
 
 
 def languages(spark: SparkSession, path: str) -> DataFrame:
-    """code, is_default and the settings of every language; codes in lower case."""
+    """code, is_default and the settings of every language; codes in lower case.
+
+    A default target that the catalogue does not hold is an error.
+    """
     row = spark.read.schema(LANGUAGES).option("multiLine", "true").json(path)
+    lost = row.select(F.array_except(F.transform("defaultTargets", F.lower), F.transform(F.map_keys("languages"), F.lower)).alias("x")).first()
+    if lost and lost["x"]:
+        raise ValueError(f"default targets without an entry: {', '.join(lost['x'])}")
     return row.select("defaultTargets", F.explode("languages").alias("code", "v")).select(F.lower("code").alias("code"), F.array_contains("defaultTargets", F.col("code")).alias("is_default"), "v.*")
 
 
@@ -42,8 +48,21 @@ def glossary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def memory(spark: SparkSession, path: str) -> DataFrame:
-    """doc, lang, seg_id, text of saved translation memories (JSON lines)."""
-    return spark.read.schema(MEMORY).json(path).select("doc", "lang", F.explode("tm").alias("seg_id", "text"))
+    """doc, lang, seg_id, text of saved translation memories (JSON lines).
+
+    tm is an object of ids or a list of [id, text]; other fields, as reports have them, are not read. A null
+    text is left out; of an id that stands twice in a list the last counts.
+    """
+    raw = spark.read.schema("doc string, lang string, tm string").json(path)
+    listed = F.from_json("tm", "array<array<string>>")
+    pairs = F.coalesce(F.map_entries(F.from_json("tm", "map<string,string>")), F.transform(listed, lambda x: F.struct(x[0].alias("key"), x[1].alias("value"))))
+    rows = raw.select("doc", "lang", F.posexplode(pairs).alias("at", "e")).where("e.key IS NOT NULL AND e.value IS NOT NULL")
+    return rows.groupBy("doc", "lang", F.col("e.key").alias("seg_id")).agg(F.max_by("e.value", "at").alias("text"))
+
+
+def analyses(spark: SparkSession, path: str) -> DataFrame:
+    """doc and what an earlier analysis found: language, register, domain, dnt, terminology (JSON lines)."""
+    return spark.read.schema("doc string, language string, register string, domain string, dnt array<string>, terminology array<struct<term:string,translation:string,note:string>>").json(path)
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -54,8 +73,35 @@ def write_documents(assembled: DataFrame, path: str) -> None:
     assembled.write.mode("overwrite").partitionBy("lang").parquet(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_report(reports: DataFrame, path: str, outcomes: DataFrame | None = None) -> None:
+    """One JSON object a document and language; with outcomes, also its translations in document order and how
+    each segment came about."""
+    if outcomes is not None:
+        number = F.regexp_extract("seg_id", r"(\d+)", 1).cast("int")
+        rows = F.array_sort(F.collect_list(F.struct(number.alias("seq"), "seg_id", "kind", "via", "retries", "errors", "text")))
+        per = outcomes.groupBy("doc", "lang").agg(rows.alias("__r"))
+        tm = F.transform(F.filter("__r", lambda r: r["text"].isNotNull()), lambda r: F.array(r["seg_id"], r["text"]))
+        reports = reports.join(per.select("doc", "lang", tm.alias("tm"), F.transform("__r", lambda r: r.dropFields("seq", "text")).alias("segments_detail")), ["doc", "lang"], "left")
+    reports.write.mode("overwrite").json(path)
+
+
+def extraction_dump(segments: DataFrame, docs: DataFrame, doc: str = "doc", content: str = "content") -> DataFrame:
+    """doc, json of each document's segments in order, with byte offsets of what they replace."""
+    d = docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("__c"))
+    byte = lambda at: F.octet_length(F.substring(F.col("__c"), F.lit(1), at))
+    rows = segments.join(d, "doc").select("doc", F.struct("seq", F.col("seg_id").alias("id"), "kind", "note", "masked", "original", "passive", byte(F.col("start")).alias("start"), byte(F.col("end")).alias("end")).alias("s"))
+    listed = F.transform(F.array_sort(F.collect_list("s")), lambda x: x.dropFields("seq"))
+    return rows.groupBy("doc").agg(F.to_json(F.struct(listed.alias("segments"))).alias("json"))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Adds raw results (doc, lang, variant, fingerprint, ...) to the store that a resumed run reads."""
+    runs.write.mode("append").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("doc", "lang", "variant", "fingerprint")) -> DataFrame:
+    """One result a key; writers that were started twice may have stored it twice."""
+    return spark.read.schema(schema).parquet(path).dropDuplicates(list(keys))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
