@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load, map_texts
+from .license_texts import WHOLE
 
 # The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Template label and text (short notices in common use).
-TEMPLATES = (
+# Template label and text (short notices in common use; whole texts stand beside this module).
+NOTICES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -44,6 +45,7 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "Copyright. All rights reserved. No part of this publication may be reproduced without permission"),
 )
+TEMPLATES = (*NOTICES, *WHOLE)
 #: Words that tell one license from another. A block must hold those of every entry that its template holds.
 NAMES = ("mit license", "apache", "mozilla", "general", "lesser", "affero", "cc by", "nc", "sa", "creative commons attribution")
 THRESHOLD = 0.8
