@@ -276,7 +276,8 @@ def defect_keys(defects: DataFrame) -> DataFrame:
 def still_expected(gone: DataFrame, expectations: DataFrame) -> DataFrame:
     """defect keys (doc, type, detail, defect) whose expectation still exists: their string for over- and
     untranslated ones, their document for all others."""
-    e = expectations.select("doc", F.explode(F.concat(*[F.transform(c, lambda s, t=t: F.struct(F.lit(t).alias("type"), s.alias("detail"))) for t, c in (("overtranslated", "keep"), ("untranslated", "translate"))])).alias("x"))
+    strings = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("detail")))
+    e = expectations.select("doc", F.explode(F.concat(strings("overtranslated", "keep"), strings("untranslated", "translate"))).alias("x"))
     by_string = gone.where("type IN ('overtranslated', 'untranslated')").join(e.select("doc", "x.type", "x.detail").distinct(), ["doc", "type", "detail"], "left_semi")
     by_doc = gone.where("type NOT IN ('overtranslated', 'untranslated')").join(expectations.select("doc").distinct(), "doc", "left_semi")
     return by_string.select("defect").union(by_doc.select("defect"))
