@@ -33,21 +33,20 @@ def test_functions_in_sql(spark):
     assert r["b"] == ["a", "b"] and len(r["f"]) == 1 and r["u"] is True and r["z"] is None and r["h"] == ["a-b"]
 
 
-class Stubborn:
-    """Fails on long requests, gives a bad answer first and a good one when told what was wrong."""
-
-    name = "stub"
+def test_requests_are_halved_and_retried_with_problems(spark):
+    class Stubborn:
+        """Fails on long requests, gives a bad answer first and a good one when told what was wrong."""
 
-    def translate(self, texts, lang):
-        if len(texts) > 1:
-            raise T.TooLong
-        return ["kein Zeichen"]
+        name = "stub"
 
-    def retry(self, texts, lang, previous, problems):
-        return [masking.pseudo(t) if p and faults else None for t, p, faults in zip(texts, previous, problems, strict=True)]
+        def translate(self, texts, lang):
+            if len(texts) > 1:
+                raise T.TooLong
+            return ["kein Zeichen"]
 
+        def retry(self, texts, lang, previous, problems):
+            return [masking.pseudo(t) if p and faults else None for t, p, faults in zip(texts, previous, problems, strict=True)]
 
-def test_requests_are_halved_and_retried_with_problems(spark):
     docs = spark.createDataFrame([("a", "Some **bold** words.\n\nMore `code` here now.\n")], "doc string, content string")
     out = T.translate(D.extract_segments(docs), ["fr"], Stubborn()).collect()
     assert len(out) == 2 and all(r["via"] == "stub" and r["retries"] == 1 and r["errors"] == [] for r in out)
