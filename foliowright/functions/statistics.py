@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -63,22 +64,56 @@ def fleiss_kappa(df: DataFrame, by: list[str], item: str, rating: str) -> DataFr
     return out.select(*by, "items", F.when(F.col("pe") == 1, 1.0).otherwise((F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
-def mulberry32(seed: int, n: int) -> np.ndarray:
-    """n numbers in [0, 1) of the 32-bit generator, all at once: its state is a counter."""
+def mulberry32(seed: int, n: int, start: int = 0) -> np.ndarray:
+    """Numbers start to start + n in [0, 1) of the 32-bit generator, all at once: its state is a counter."""
     with np.errstate(over="ignore"):
-        a = np.uint32(seed) + np.arange(1, n + 1, dtype=np.uint64).astype(np.uint32) * np.uint32(0x6D2B79F5)
+        a = np.uint32(seed) + np.arange(start + 1, start + n + 1, dtype=np.uint64).astype(np.uint32) * np.uint32(0x6D2B79F5)
         t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
         t = t ^ (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61)))
         return (t ^ (t >> np.uint32(14))).astype(np.float64) / 4294967296.0
 
 
+DRAWS = 1 << 20  # numbers that are drawn at once
+
+
+def resampled(words: np.ndarray, gain: np.ndarray, first: int, count: int, seed: int = 7) -> np.ndarray:
+    """Reduction per 100 words of resamples first to first + count, each of as many items as there are."""
+    n, out = len(words), []
+    step = max(1, DRAWS // max(1, n))
+    for at in range(first, first + count, step):
+        k = min(step, first + count - at)
+        pick = np.floor(mulberry32(seed, k * n, at * n) * n).astype(int).reshape(k, n)
+        w = words[pick].sum(1)
+        out.append(np.where(w != 0, gain[pick].sum(1) / np.where(w != 0, w, 1) * 100, 0.0))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def bootstrap_reduction(words, on, off, iterations: int = 2000, seed: int = 7) -> tuple[float, float, float]:
     """(estimate, low, high) of the reduction per 100 words; items are resampled with replacement."""
     w, d = np.asarray(words, float), np.asarray(off, float) - np.asarray(on, float)
-    n = len(w)
-    if not n:
+    if not len(w):
         return (np.nan, np.nan, np.nan)
-    stat = lambda ds, ws: np.where(ws != 0, ds / np.where(ws != 0, ws, 1) * 100, 0.0)
-    pick = np.floor(mulberry32(seed, iterations * n) * n).astype(int).reshape(iterations, n)
-    low, high = np.quantile(stat(d[pick].sum(1), w[pick].sum(1)), [0.025, 0.975])
-    return float(stat(d.sum(), w.sum())), float(low), float(high)
+    low, high = np.quantile(resampled(w, d, 0, iterations, seed), [0.025, 0.975])
+    return float(d.sum() / w.sum() * 100 if w.sum() else 0.0), float(low), float(high)
+
+
+def bootstrap(items: DataFrame, by: list[str], order: str, words: str = "words", on: str = "mqm_on", off: str = "mqm_off", iterations: int = 2000, seed: int = 7, chunk: int = 100) -> DataFrame:
+    """by, estimate, low, high as ``bootstrap_reduction`` gives them, items in the order of ``order``.
+
+    The generator is a counter, so that resamples are dealt in chunks over tasks; each holds two numbers an
+    item of its group and draws at most DRAWS at once. Quantiles are taken by Spark.
+    """
+    d = (F.col(off) - F.col(on)).cast("double")
+    lists = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).cast("double").alias("w"), d.alias("d")))).alias("x"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-iterations // chunk) - 1))))
+    rows = lists.select(*by, F.transform("x", lambda i: i["w"]).alias("w"), F.transform("x", lambda i: i["d"]).alias("d"), chunks.alias("c")).repartition(*by, "c")
+
+    @F.pandas_udf("array<double>")
+    def draw(w: pd.Series, d: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([resampled(np.asarray(a), np.asarray(b), k * chunk, min(chunk, iterations - k * chunk), seed) for a, b, k in zip(w, d, c, strict=True)])
+
+    spread = rows.select(*by, F.explode(draw("w", "d", "c")).alias("s")).groupBy(*by).agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
+    w = F.sum(F.col(words).cast("double"))
+    total = items.groupBy(*by).agg(F.when(w != 0, F.sum(d) / w * 100).otherwise(0.0).alias("estimate"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
+    return total.alias("t").join(spread.alias("s"), same).select(*[F.col(f"t.{c}") for c in by], "estimate", "low", "high")

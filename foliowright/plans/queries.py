@@ -432,16 +432,9 @@ def duration_quantiles(spark, d):
 
 @register()
 def bootstrap_reduction(spark, d):
-    """Paired bootstrap by language, items in the order of their id; one group holds one report's items."""
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        e, lo, hi = X.bootstrap_reduction(pdf["words"], pdf["mqm_on"], pdf["mqm_off"], 200)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "estimate": [e], "low": [lo], "high": [hi]})
-
+    """Paired bootstrap by language, items in the order of their id."""
     items = judgements(spark, d).groupBy("lang", "doc_id").agg(F.first("words").alias("words"), F.avg("mqm_on").alias("mqm_on"), F.avg("mqm_off").alias("mqm_off"))
-    return items.groupBy("lang").applyInPandas(one, "lang string, estimate double, low double, high double")
+    return X.bootstrap(items, ["lang"], "doc_id", iterations=200)
 
 
 @register("""

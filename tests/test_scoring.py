@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from foliowright import sql
 from foliowright.functions import markdown, masking
 from foliowright.functions import scalars as S
+from foliowright.functions import statistics as X
 from foliowright.operators import documents as D
 from foliowright.operators import evaluation as E
 from foliowright.operators import scoring as Q
@@ -154,6 +155,14 @@ def test_reports_memories_and_runs(spark, tmp_path):
     assert files.read_runs(spark, str(tmp_path / "runs"), runs.schema).count() == 1
 
 
+def test_resamples_dealt_over_tasks_are_those_of_one(spark, monkeypatch):
+    rows = [(k, i, 10 + i * 7 % 23, float(i % 5), float(i * 3 % 11)) for k in ("a", "b", None) for i in range(37)]
+    monkeypatch.setattr(X, "DRAWS", 100)
+    got = {r["k"]: (r["estimate"], r["low"], r["high"]) for r in X.bootstrap(spark.createDataFrame(rows, "k string, i int, words int, mqm_on double, mqm_off double"), ["k"], "i", iterations=230, chunk=60).collect()}
+    want = X.bootstrap_reduction([r[2] for r in rows[:37]], [r[3] for r in rows[:37]], [r[4] for r in rows[:37]], 230)
+    assert len(got) == 3 and all(v == pytest.approx(want) for v in got.values())
+
+
 def test_quantiles_and_dangling(spark):
     q = E.quantiles(spark.createDataFrame([("a", v) for v in (1.0, 2.0, 4.0, 8.0)], "k string, v double"), ["k"], "v", {"m": 0.5, "p": 0.9}).first()
     assert (q["m"], round(q["p"], 6), q["mean"]) == (3.0, 6.8, 3.75)
