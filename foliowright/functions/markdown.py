@@ -109,15 +109,29 @@ def front_matter_formality(text: str) -> str | None:
     return m[1].lower() if m else None
 
 
-def _cells(at: int, line: str) -> list[Segment]:
-    out, start, i = [], 0, 0
+def _clipped(s: str, n: int = 40) -> str:
+    s = " ".join(s.split())
+    return s if len(s) <= n else s[: n - 1] + "…"
+
+
+def _cells(at: int, line: str, heads: list[str] | None = None) -> list[Segment]:
+    """The cells of a row; with the heads of its table, each notes its column and what its row begins with."""
+    out, start = [], 0
     cuts = [i for i in range(len(line)) if line[i] == "|" and (i == 0 or line[i - 1] != "\\")]
+    parts = []
     for cut in [*cuts, len(line)]:
-        part = line[start:cut]
+        parts.append((start, line[start:cut]))
+        start = cut + 1
+    first = next((p for _, p in parts if p.strip()), "")
+    shift = bool(line.lstrip().startswith("|"))
+    for k, (start, part) in enumerate(parts):
         if _LETTER.search(part):
+            note = ""
+            if heads is not None:
+                column = heads[k - shift] if 0 <= k - shift < len(heads) else ""
+                note = ", ".join(x for x in (f'table column "{_clipped(column)}"' if column else "", f'row "{_clipped(first)}"' if part is not first and _LETTER.search(first) else "") if x)
             a = start + len(part) - len(part.lstrip())
-            out.append(Segment("cell", at + a, at + start + len(part.rstrip())))
-        start = cut + 1
+            out.append(Segment("cell", at + a, at + start + len(part.rstrip()), note))
     return out
 
 
@@ -133,12 +147,14 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
     open_: list[tuple[int, int]] = []  # lines of the paragraph that is being read
     note = ""
     section: list[str] = []
+    lead = ""  # the paragraph in front of the list that is being read
+    listed = False
 
     def close(kind: str = "paragraph") -> None:
         if open_:
             a, b = open_[0][0], open_[-1][1]
             if _LETTER.search(text[a:b]):
-                out.append(Segment(kind, a, b, note))
+                out.append(Segment(kind, a, b, "; ".join(x for x in (note, f'list introduced by "{lead}"' if lead else "") if x)))
             open_.clear()
 
     i = skip
@@ -173,6 +189,7 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
             close()
         elif m := _HEADING.match(body):
             close()
+            lead, listed = "", False
             if m[2] and _LETTER.search(m[2]):
                 a, b = m.span(2)
                 out.append(Segment("heading", at + inner + a, at + inner + b, note))
@@ -193,19 +210,24 @@ def segments(text: str, front_matter: bool = True, comments: bool = True, docstr
         elif not open_ and (line.startswith("    ") or line.startswith("\t")) and not _LIST.match(line):
             pass
         elif "|" in body and i + 1 < len(lines) and not open_ and _TABLE_RULE.match(lines[i + 1][1][inner:]) and "-" in lines[i + 1][1]:
-            first = True
+            heads: list[str] | None = None
             while i < len(lines) and "|" in lines[i][1]:
                 at, line = lines[i]
-                if first or not _TABLE_RULE.match(line[inner:]):
-                    out += _cells(at + inner, line[inner:])
-                first = False
+                if heads is None or not _TABLE_RULE.match(line[inner:]):
+                    out += _cells(at + inner, line[inner:], heads)
+                heads = heads if heads is not None else [c.strip() for c in re.split(r"(?<!\\)\|", line[inner:].strip().removeprefix("|").removesuffix("|"))]
                 i += 1
             continue
         else:
             m = _LIST.match(body) or _NOTE.match(body)
             if m:
                 close()
+                if not listed and out and out[-1].kind == "paragraph":
+                    lead = _clipped(text[out[-1].start : out[-1].end], 80)
                 inner += m.end()
+                listed = True
+            elif not open_ and not line.startswith((" ", "\t")):
+                lead, listed = "", False
             elif open_:
                 close() if inner and not lines[i - 1][1].lstrip().startswith(">") else None
             a = at + inner + len(line[inner:]) - len(line[inner:].lstrip())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import documents as D
+from ..operators import judging as J
 from ..operators import scoring as Q
 from ..operators import translation as T
 from .queries import _JUDGE_SQL, _t, judgements, register
@@ -357,3 +358,76 @@ def review_edits(spark, d):
     edits = c.select("doc", "lang", "seg_id", S.xml_escape(edit).alias("text"), F.lit("style").alias("category"), F.lit("minor").alias("severity"), F.lit("").alias("explanation")).where("text IS NOT NULL")
     out = T.apply_review(c.withColumn("source", F.col("text")), edits)
     return out.groupBy("via").agg(F.count("*").alias("segments"), F.count("review").alias("edited"), F.sum(F.length(S.xml_unescape(F.col("text")))).alias("chars"))
+
+
+# ---- requests, derived runs, lines
+
+
+@register("""
+WITH s AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch, role, text FROM conversations)
+SELECT conv_id, batch::INT AS batch, count(*) AS segments, string_agg('s' || turn, ',' ORDER BY turn) AS ids, sum(length(text))::BIGINT AS chars FROM s GROUP BY 1, 2
+""")
+def request_payloads(spark, d):
+    """Requests of three segments; what they hold is read back from their JSON."""
+    c = _t(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("s"), "turn").alias("seg_id"), F.col("role").alias("kind"), F.lit("").alias("note"), F.col("text").alias("masked"))
+    r = J.requests(c, ["conv_id"], "turn", max_items=3, max_chars=10**9)
+    x = F.from_json("payload", "segments array<struct<id:string,kind:string,text:string>>")["segments"]
+    chars = F.aggregate(F.transform(x, lambda s: F.length(s["text"]).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    return r.select("conv_id", "batch", F.size(x).cast("long").alias("segments"), F.array_join(F.transform(x, lambda s: s["id"]), ",").alias("ids"), chars.alias("chars"))
+
+
+@register("""
+WITH a AS (SELECT conv_id, turn, text, turn % 4 <> 2 AND conv_id % 9 <> 0 AS there FROM conversations)
+SELECT conv_id, count(*) AS asked, count(*) FILTER (there) AS answered, count(*) FILTER (NOT there) AS missing, coalesce(sum(length(text) + 1) FILTER (there), 0)::BIGINT AS chars FROM a GROUP BY 1
+""")
+def model_answers(spark, d):
+    """Answers of a model joined by id: some ids are missing, some unknown, some answers unreadable."""
+    c = _t(spark, d, "conversations").select("conv_id", F.concat(F.lit("s"), "turn").alias("seg_id"), "turn", F.col("text").alias("masked"))
+    one = F.struct(F.when(F.col("turn") % 4 == 2, "unknown").otherwise(F.col("seg_id")).alias("id"), F.concat("masked", F.lit("!")).alias("text"))
+    raw = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(one).alias("translations"))).alias("answer"))
+    raw = raw.withColumn("answer", F.when(F.col("conv_id") % 9 == 0, "{cut off").otherwise(F.col("answer")))
+    j = J.answered(c, J.responses(raw, ["conv_id"]), ["conv_id"])
+    return j.groupBy("conv_id").agg(F.count("*").alias("asked"), F.count("text").alias("answered"), F.count_if(F.size("errors") > 0).alias("missing"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+@register("""
+WITH i AS (SELECT doc_id, lang, doc_id % 3 = 0 AS a, doc_id % 5 = 0 AS b FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+SELECT lang, count(*) AS items, count(*) FILTER (NOT a AND b) AS wins, count(*) FILTER (a AND NOT b) AS losses, count(*) FILTER (a = b) AS ties, sum(5.0 * a::INT) AS mqm_on, sum(5.0 * b::INT) AS mqm_off FROM i GROUP BY 1
+""")
+def judged_by_rule(spark, d):
+    """A judge by rule in both orders: every third text of one side and every fifth of the other is the source's own."""
+    docs = _t(spark, d, "documents").where(F.trim("text", F.lit(" \t\n\r")) != "")
+    made = lambda n: F.when(F.col("doc_id") % n == 0, F.col("text")).otherwise(F.concat(F.lit("x "), "text"))
+    items = docs.select("doc_id", "lang", F.col("text").alias("source"), made(3).alias("on"), made(5).alias("off"))
+    f = Q.fold_judgements(J.judge(items, J.SourceLeft(), ["doc_id", "lang"]), J.judge(items, J.SourceLeft(), ["doc_id", "lang"], True), ["doc_id", "lang"])
+    v = F.col("verdict")
+    return f.groupBy("lang").agg(F.count("*").alias("items"), F.count_if(v == "on").alias("wins"), F.count_if(v == "off").alias("losses"), F.count_if(v == "tie").alias("ties"), F.sum("mqm_on").alias("mqm_on"), F.sum("mqm_off").alias("mqm_off"))
+
+
+@register("""
+SELECT user_id % 7 AS variant, count(*) AS runs, sum(event_id % 2)::BIGINT AS reverted, sum(event_id % 3)::BIGINT AS kept_source, sum(event_id % 5)::BIGINT AS retried, sum(event_id % 4)::BIGINT AS nmt, round(avg(value), 6) AS seconds
+FROM events GROUP BY 1
+""")
+def robustness(spark, d):
+    e = _t(spark, d, "events").select((F.col("user_id") % 7).alias("variant"), *[(F.col("event_id") % n).alias(c) for c, n in (("reverted", 2), ("kept_source", 3), ("retried", 5), ("nmt", 4))], F.col("value").alias("seconds"))
+    return J.robustness(e, ["variant"]).withColumn("seconds", F.round("seconds", 6))
+
+
+@register("""
+SELECT via, count(*) AS segments, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM (
+  SELECT CASE WHEN turn % 5 = 1 THEN 'source' ELSE 'gpt' END AS via, CASE WHEN turn % 5 = 1 THEN NULL WHEN turn % 2 = 0 THEN text || ' before' ELSE text END AS text FROM conversations) GROUP BY 1
+""")
+def derived_runs(spark, d):
+    """A run without its review and without the fallback engine."""
+    c = _t(spark, d, "conversations")
+    review = F.when(F.col("turn") % 2 == 0, F.struct(F.lit("style").alias("category"), F.concat("text", F.lit(" before")).alias("before")))
+    out = c.select("conv_id", "text", F.when(F.col("turn") % 5 == 1, "nmt").otherwise("gpt").alias("via"), review.alias("review"))
+    return J.without_engine(J.without_review(out)).groupBy("via").agg(F.count("*").alias("segments"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+@register("""
+WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS content, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, max(line)::BIGINT AS last, sum(length(content))::BIGINT AS chars FROM l GROUP BY 1
+""")
+def numbered_lines(spark, d):
+    return J.numbered_lines(_t(spark, d, "documents"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("lines"), F.max("line").alias("last"), F.sum(F.length("content")).alias("chars"))

@@ -251,6 +251,14 @@ def test_front_matter_lists_and_formality():
     assert markdown.front_matter_formality(text) == "informal" and markdown.front_matter_formality("tone: informal\n") is None
 
 
+def test_notes_say_where_a_segment_stands():
+    text = "# Top\n\nChoose one of:\n\n- red\n- blue\n\nThen this.\n\n| Name | Use |\n|---|---|\n| fox | runs |\n"
+    notes = {text[s.start : s.end]: s.note for s in markdown.segments(text)}
+    assert notes["Choose one of:"] == 'section "Top"' == notes["Then this."]
+    assert notes["red"] == notes["blue"] == 'section "Top"; list introduced by "Choose one of:"'
+    assert notes["Use"] == "" and notes["fox"] == 'table column "Name"' and notes["runs"] == 'table column "Use", row "fox"'
+
+
 def test_lines_end_at_line_ends_only():
     for eol in ("\n", "\r\n"):
         text = f"One\x0cline\u2028# still one\x85end{eol}more{eol}"
