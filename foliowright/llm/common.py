@@ -33,9 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there."""
+    """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there.
+
+    Lazy results read the tables, so nothing here deletes them. The setting ``foliowright.run`` names a folder
+    for a run's tables, which its caller can drop as a whole when the results are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/foliowright/{name}-{uuid.uuid4().hex}"
+    run = spark.conf.get("foliowright.run", None) or "tables"
+    path = f"{shared_dir(spark).rstrip('/')}/foliowright/{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -181,3 +181,15 @@ def test_verdicts_at_other_shares_of_good_texts(good):
 def test_vote_model_without_rows():
     assert quality_rules.VoteModel({}).table([]) == {}
     assert zlib.crc32(b"") == 0
+
+
+def test_tables_of_a_run_stand_in_one_folder(spark):
+    from foliowright.llm.common import materialize
+
+    spark.conf.set("foliowright.run", "run-7")
+    try:
+        df = materialize(spark.range(3), "t")
+    finally:
+        spark.conf.unset("foliowright.run")
+    assert df.count() == 3 and all("/foliowright/run-7/t-" in f for f in df.inputFiles())
+    assert "/foliowright/tables/" in materialize(spark.range(1), "t").inputFiles()[0]
