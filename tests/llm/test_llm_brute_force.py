@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -333,7 +334,13 @@ def _run(spark, folder, docs, labels):
     return P.run(spark, str(folder))
 
 
-def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path):
+@pytest.fixture
+def briefly_trained(monkeypatch):
+    """The pipeline's language stage decides by letters alone, so a network of three steps will do."""
+    monkeypatch.setattr(language_id, "train", partial(language_id.train, steps=3))
+
+
+def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path, briefly_trained):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert _run(spark, tmp_path / "none", spark.createDataFrame([], COLUMNS), labels).count() == 0
     rows = [(i, f"one two three four five {i} six seven eight", "en", "s", 9) for i in range(8)] + [(None, None, None, None, None), (8, "", "en", "s", 0)]
@@ -343,7 +350,7 @@ def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path):
     assert {r["doc_id"] for r in _run(spark, tmp_path / "clash", docs, labels).collect()} <= set(range(8))
 
 
-def test_pipeline_stage_by_stage(spark, small, tmp_path):
+def test_pipeline_stage_by_stage(spark, small, tmp_path, briefly_trained):
     """run() against plain Python: every stage recomputed on what the one before it kept."""
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     got = _run(spark, tmp_path / "t", docs, labels).collect()

@@ -5,6 +5,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -325,9 +326,10 @@ def test_packing_round_trip(docs, none):
     assert packing.packed(none, path).count() == 0
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+def test_pipeline_stages(spark, docs, tmp_path, monkeypatch):
     import corpus_pipeline as P
 
+    monkeypatch.setattr(language_id, "train", partial(language_id.train, steps=3))  # letters alone decide
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     _labels(spark, [(i, 1, 0) for i in (1, 2, 3, 7, 21, 22)] + [(8, 0, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
     seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
