@@ -4,8 +4,9 @@ Documents with equal shingle sets are one class first. In each of TREES independ
 random minwise positions, each with probability 1 / (LAMBDA * POSITIONS), and its documents branch by the
 minwise token at every picked position; two documents of similarity LAMBDA or more so keep meeting with
 probability bounded below at every level. Nodes of at most LEAF documents are compared exhaustively on
-sketches; larger ones branch on, and what still stays together at DEPTH shared tokens is taken as
-similar. The candidate groups are then confirmed exactly on full shingle sets, where pairs already
+sketches. A larger node in which all but LEAF documents are candidates of its least one (a group of near
+copies, say) is settled too: those few are compared with all. All others branch on, and what still stays
+together at DEPTH shared tokens is taken as similar. The candidate groups are then confirmed exactly on full shingle sets, where pairs already
 connected need no comparison. Groups too large for a task are confirmed in blocks that share pivots,
 and whatever that leaves outside a group's largest part is dealt into tiles, each of which meets each block.
 """
@@ -157,6 +158,27 @@ def _leaf_edges(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(edges, "a bigint, b bigint")
 
 
+def _beside_least(large: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
+    """node, rep, low, c of the large nodes with near (the document is a candidate of the node's least one) and
+    far (how many of the node are not)."""
+    least = large.groupBy("node").agg(F.first("low").alias("low"))
+    least = least.join(reps.select(F.col("rep").alias("low"), F.col("sig").alias("l_sig"), F.col("n").alias("l_n")), "low").drop("low")
+    rows = large.join(reps.select("rep", "n", "sig"), "rep").join(least, "node")
+    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda p: F.get("sig", p).bitwiseXOR(F.get("l_sig", p)).bitwiseAND(0xFFFF) == 0))
+    near = (equal >= SKETCH_AT) & (DENOMINATOR * F.least("n", "l_n") >= NUMERATOR * F.greatest("n", "l_n"))
+    rows = materialize(rows.select("node", "rep", "low", "c", near.alias("near")), f"beside-{depth}")
+    far = rows.groupBy("node").agg(F.count_if(~F.col("near")).alias("far"))
+    return rows.join(far, "node").withColumn("leaf", F.lit(LEAF))
+
+
+def _outsiders(held: DataFrame) -> DataFrame:
+    """Leaves (node, rep) in which the few documents of a large node that are no candidates of its least one meet
+    all others, a part of them in each leaf."""
+    parts = F.ceil(F.col("c") / LEAF).cast("int")
+    part = F.explode(F.when(F.col("near"), F.array(F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
+    return held.select("node", "rep", part.alias("part")).select(F.xxhash64("node", F.lit("part"), "part").alias("node"), "rep")
+
+
 def candidate_edges(reps: DataFrame, trees: int = TREES) -> DataFrame:
     """Edges (a, b) that connect every group of candidates; reps: rep, n, sig."""
     rng = np.random.default_rng(99)
@@ -177,7 +199,10 @@ def candidate_edges(reps: DataFrame, trees: int = TREES) -> DataFrame:
         if depth == DEPTH:
             edges.append(large.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
         else:
-            members = materialize(_branch(large.select("node", "rep"), reps), f"branches-{depth}")
+            held = _beside_least(large, reps, depth)
+            edges.append(held.where("far <= leaf AND near AND rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+            small.append(_outsiders(held.where("far BETWEEN 1 AND leaf")))
+            members = materialize(_branch(held.where("far > leaf").select("node", "rep"), reps), f"branches-{depth}")
     leaves = small[0]
     for s in small[1:]:
         leaves = leaves.union(s)
