@@ -69,16 +69,18 @@ def map_texts(
     columns pass through. Only the named columns leave the scan, so extra columns of any name are
     never read. With ``raw`` the text itself is also passed through, as ``text``.
     """
-    cols = {**carry, **({"text": F.col(text)} if raw else {}), "__b": F.col(text).cast("binary")}
-    picked = df.select(*[c.alias(k) for k, c in cols.items()])
+    last = F.col(text) if raw else F.col(text).cast("binary")
+    picked = df.select(*[c.alias(k) for k, c in carry.items()], last.alias("text" if raw else "__b"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "__b"]
     schema = ", ".join([*kept, fields])
     out = T_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_columns - 1
-            made = fn(b.column(n).to_pylist())
+            n = b.num_columns - (not raw)
+            texts = b.column(b.num_columns - 1)
+            # the bytes of a text that is passed through are those of the same buffer
+            made = fn((texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()) if raw else texts).to_pylist())
             arrays = [*b.columns[:n], *(pa.array(v, type=t) for v, t in zip(made, out[1], strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[:n], *out[0]])
 

@@ -16,7 +16,7 @@ from .common import bucket_of, load, map_texts
 
 WINDOW = 128  # bytes that the network reads at once
 HIDDEN = 8
-LANES = 4096  # windows side by side
+LANES = 2048  # windows side by side
 TRAIN_DOCS = 1500  # bound: labelled documents a language
 TRAIN_WINDOWS = 4  # bound: windows a training document
 STEPS = 450
