@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import divergence
+from .divergence import op11_source_divergence
 from .embedding_dedup import op2_embedding_dedup
 from .language_id import op4_language_id
 from .license_scan import op1_license_scan
@@ -31,10 +33,12 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_source_divergence": op11_source_divergence,
     "pipeline": _pipeline,
 }
 #: op2: all pairs and the transitive closure, small enough at the sizes where it is run.
 ORACLE = {
+    "op11_source_divergence": divergence.SQL,
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
