@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import divergence
+from . import divergence, hard_negatives
 from .divergence import op11_source_divergence
 from .embedding_dedup import op2_embedding_dedup
+from .hard_negatives import op12_hard_negatives
 from .language_id import op4_language_id
 from .license_scan import op1_license_scan
 from .minhash_dedup import op7_minhash_dedup
@@ -34,11 +35,13 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": _pipeline,
 }
 #: op2: all pairs and the transitive closure, small enough at the sizes where it is run.
 ORACLE = {
     "op11_source_divergence": divergence.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

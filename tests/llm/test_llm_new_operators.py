@@ -1,11 +1,15 @@
 """Source divergence, hard negatives and archives against plain Python, over awkward rows."""
 
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliowright.llm import divergence
+from foliowright.llm import divergence, hard_negatives
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -48,8 +52,50 @@ def test_divergence(spark):
 
 
 def test_divergence_of_counts_beyond_64_bits(spark):
-    from pyspark.sql import functions as F
-
     n, total = 10**17, 9 * 10**17
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(7)).alias("p")).first()["p"]
     assert got == 1 + 1000000000 * (n + 5) // (total + 35)
+
+
+def _negatives(rows):
+    """The contract in plain Python; rows of (vec_id, embedding, label)."""
+    v = []
+    for vec, e, label in rows:
+        if label is None or e is None or any(x is None or not math.isfinite(x) for x in e):
+            continue
+        v.append((vec, (label + 1) % 10 if vec is not None and vec % 7 == 0 else label, [math.floor(256 * x) for x in e]))
+    out = []
+    for a, (vec, label, e) in enumerate(v):
+        if vec is None or vec % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(e, f)), w is None, w or 0, lab) for b, (w, lab, f) in enumerate(v) if b != a]
+        for p, missing, pos, _ in sorted(x for x in scored if x[3] == label)[:5]:
+            fit = sorted(x for x in scored if x[3] != label and -80 * p <= -100 * x[0] <= -100 * p)[:5]
+            out += [(vec, None if missing else pos, r + 1, None if n[1] else n[2], -p, -n[0]) for r, n in enumerate(fit)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("tile, chunk", [(8, 3), (512, 32)])
+def test_hard_negatives(spark, tile, chunk):
+    """Several tiles and chunks, labels with and without blocks of their own, ties, copies, odd vectors."""
+    rng = random.Random(3)
+    center = [[rng.uniform(-1, 1) for _ in range(7)] for _ in range(6)]
+    rows = [(i, [c + rng.choice((0.0, 0.05, 0.2)) for c in center[i * i % 6]], rng.choice((1, 1, 1, 2, 3, 9))) for i in range(0, 1400, 2)]
+    rows += [(i, [1.0, 0.5], 4) for i in range(7, 12)] + [(400, [1.0, 0.5, 0.25], 4), (500, [], 4), (600, [-1.0] * 7, 8)]
+    rows += [(200, rows[100][1], 1), (200, rows[100][1], 1), (None, rows[100][1], 2), (None, rows[50][1], 1)]
+    rows += [(700, None, 1), (800, [1.0, float("nan")], 1), (900, [1.0, None], 1), (1000, [float("inf")], 1), (1100, [1.0], None)]
+    df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<float>, label int, score long, uid string").repartition(3)
+    exact = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e], lab) for i, e, lab in rows]
+    want = _negatives(exact)
+    assert len(want) > 50
+    assert sorted((tuple(r) for r in hard_negatives.hard_negatives(df, tile=tile, chunk=chunk).collect()), key=str) == want
+    if tile == 512:
+        assert hard_negatives.hard_negatives(df.limit(0)).count() == 0
+        assert hard_negatives.hard_negatives(df.where("vec_id % 100 <> 0")).count() == 0
+
+
+def test_score_tiles_of_large_components():
+    a, r = np.full((3, 40), 1 << 26), np.full((2, 40), -(1 << 26))
+    tile = hard_negatives.partial_tile(a, r)
+    assert (tile == -40 * (1 << 52)).all()
+    assert (hard_negatives.from_planes(hard_negatives.planes(tile), 3) == tile).all()
