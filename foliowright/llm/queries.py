@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import divergence, hard_negatives
+from . import archives, divergence, hard_negatives
+from .archives import op13_warc
 from .divergence import op11_source_divergence
 from .embedding_dedup import op2_embedding_dedup
 from .hard_negatives import op12_hard_negatives
@@ -36,12 +37,14 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_source_divergence": op11_source_divergence,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_warc": op13_warc,
     "pipeline": _pipeline,
 }
 #: op2: all pairs and the transitive closure, small enough at the sizes where it is run.
 ORACLE = {
     "op11_source_divergence": divergence.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_warc": archives.SQL,
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

@@ -1,5 +1,8 @@
 """Source divergence, hard negatives and archives against plain Python, over awkward rows."""
 
+import base64
+import gzip
+import hashlib
 import math
 import random
 import re
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliowright.llm import divergence, hard_negatives
+from foliowright.llm import archives, divergence, hard_negatives
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -99,3 +102,79 @@ def test_score_tiles_of_large_components():
     tile = hard_negatives.partial_tile(a, r)
     assert (tile == -40 * (1 << 52)).all()
     assert (hard_negatives.from_planes(hard_negatives.planes(tile), 3) == tile).all()
+
+
+def _archived(spark, df, folder, **kw):
+    archives.write_arc(df, f"{folder}/arc")
+    archives.convert(spark, f"{folder}/arc", f"{folder}/warc", **kw)
+    return archives.read_warc(spark, f"{folder}/warc")
+
+
+def test_archives_of_pages(spark, tmp_path):
+    """A full round trip over awkward pages: every payload comes back, one response a payload, the rest revisits."""
+    trap = "<p>x</p>\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\nhttp://a 0.0.0.0 20000101000000 text/html 5\nHTTP/1.1 200 OK\r\n\r\nX-Page-Id: 5"
+    rows = [(9, "http://a/ b", "same"), (4, "http://b", "same"), (7, None, None), (8, "", ""), (1, "http://c\n\t", trap), (2, "http://ü", "é\x00\U0001f600" * 50_000), (None, "http://n", "same"), (None, None, "lone")]
+    rows += [(3, "http://r", "twice"), (3, "http://r", "twice")] + [(100 + i, "http://hot", "hot payload") for i in range(400)] + [(600 + i, "http://u", f"<p>{i}") for i in range(300)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, payload_bytes long, record_type string").repartition(4)
+    got = [r for r in _archived(spark, df, tmp_path).collect()]
+    assert all(r["intact"] for r in got) and len({r["record_id"] for r in got}) == len(got)
+    infos = [r for r in got if r["record_type"] == "warcinfo"]
+    assert len(infos) == 4
+    got = [r for r in got if r["record_type"] != "warcinfo"]
+    known = lambda i, h: (str(i), len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode())
+    assert Counter((str(r["page_id"]), r["payload_bytes"], r["payload_digest"]) for r in got) == Counter(known(i, h) for i, _, h in rows)
+    first = {}
+    for i, _, h in rows:
+        first[h or ""] = min(first.get(h or "", math.inf), math.inf if i is None else i)
+    for digest in {r["payload_digest"] for r in got}:
+        same = [r for r in got if r["payload_digest"] == digest]
+        whole = [r for r in same if r["record_type"] == "response"]
+        assert len(whole) == 1 and whole[0]["refers_to"] is None
+        text = next(h or "" for _, _, h in rows if known(0, h)[2] == digest)
+        assert (whole[0]["page_id"] if whole[0]["page_id"] is not None else math.inf) == first[text]
+        assert all(r["record_type"] == "revisit" and r["refers_to"] == whole[0]["page_id"] for r in same if r is not whole[0])
+    uris = {r["page_id"]: r["uri"] for r in got}
+    assert (uris[9], uris[7], uris[1]) == ("http://a/%20b", "urn:page:7", "http://c%0A%09")
+    assert {r["date"] for r in got} == {"2000-01-01T00:00:00Z"}
+
+
+def test_archives_least_size_and_no_pages(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["record_type"] for r in _archived(spark, df, tmp_path / "a", least=3).where("record_type <> 'warcinfo'").collect()}
+    assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    assert _archived(spark, df.limit(0), tmp_path / "b").where("record_type <> 'warcinfo'").count() == 0
+
+
+def test_old_archives(spark, tmp_path):
+    """Both versions as they are found: odd header lines, damage, truncation, members, other schemes."""
+    http = b"HTTP/1.0 200 OK\nServer: x\n\n<p>hello</p>"
+    block1 = b"1 1 Alexa\nURL IP-address Archive-date Content-type Archive-length\n<xml/>\n"
+    one = [
+        b"filedesc://old.arc 0.0.0.0 19961022 text/plain %d\n" % len(block1) + block1,
+        b"http://a/x y 1.2.3.4 19961022103000 text/html; charset=x %d\n" % len(http) + http,
+        b"http://short/ 1.2.3.4 1996102210 text/html %d\n" % (len(http) - 4) + http,  # four bytes more than declared
+        b"dns:a 1.2.3.4 19969999 text/dns 7\na 1.2.3",
+        b"ftp://a/f 1.2.3.4 19961022103000 application/x 3\nabc",
+        b"http://end/ 1.2.3.4 19961022103000 text/html 999\n" + http,
+    ]
+    block2 = b"2 0 x\n" + archives.FIELDS[2] + b"\n"
+    two = [
+        b"filedesc://new.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 new.arc %d\n" % len(block2) + block2,
+        b"http://b/ 1.2.3.4 20010203040506 text/html 404 abc http://c/ 120 new.arc %d\n" % len(http) + http,
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.arc").write_bytes(b"\n".join(one))
+    (tmp_path / "in/2.arc.gz").write_bytes(b"".join(gzip.compress(r + b"\n") for r in two))
+    (tmp_path / "in/3.arc.gz").write_bytes(gzip.compress(b"\n".join(two))[:-30])
+    (tmp_path / "in/4.arc").write_bytes(b"\x00junk\n" * 9)
+    (tmp_path / "in/5.arc").write_bytes(b"")
+    found = list(archives.arc_records(archives.Source(b"\n".join(one))))
+    assert [r["version"] for r in found] == [1] * 6 and [r["skipped"] for r in found] == [0, 0, 0, 5, 0, 0] and [r["truncated"] for r in found] == [False] * 5 + [True]
+    new = list(archives.arc_records(archives.Source(b"\n".join(two))))
+    assert (new[1]["status"], new[1]["version"], new[1]["block"]) == (404, 2, http)
+    archives.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {r["uri"]: r for r in archives.read_warc(spark, str(tmp_path / "out")).collect() if r["path"] and r["uri"]}
+    assert {u: r["record_type"] for u, r in got.items() if u != "http://b/"} == {"http://a/x y": "response", "http://short/": "response", "dns:a": "resource", "ftp://a/f": "resource", "http://end/": "response"}
+    assert (got["http://a/x y"]["date"], got["http://short/"]["date"], got["dns:a"]["date"]) == ("1996-10-22T10:30:00Z", "1996-10-22T10:00:00Z", "1996-12-28T00:00:00Z")
+    assert got["http://a/x y"]["payload_digest"] == archives.sha1(b"<p>hello</p>") and got["http://a/x y"]["payload_bytes"] == 12
+    assert all(r["intact"] for r in got.values())
