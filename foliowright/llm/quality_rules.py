@@ -1,9 +1,10 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (2), bad (0) or abstains (1) on a whole text. Expectation-maximisation on the
-counts of vote patterns of the whole corpus estimates, without any label, how often every rule fires on
-good and on bad documents and the share of good ones. A rule that stays silent says something too. A
-document is kept by its posterior probability.
+Each rule votes good (2), bad (0) or abstains (1) on a whole text; one that can't judge a text's script does not
+apply (3). Rules that read one figure are one voter. Expectation-maximisation on the counts of vote patterns of the
+whole corpus estimates, without any label, how often every voter votes which way on good and on bad documents and
+the share of good ones. A voter that stays silent says something too, one that does not apply nothing. A document is
+kept by its posterior probability.
 """
 
 from __future__ import annotations
@@ -33,19 +34,19 @@ RULES = (
     ("punctuated", "mark_share", 0.005, 0.07, 2),
     ("sentence_case", "upper_share", 0.002, 0.15, 2),
 )
-#: What is believed of a rule before the corpus is seen: how often it fires on good and on bad texts, and how
-#: many texts that belief weighs on either side, as a multiple of the corpus. The weights grow with the corpus,
-#: so that verdicts are alike at every size. A strong rule hardly ever fires on a good text and that is believed
-#: firmly; good texts repeat lines or windows at times, so those two rules are left to the corpus.
-BELIEF = {
-    "strong": ((0.0002, 3.0), (0.30, 0.1)),
-    "weak": ((0.02, 0.1), (0.30, 0.1)),
-    "for": ((0.75, 1.0), (0.60, 1.0)),
-}
-STRONG = frozenset({"symbols", "marks", "shouting", "few_distinct"})
-GOOD_SHARE = 0.7  # of documents, where expectation-maximisation starts
+#: Figures that mean something only where at least half of a text's characters are ASCII ones.
+ASCII_FIGURES = frozenset({"mark_share", "upper_share"})
+#: Rules (by number) of each voter.
+VOTERS = tuple(tuple(i for i, r in enumerate(RULES) if r[1] == f) for f in dict.fromkeys(r[1] for r in RULES))
+#: What is believed of a voter before the corpus is seen: how often it votes bad, abstains and votes good on a good
+#: and on a bad text, for voters that only vote against and for those that vote both ways. The beliefs and the share
+#: of good texts weigh as much as BELIEVED texts, whatever the size of the corpus: a large corpus overrules them.
+BELIEF = {False: ((0.05, 0.95, 0.0), (0.30, 0.70, 0.0)), True: ((0.05, 0.25, 0.70), (0.30, 0.20, 0.50))}
+GOOD_SHARE = 0.7
+BELIEVED = 100
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
+_ASCII_OR_CONTINUATION = bytes(range(0xC0))
 _UPPER = bytes(range(65, 91))
 _NOT_MARK = bytes(b for b in range(256) if not (33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126))
 
@@ -80,7 +81,7 @@ def same_share(ws: list[bytes]) -> float:
 
 
 def counts(raw: bytes | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper letters, marks, share of repeated words)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, upper letters, marks, share of repeated words, other than ASCII)."""
     raw = raw or b""
     ws = raw.split()
     joined = b"".join(ws)
@@ -95,11 +96,12 @@ def counts(raw: bytes | None) -> tuple:
         len(joined) - len(joined.translate(None, _UPPER)),
         len(joined.translate(None, _NOT_MARK)),
         same_share(ws),
+        len(joined.translate(None, _ASCII_OR_CONTINUATION)),
     )
 
 
 def votes() -> F.Column:
-    """The pattern of votes as a string of one digit a rule: 0 bad, 1 abstains, 2 good."""
+    """The pattern of votes as a string of one digit a rule: 0 bad, 1 abstains, 2 good, 3 does not apply."""
     words = F.greatest("n_words", F.lit(1))
     chars = F.greatest("word_chars", F.lit(1))
     figures = {
@@ -110,52 +112,61 @@ def votes() -> F.Column:
         "same_share": F.col("same_share"),
         "mark_share": F.col("n_marks") / chars,
     }
-    return F.concat(*[F.when((figures[f] >= lo) & (figures[f] <= hi), str(v)).otherwise("1") for _, f, lo, hi, v in RULES])
+    foreign = 2 * F.col("n_wide") > F.col("word_chars")
+    vote = lambda f, lo, hi, v: F.when((figures[f] >= lo) & (figures[f] <= hi), str(v)).otherwise("1")
+    return F.concat(*[F.when(foreign, "3").otherwise(vote(f, lo, hi, v)) if f in ASCII_FIGURES else vote(f, lo, hi, v) for _, f, lo, hi, v in RULES])
 
 
 class VoteModel:
-    """How often every rule fires on good and on bad documents, by expectation-maximisation over pattern counts.
+    """How every voter votes on good and on bad documents, by expectation-maximisation over pattern counts.
 
-    Documents are a mixture of two classes inside which rules fire independently. The estimates are those of
-    the largest posterior under BELIEF; nothing is clipped. ``good`` and ``bad`` hold the rates, ``prior``
-    the share of good documents.
+    Documents are a mixture of two classes inside which voters are independent. The estimates are those of the largest
+    posterior under BELIEF; nothing is clipped. ``good`` and ``bad`` hold how often each rule casts its vote where it
+    applies, ``prior`` the share of good documents.
     """
 
-    def __init__(self, patterns: dict[str, int], rounds: int = 2000):
+    def __init__(self, patterns: dict[str, int], rounds: int = 5000):
         keys = sorted(patterns)
-        beliefs = [BELIEF["for" if v else "strong" if name in STRONG else "weak"] for name, *_, v in RULES]
-        (start_good, firm_good), (start_bad, firm_bad) = (np.array([b[side] for b in beliefs]).T for side in (0, 1))
-        self.prior, self.good, self.bad = GOOD_SHARE, start_good, start_bad
-        if not keys:
-            return
-        x = self._fired(keys)
-        w = np.array([patterns[k] for k in keys], float)
-        n = w.sum()
-        for _ in range(rounds):
-            q = self._posterior(x)
-            old = np.concatenate([self.good, self.bad, [self.prior]])
-            is_good, is_bad = w * q, w * (1 - q)
-            self.prior = (is_good.sum() + 1) / (n + 2)
-            self.good = (is_good @ x + firm_good * n * start_good) / (is_good.sum() + firm_good * n)
-            self.bad = (is_bad @ x + firm_bad * n * start_bad) / (is_bad.sum() + firm_bad * n)
-            if np.abs(np.concatenate([self.good, self.bad, [self.prior]]) - old).max() < 1e-10:
+        both_ways = [any(RULES[i][4] for i in v) for v in VOTERS]
+        start = np.array([[BELIEF[b][side] for b in both_ways] for side in (0, 1)])  # good or bad, voter, outcome
+        self.p, self.prior = start.copy(), GOOD_SHARE
+        if keys:
+            cast = self._cast(keys)
+            w = np.array([patterns[k] for k in keys], float)
+        for _ in range(rounds if keys else 0):
+            q = self._posterior(cast)
+            sides = np.stack([w * q, w * (1 - q)])
+            seen = np.einsum("sk,kvo->svo", sides, cast)
+            p = (seen + BELIEVED * start) / (seen.sum(axis=2, keepdims=True) + BELIEVED)
+            prior = (sides[0].sum() + BELIEVED * GOOD_SHARE) / (w.sum() + BELIEVED)
+            moved = max(np.abs(p - self.p).max(), abs(prior - self.prior))
+            self.p, self.prior = p, prior
+            if moved < 1e-10:
                 break
+        self.good, self.bad = (np.array([self.p[s][next(v for v, own in enumerate(VOTERS) if i in own)][r[4]] for i, r in enumerate(RULES)]) for s in (0, 1))
 
     @staticmethod
-    def _fired(keys) -> np.ndarray:
-        return np.array([[c != "1" for c in k] for k in keys], float)
-
-    def _posterior(self, x: np.ndarray) -> np.ndarray:
-        fires, silent = np.log(self.good / self.bad), np.log((1 - self.good) / (1 - self.bad))
-        odds = np.log(self.prior / (1 - self.prior)) + x @ fires + (1 - x) @ silent
+    def _cast(keys) -> np.ndarray:
+        """1 at the outcome of each voter (pattern, voter, outcome); all 0 where it does not apply."""
+        out = np.zeros((len(keys), len(VOTERS), 3))
+        for k, key in enumerate(keys):
+            for v, own in enumerate(VOTERS):
+                said = {key[i] for i in own}
+                if "3" not in said:
+                    out[k, v, 0 if "0" in said else 2 if "2" in said else 1] = 1
+        return out
+
+    def _posterior(self, cast: np.ndarray) -> np.ndarray:
+        good, bad = np.log(np.maximum(self.p, 1e-300))
+        odds = np.log(self.prior / (1 - self.prior)) + np.einsum("kvo,vo->k", cast, good - bad)
         return 1 / (1 + np.exp(-odds))
 
     def table(self, patterns) -> dict[str, float]:
         keys = sorted(patterns)
-        return dict(zip(keys, self._posterior(self._fired(keys)).tolist(), strict=True)) if keys else {}
+        return dict(zip(keys, self._posterior(self._cast(keys)).tolist(), strict=True)) if keys else {}
 
     def rates(self) -> dict[str, tuple[float, float]]:
-        """Rule: how often it fires on good and on bad documents."""
+        """Rule: how often it votes on good and on bad documents."""
         return {name: (float(g), float(b)) for (name, *_), g, b in zip(RULES, self.good, self.bad, strict=True)}
 
 
@@ -165,15 +176,15 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     A null or empty text has zero counts, so base_failed and not kept; texts of any length are read whole.
     Repeated rows each give a row with the same verdict, an empty table no rows; the id, null or not, is
     carried, and no other column is read. A posterior of just ``keep_at`` is kept. The counts (no text) are
-    written once; at most 2 ** rules pattern counts reach the driver and the posterior table of the
+    written once; at most 3 ** rules pattern counts reach the driver and the posterior table of the
     patterns, bounded alike, goes back as a literal map.
     """
 
     def run(texts):
         rows = [(*counts(t), len([x for x in (t or b"").split(b"\n") if x and not x.isspace()])) for t in texts]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(9)]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(10)]
 
-    fields = f"{COUNTS}, n_upper bigint, n_marks bigint, same_share double, n_lines bigint"
+    fields = f"{COUNTS}, n_upper bigint, n_marks bigint, same_share double, n_wide bigint, n_lines bigint"
     made = map_texts(docs, {"doc_id": F.col(doc_id)}, fields, run, text).withColumn("votes", votes())
     made = materialize(made, "quality-rules")
     patterns = {r["votes"]: r["count"] for r in made.groupBy("votes").count().collect()}

@@ -42,12 +42,14 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     size is the UTF-8 bytes plus 1 (null text: 1); text_crc32 of a null text is that of an empty one.
-    Nulls form one group, empty texts another. Slots are numbered by doc_id inside hash cells, a null id first;
-    repeated rows are of one group and get a slot each, in no stated order. Of shards with an equal score
+    Nulls form one group, empty texts another. A group larger than a shard is dealt row by row, so rows that
+    repeat both id and text part as well. Slots are numbered by doc_id inside hash cells of rows, a null id first;
+    repeated rows get a slot each, in no stated order. Of shards with an equal score
     the lowest is taken. An empty table gives no rows; no other column is read.
     """
     spark, col = docs.sparkSession, F.col(text)
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),  # fixed once the table is written
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(col, F.lit("")).cast("binary")).alias("text_crc32"),
@@ -66,9 +68,9 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text
     marked = rows.join(F.broadcast(spark.createDataFrame(piece_of, schema)), "key", "left")
     light = F.col("pieces").isNull()
     marked = marked.select(
-        "doc_id", "size", "text_crc32", "tokens",
+        "row", "doc_id", "size", "text_crc32", "tokens",
         F.when(light, F.lit(b"").cast("binary")).otherwise(F.col("key")).alias("item"),
-        F.when(light, F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("pieces"))).cast("int").alias("part"),
+        F.when(light, F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).otherwise(F.pmod(F.xxhash64("row"), F.col("pieces"))).cast("int").alias("part"),
     )
     items = marked.groupBy("item", "part").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")).orderBy("item", "part").collect()
     placed = pack(np.array([[x["b"], x["t"], x["r"]] for x in items], float).reshape(-1, 3) / np.array(total), n_shards)
@@ -80,12 +82,12 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text
 
 
 def numbered(rows: DataFrame, doc_id: str) -> DataFrame:
-    """Adds slot: gapless from 0 inside each shard, counted in SALTS cells side by side."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(9)), F.lit(SALTS)).cast("int"))
+    """Adds slot: gapless from 0 inside each shard, counted in SALTS cells of rows (by their number) side by side."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(9)), F.lit(SALTS)).cast("int"))
     sizes = rows.groupBy("shard", "salt").count()
     before = W.Window.partitionBy("shard").orderBy("salt").rowsBetween(W.Window.unboundedPreceding, -1)
     sizes = sizes.select("shard", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))  # at most shards * SALTS rows
-    order = W.Window.partitionBy("shard", "salt").orderBy(doc_id, "text_crc32", "size")
+    order = W.Window.partitionBy("shard", "salt").orderBy(doc_id, "row")
     return rows.withColumn("at", F.row_number().over(order)).join(F.broadcast(sizes), ["shard", "salt"]).withColumn("slot", (F.col("base") + F.col("at") - 1).cast("long"))
 
 

@@ -213,6 +213,72 @@ def test_quality_rules_query(spark, small):
         assert g["kept"] == (not g["base_failed"] and g["posterior"] >= 0.5)
 
 
+def _plain_em(patterns):
+    """The same mixture by loops: posterior of each pattern. Voters: rules of one figure."""
+    figures = list(dict.fromkeys(r[1] for r in quality_rules.RULES))
+    both = {f: any(r[1] == f and r[4] for r in quality_rules.RULES) for f in figures}
+
+    def outcome(key, f):
+        said = [d for d, r in zip(key, quality_rules.RULES, strict=True) if r[1] == f]
+        return None if "3" in said else 0 if "0" in said else 2 if "2" in said else 1
+
+    belief = {f: [list(x) for x in quality_rules.BELIEF[both[f]]] for f in figures}
+    p, prior, n, old = {f: [list(x) for x in belief[f]] for f in figures}, 0.7, sum(patterns.values()), None
+    while True:
+        q = {}
+        for key in patterns:
+            like = [prior, 1 - prior]
+            for f in figures:
+                o = outcome(key, f)
+                for side in (0, 1):
+                    like[side] *= 1 if o is None else p[f][side][o]
+            q[key] = like[0] / sum(like)
+        if old and max(abs(q[k] - old[k]) for k in q) < 1e-12:
+            return q
+        old = q
+        for f in figures:
+            for side in (0, 1):
+                seen = [0.0, 0.0, 0.0]
+                for key, c in patterns.items():
+                    if (o := outcome(key, f)) is not None:
+                        seen[o] += c * (q[key] if side == 0 else 1 - q[key])
+                p[f][side] = [(a + 100 * b) / (sum(seen) + 100) for a, b in zip(seen, belief[f][side], strict=True)]
+        prior = (sum(c * q[k] for k, c in patterns.items()) + 70) / (n + 100)
+
+
+def test_vote_model_against_loops(spark):
+    """Verdicts of a whole table's rows: expectation-maximisation written again."""
+    rows = QUERIES["op8_quality_rules"](spark, LARGER).collect()
+    made = quality_rules.quality_rules(spark.read.parquet(f"{LARGER}/documents.parquet")).collect()
+    want = _plain_em(Counter(r["votes"] for r in made))
+    assert all(r["posterior"] == pytest.approx(want[r["votes"]], abs=1e-6) for r in made)
+    kept = {r["doc_id"]: not r["base_failed"] and want[r["votes"]] >= 0.5 for r in made}
+    assert all(r["kept"] == kept[r["doc_id"]] for r in rows)
+
+
+def test_one_strong_vote_is_no_veto():
+    """A rule that fires on a good third of texts beside votes for them is no sign of bad ones; nor are silent texts."""
+    got = quality_rules.VoteModel({"10111112": 400, "11111122": 700}).table(["10111112", "11111122"])
+    assert min(got.values()) > 0.9
+    got = quality_rules.VoteModel({"11111122": 400, "13113113": 300, "03113113": 300}).table(["11111122", "13113113", "03113113"])
+    assert got["11111122"] > 0.9 and got["13113113"] > 0.5
+
+
+@pytest.mark.parametrize("n, share", [(4000, 0.7), (40000, 0.7), (40000, 0.4), (40000, 0.95)])
+def test_vote_model_recovers_a_strong_rule_that_fires_on_good_texts(n, share):
+    """Symbols stand in 30 % of good texts: the rate of every rule comes back, at any share of good texts."""
+    rng = np.random.default_rng(1)
+    good = {"symbol_share": (0.3, 0.7, 0), "mark_share": (0.02, 0.18, 0.8), "repeat_share": (0.02, 0.98, 0), "dup_share": (0.03, 0.97, 0), "upper_share": (0.01, 0.19, 0.8), "same_share": (0.02, 0.98, 0)}
+    bad = {"symbol_share": (0.4, 0.6, 0), "mark_share": (0.5, 0.3, 0.2), "repeat_share": (0.4, 0.6, 0), "dup_share": (0.5, 0.5, 0), "upper_share": (0.3, 0.4, 0.3), "same_share": (0.4, 0.6, 0)}
+    is_good = rng.random(n) < share
+    said = {f: np.where(is_good, rng.choice(3, n, p=good[f]), rng.choice(3, n, p=bad[f])) for f in good}
+    keys = ["".join(str(v) if said[f][i] == v else "1" for _, f, _, _, v in quality_rules.RULES) for i in range(n)]
+    m = quality_rules.VoteModel(Counter(keys))
+    assert m.prior == pytest.approx(share, abs=0.02)
+    for (name, (g, b)), (_, f, _, _, v) in zip(m.rates().items(), quality_rules.RULES, strict=True):
+        assert g == pytest.approx(good[f][v], abs=0.02) and b == pytest.approx(bad[f][v], abs=0.08), name
+
+
 def test_vote_model_recovers_rates():
     """Rates of simulated classes come back without labels, near the truth and on no bound."""
     rng = np.random.default_rng(5)

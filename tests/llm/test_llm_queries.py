@@ -129,6 +129,29 @@ def test_few_distinct_votes_on_long_texts(spark):
     assert got == {i: "0" if i > 0 else "1" for i, _ in rows}
 
 
+def test_quality_rules_of_other_scripts(spark):
+    """Rules on capitals and ASCII marks don't apply to a script that has neither; such texts are kept like the others."""
+    words = lambda seed, letters: " ".join("".join(random.Random(seed * 999 + i).choices(letters, k=5)) for i in range(80))
+    latin = [(i, ". ".join(x.capitalize() for x in textwrap.wrap(words(i, "abcdefghijklmnop"), 40)) + ".") for i in range(60)]
+    rows = latin + [(100 + i, words(i, "เกมรถคนดีมาก")) for i in range(60)] + [(200 + i, words(i, "abc#*$%&")) for i in range(40)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {r["votes"][1] + r["votes"][6] + r["votes"][4] + r["votes"][7] for i, r in got.items() if 100 <= i < 200} == {"3333"}
+    assert all(r["kept"] == (i < 200) for i, r in got.items())
+
+
+def test_sharding_of_repeated_rows(spark):
+    """Rows that share id and text are most of the corpus: bytes stay near equal, slots gapless."""
+    rows = [(1, "a b c d e f g h")] * 8000 + [(None, "x y z")] * 500 + [(10 + i, f"lone text {i}") for i in range(1000)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    held = Counter()
+    for r in got:
+        held[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and max(held.values()) - min(held.values()) <= 0.02 * sum(held.values()) / 8
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
 def test_sharding(docs, none):
     got = sharding.shards(docs).collect()
     assert len(got) == len(_rows())

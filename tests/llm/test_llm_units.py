@@ -168,14 +168,18 @@ def test_pu_learning_separates():
 
 @pytest.mark.parametrize("good", [0.95, 0.4])
 def test_verdicts_at_other_shares_of_good_texts(good):
-    """A lone strong vote rejects, beside votes for the text as well, and what is only spoken for is kept."""
+    """Votes against that come together reject, beside votes for the text as well; what is only spoken for is kept.
+
+    A lone vote against that never comes with another one is no evidence for a mixture of independent voters and
+    rejects nothing; a rule is heard where others bear it out.
+    """
     n = 20000
     fine = {"11111122": 0.85, "11111112": 0.05, "11111121": 0.09, "11101122": 0.01}
-    foul = {"00111112": 0.4, "11110121": 0.2, "11110111": 0.1, "11111022": 0.1, "11111012": 0.1, "11001122": 0.1}
+    foul = {"00111112": 0.4, "11110121": 0.1, "00110121": 0.1, "11110111": 0.1, "11111022": 0.1, "11001022": 0.1, "11001122": 0.1}
     table = {**{k: round(v * n * good) for k, v in fine.items()}, **{k: round(v * n * (1 - good)) for k, v in foul.items()}}
     got = quality_rules.VoteModel(table).table(table)
     assert all(got[k] >= quality_rules.KEEP_AT for k in ("11111122", "11111112", "11111121"))
-    assert all(got[k] < quality_rules.KEEP_AT for k in ("00111112", "11110121", "11110111", "11111022", "11111012"))
+    assert all(got[k] < quality_rules.KEEP_AT for k in ("00111112", "00110121", "11001122", "11001022"))
 
 
 def test_vote_model_without_rows():
