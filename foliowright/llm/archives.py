@@ -41,6 +41,7 @@ IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 CAPTURED = "20000101000000"  # the date of pages that have none
 LEAST = 0  # bytes of payload from which on equal payloads are written once
 HOT = 1024  # payloads that more than 1/HOT of all records share are joined by broadcast: at most HOT of them
+_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}  # about half the writing time for a tenth more bytes
 _FLUSH = 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 _ODD = re.compile(rb"[\x00-\x20\x7f]")
@@ -164,7 +165,7 @@ def write_arc(pages: DataFrame, path: str, captured: str = CAPTURED, page_id: st
         every = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield from _binary_rows(((r,) for r in arc_rows(every, f"pages-{part:06d}.arc", 1 + part % 2, captured)), _RAW)
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value string").write.options(**_GZIP).option("lineSep", "\n").text(path)
 
 
 def arc_records(source: Source) -> Iterator[dict]:
@@ -279,7 +280,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _binary_rows(((warc_record(*x),) for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)), _RAW)
 
-    joined.mapInArrow(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").text(warc_path)
+    joined.mapInArrow(run, "value string").write.options(**_GZIP).option("lineSep", RECORD_END).text(warc_path)
 
 
 def warc_record(id_, info, kind, content, url, ip, date, head, payload, digest, truncated, of_page, of_id, of_url, of_date) -> bytes:
