@@ -19,6 +19,8 @@ HIDDEN = 8
 LANES = 2048  # windows side by side
 TRAIN_DOCS = 1500  # bound: labelled documents a language
 TRAIN_WINDOWS = 4  # bound: windows a training document
+HELD_DOCS = 4000  # bound: held-out documents whose scores set the least score
+FLOOR = 0.75  # of the score that 999 in 1000 of them reach
 STEPS = 450
 BATCH = 128
 PAD = 256  # symbol of positions behind a text's end
@@ -225,11 +227,25 @@ def language_id(docs: DataFrame, model: ByteGRU, carry: dict | None = None, text
     """The carried columns with lang_pred and score for every row; no shuffle.
 
     ``und`` with score 0.0 for a null text or one without a letter, and where nothing could be
-    learned. Only the text decides. Repeated rows each get the same answer.
+    learned. Only the text decides. Repeated rows each get the same answer; an empty table gives no rows.
     """
     return map_texts(docs, carry or {"doc_id": F.col("doc_id")}, "lang_pred string, score double", lambda ts: list(model.predict(ts)), text, raw)
 
 
+def least_score(docs: DataFrame, model: ByteGRU, held, text: str = "text", lang: str = "lang", sample: int = HELD_DOCS) -> float:
+    """The score below which a text is taken to be of no learned language.
+
+    FLOOR of the score that all but one in a thousand of the held-out rows (at most about ``sample``, drawn by the hash
+    of their text) reach whose language is predicted right; 0.0 where there are none, so nothing is rejected by it.
+    """
+    rows = docs.where(held & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    n = rows.count()
+    drawn = rows.where(F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20)))
+    right = language_id(drawn, model, {"lang": F.col(lang)}, text).where("lang = lang_pred")
+    found = right.agg(F.percentile("score", F.lit(0.001))).first()[0]
+    return FLOOR * (found or 0.0)
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id mod 4 is 2; a null id is neither held out nor learned from."""
     return F.coalesce(bucket_of(doc_id, 4) == 2, F.lit(False))

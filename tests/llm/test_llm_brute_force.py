@@ -6,7 +6,6 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
-from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -400,13 +399,7 @@ def _run(spark, folder, docs, labels):
     return P.run(spark, str(folder))
 
 
-@pytest.fixture
-def briefly_trained(monkeypatch):
-    """The pipeline's language stage decides by letters alone, so a network of three steps will do."""
-    monkeypatch.setattr(language_id, "train", partial(language_id.train, steps=3))
-
-
-def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path, briefly_trained):
+def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert _run(spark, tmp_path / "none", spark.createDataFrame([], COLUMNS), labels).count() == 0
     rows = [(i, f"one two three four five {i} six seven eight", "en", "s", 9) for i in range(8)] + [(None, None, None, None, None), (8, "", "en", "s", 0)]
@@ -416,13 +409,31 @@ def test_pipeline_on_an_empty_table_and_clashing_columns(spark, tmp_path, briefl
     assert {r["doc_id"] for r in _run(spark, tmp_path / "clash", docs, labels).collect()} <= set(range(8))
 
 
-def test_pipeline_stage_by_stage(spark, small, tmp_path, briefly_trained):
+def test_language_stage_rejects_what_fits_no_one_language(spark):
+    """Texts of one language stay; texts that go through all four in equal parts go."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    good = docs.join(spark.read.parquet(f"{LARGER}/labels.parquet").where("quality = 1"), "doc_id").collect()
+    of = {k: [r["text"][:300] for r in good if r["lang"] == k and len(r["text"]) > 400] for k in ("en", "de", "fr", "es")}
+    mixed = [(10**6 + i, " ".join(of[k][i % len(of[k])] for k in of), None, "s", 1) for i in range(20)]
+    kept = {r["doc_id"] for r in P.stage_language(spark, docs.union(spark.createDataFrame(mixed, docs.schema)), LARGER).select("doc_id").collect()}
+    assert len(kept & {r["doc_id"] for r in good}) >= 0.995 * len(good)
+    assert len(kept & {m[0] for m in mixed}) <= 2
+
+
+def test_pipeline_stage_by_stage(spark, small, tmp_path):
     """run() against plain Python: every stage recomputed on what the one before it kept."""
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     got = _run(spark, tmp_path / "t", docs, labels).collect()
     lang = language_id.train(docs, bucket_of("doc_id", 4) != 2)
-    left = {i: r for i, r in small.items() if lang.predict([(r["text"].encode() if r["text"] is not None else None)])[0][0] != "und"}
-    assert left.keys() == {i for i, r in small.items() if any(c.isalpha() for c in r["text"] or "")}
+    said = {i: tuple(x[0] for x in lang.predict([r["text"].encode() if r["text"] is not None else None])) for i, r in small.items()}
+    held = sorted(said[i][1] for i, r in small.items() if zlib.crc32(str(i).encode()) % 4 == 2 and r["lang"] == said[i][0] and r["text"] is not None)
+    at = 0.001 * (len(held) - 1)
+    least = 0.75 * (held[int(at)] + (held[int(at) + 1] - held[int(at)]) * (at % 1))
+    left = {i: r for i, r in small.items() if said[i][0] != "und" and said[i][1] >= least}
+    lettered = {i for i, r in small.items() if any(c.isalpha() for c in r["text"] or "")}
+    assert left.keys() <= lettered and len(left) >= 0.98 * len(lettered)
     kept = spark.createDataFrame([tuple(r) for r in left.values()], docs.schema)
     model = quality_pu.train(kept, labels, bucket_of("doc_id", 5) != 0)
     left = {i: r for i, r in left.items() if model.scores([r["text"].encode()])[0] >= 0.3}
