@@ -121,7 +121,7 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, doc_id: str =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, hilbert_key.
 
     Null text is empty and yields the end id alone. Repeated rows and null ids are documents of their
-    own. The ids are written once and shuffled once; what is range-sorted is three numbers a document.
+    own. Documents of one key stand in the order of the table's parts; an empty table gives no pieces. The ids are written once and shuffled once; what is range-sorted is three numbers a document.
     Only one row total per sorted partition reaches the driver.
     """
 
@@ -146,11 +146,12 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, doc_id: str =
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     curve = made.select("uid", "doc_tokens", "hilbert_key").repartitionByRange(int(parts), "hilbert_key", "uid").sortWithinPartitions("hilbert_key", "uid")
     curve = materialize(curve.select("uid", "doc_tokens", F.spark_partition_id().alias("part")).mapInArrow(running, "uid bigint, local bigint, n bigint, part int"), "curve")
-    base, total = {}, 0
+    starts, total = [], 0
     for r in curve.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        base[r["part"]], total = total, total + r["n"]
-    at = F.create_map(*[F.lit(v) for kv in base.items() for v in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    placed = made.join(curve.select("uid", (at[F.col("part")].cast("long") + F.col("local")).alias("first")), "uid")
+        starts.append((r["part"], total))
+        total += r["n"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "part int, base bigint"))  # a row a sorted partition
+    placed = made.join(curve.join(starts, "part").select("uid", (F.col("base") + F.col("local")).alias("first")), "uid")
 
     def pieces(batches):
         for b in batches:
