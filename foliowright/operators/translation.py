@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import masking
 from ..functions import scalars as S
+from ..functions import tags
 
 BATCH_SEGMENTS, BATCH_CHARS = 40, 12000
 RETRY_SEGMENTS = 10
@@ -38,11 +41,14 @@ def translatable(docs: DataFrame, segments: DataFrame, doc: str = "doc") -> Data
 
 
 def terms_for(terms: DataFrame, langs: list[str]) -> DataFrame:
-    """lang, term, text: glossary entries of each language, those of its base code where it has none of its own."""
-    wanted = terms.sparkSession.createDataFrame([(x,) for x in langs], "wanted string").withColumn("base", F.lower(F.split("wanted", "[-_]")[0]))
-    code = F.lower("lang")
-    hits = terms.join(F.broadcast(wanted), (code == F.lower("wanted")) | (code == F.col("base")))
-    best = hits.groupBy("wanted", "term").agg(F.min(F.struct((F.lower("lang") != F.lower("wanted")).alias("is_base"), "text")).alias("x"))
+    """lang, term, text: glossary entries of each language, those of its base code where it has none of its own.
+
+    A wanted language is asked for under its own code and its base, so the join is on one key.
+    """
+    asked = {(x, code.lower()): code == x for x in langs for code in (re.split("[-_]", x)[0], x)}
+    wanted = terms.sparkSession.createDataFrame([(*k, own) for k, own in asked.items()], "wanted string, code string, own boolean")
+    hits = terms.withColumn("code", F.lower("lang")).join(F.broadcast(wanted), "code")
+    best = hits.groupBy("wanted", "term").agg(F.min(F.struct((~F.col("own")).alias("is_base"), "text")).alias("x"))
     return best.select(F.col("wanted").alias("lang"), "term", F.col("x.text").alias("text"))
 
 
@@ -69,8 +75,8 @@ def cache_keyed(segments: DataFrame, version: str, engine: str, review: str = ""
 
 
 def acceptable(source: Column, translated: Column) -> Column:
-    """True for a translation that holds the source's tags, each as often, and is not too short or long."""
-    return S.same_tags(source, translated) & ~S.ratio_fails(S.masked_plain(source), S.masked_plain(translated))
+    """True for a translation that holds the source's tags, each as often and its pairs nested, and is not too short or long."""
+    return S.same_tags(source, translated) & tags.well_nested(translated) & ~S.ratio_fails(S.masked_plain(source), S.masked_plain(translated))
 
 
 def probe_cache(segments: DataFrame, cache: DataFrame, source: str = "masked") -> DataFrame:
@@ -80,32 +86,55 @@ def probe_cache(segments: DataFrame, cache: DataFrame, source: str = "masked") -
     return joined.withColumn("text", F.when(ok, F.col("__hit"))).withColumn("via", F.when(ok, "cache")).drop("__hit")
 
 
+class Packer:
+    """Greedy packing of sizes in order: a batch closes when one more would exceed either limit. Three numbers of state."""
+
+    def __init__(self, max_items: int, max_size: int):
+        self.max_items, self.max_size = max_items, max_size
+        self.start()
+
+    def start(self) -> None:
+        self.batch = self.items = self.total = 0
+
+    def put(self, size: int) -> int:
+        """The batch of the next size."""
+        if self.items and (self.items >= self.max_items or self.total + size > self.max_size):
+            self.batch, self.items, self.total = self.batch + 1, 0, 0
+        self.items, self.total = self.items + 1, self.total + size
+        return self.batch
+
+
 def packed(sizes, max_items: int, max_size: int) -> list[int]:
-    """The batch of each size, in order: one closes when the next would exceed either limit."""
-    out, batch, items, total = [], 0, 0, 0
-    for n in sizes:
-        if items and (items >= max_items or total + n > max_size):
-            batch, items, total = batch + 1, 0, 0
-        items, total = items + 1, total + n
-        out.append(batch)
-    return out
+    p = Packer(max_items, max_size)
+    return [p.put(n) for n in sizes]
 
 
 def batches(rows: DataFrame, by: list[str], order: str, text: str, max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS) -> DataFrame:
     """Adds batch: greedy packing in order, a batch closes when one more would exceed either limit.
 
-    Only keys and lengths are grouped, three numbers a segment, and each group is read once. Equal places in
-    the order get one batch, that of the first.
+    Rows are dealt by key and sorted, and stream through three numbers of state, so no key is held in memory. Rows of
+    equal place in the order go by size, the smaller first, and each is packed by itself. Texts take part in the
+    shuffle, so that nothing is joined back.
     """
-    small = rows.select(*by, order, S.utf16_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("__n"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields[:-1])
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "__n"], kind="stable")
-        return group.assign(batch=packed(group["__n"], max_items, max_chars)).drop(columns="__n")
-
-    dealt = small.groupBy(*by).applyInPandas(pack, f"{kinds}, batch int").groupBy(*by, order).agg(F.min("batch").alias("batch"))
-    return rows.join(dealt, [*by, order])
+    size = S.utf16_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    key = F.xxhash64(*by)
+    dealt = rows.withColumn("__n", size).withColumn("__k", key).repartition(*by).sortWithinPartitions("__k", *by, order, "__n")
+    at = [rows.columns.index(c) for c in by]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, last = Packer(max_items, max_chars), None
+        for b in parts:
+            keys = zip(*(b.column(i).to_pylist() for i in at), strict=True)
+            out = []
+            for k, n in zip(keys, b.column(b.num_columns - 2).to_pylist(), strict=True):
+                if k != last:
+                    packer.start()
+                    last = k
+                out.append(packer.put(n))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.int32())], names=[*b.schema.names[:-2], "batch"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return dealt.mapInArrow(run, f"{kinds}, batch int")
 
 
 class TooLong(Exception):
