@@ -182,6 +182,17 @@ def splice(source: str, parts) -> tuple[str, list[str]]:
     return text, reverted
 
 
+def structure_differs(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, differs: whether two texts have other skeletons; null where one is null. One narrow stage."""
+
+    @F.pandas_udf("boolean")
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = zip(x, y, strict=True)
+        return pd.Series([markdown.skeleton(s) != markdown.skeleton(t) if isinstance(s, str) and isinstance(t, str) else None for s, t in both], dtype=object)
+
+    return df.select(*keys, differ(F.col(a), F.col(b)).alias("differs"))
+
+
 def map_column(df: DataFrame, source: str, target: str, fn: Callable[[str], object], ddl: str) -> DataFrame:
     """Adds fn(source) as a vectorized column; null stays null."""
 

@@ -41,23 +41,77 @@ def expectation_counts(outputs: DataFrame, expectations: DataFrame, text: str =
     return j.withColumn("translate_left", F.filter(some("__translate"), lambda k: F.contains(out, k))).drop("__doc", "__keep", "__translate")
 
 
+#: Code of a Markdown text: fenced blocks up to their end or the text's, and spans on a line.
+_CODE = r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)|(?<!`)(`+)(?!`)[^\n]*?(?<!`)\2(?!`)"
+
+
+def link_target(raw: Column) -> Column:
+    """The target that a link in the page names: per-cent escapes are read, a plus stays one, and where they are none the text stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+
+
 def broken_links(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, targets, broken: links inside the page and those whose target is nowhere defined.
 
     Targets are slugs of headings, id and name attributes and {#id} marks; a target that several links name
-    counts for each of them. keys must tell the rows apart.
+    counts for each of them. Markdown links in code are no links. keys must tell the rows apart. A null text has none.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
-    links = F.concat(F.transform(found(r"\]\(#([^)\s]+)"), F.url_decode), found(r"\bhref\s*=\s*[\"']#([^\"']+)[\"']"))
+    found = lambda p, t=t: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    links = F.concat(F.transform(found(r"\]\(#([^)\s]+)", F.regexp_replace(t, F.lit(_CODE), F.lit(""))), link_target), found(r"\bhref\s*=\s*[\"']#([^\"']+)[\"']"))
     marks = F.concat(found(r"\b(?:id|name)\s*=\s*[\"']([^\"']+)[\"']"), found(r"\{#([\w-]+)\}"))
     rows = df.select(*keys, F.col(text).alias("__text"), links.alias("__links"), marks.alias("__marks"))
     # only pages with links go on to the scanner of headings
     slugs = D.heading_slugs(rows.where(F.size("__links") > 0), keys, "__text").groupBy(*keys).agg(F.collect_set("slug").alias("__slugs"))
     j = rows.join(slugs, keys, "left")
     known = F.concat("__marks", F.coalesce("__slugs", F.array().cast("array<string>")))
-    missing = F.filter("__links", lambda x: ~F.array_contains(known, x))
-    return j.select(*keys, F.size("__links").cast("long").alias("targets"), F.size(missing).cast("long").alias("broken"))
+    # the difference of sets is hashed; only what it leaves is looked for among the links
+    j = j.withColumn("__gone", F.array_except("__links", known))
+    missing = F.when(F.size("__gone") == 0, 0).otherwise(F.size(F.filter("__links", lambda x: F.array_contains("__gone", x))))
+    return j.select(*keys, F.size("__links").cast("long").alias("targets"), missing.cast("long").alias("broken"))
+
+
+def run_metrics(
+    runs: DataFrame, keys: list[str], expectations: DataFrame | None = None, english: DataFrame | None = None, source: str = "source", text: str = "text",
+) -> DataFrame:
+    """keys and COUNTS of every run, as numbers, with english_by_kind (a map): the deterministic checks of one translation.
+
+    runs: keys (which tell runs apart, ``doc`` among them), source, text, and of the run itself reverted, kept_source, nmt and
+    error. expectations: doc, keep, translate. english: keys, category, english_left, as ``english_left`` gives them;
+    without it the two texts are extracted here. A run without text breaks the structure, leaves nothing and
+    changes nothing else; links count as broken beyond those that the source breaks itself.
+    """
+    r = runs.select(*keys, F.col(source).alias("source"), F.col(text).alias("text"), "reverted", "kept_source", "nmt", F.col("error").isNotNull().cast("long").alias("errors"))
+    have = r.where("text IS NOT NULL AND source IS NOT NULL")
+    e = expectations if expectations is not None else r.sparkSession.createDataFrame([], "doc string, keep array<string>, translate array<string>")
+    missed = expectation_counts(r.select(*keys, "text"), e).select(*keys, F.size("keep_missing").alias("keep_missing"), F.size("translate_left").alias("translate_left"))
+    shape = D.structure_differs(have.select(*keys, "source", "text"), keys, "source", "text").select(*keys, F.col("differs").cast("long").alias("structure_broken"))
+    code = code_changes(code_blocks(have, keys, "source"), code_blocks(have, keys, "text"), keys)
+    sides = have.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("source").alias("t")), F.struct(F.lit(1).alias("side"), F.col("text").alias("t")))).alias("x")).select(*keys, "x.*")
+    links = broken_links(sides, [*keys, "side"], "t").groupBy(*keys).agg(F.sum(F.when(F.col("side") == 1, F.col("broken")).otherwise(-F.col("broken"))).alias("more"))
+    links = links.select(*keys, F.greatest("more", F.lit(0)).alias("links_broken"))
+    if english is None:
+        english = english_left(_plain_segments(have, keys, "source"), _plain_segments(have, keys, "text"), keys)
+    left = english.groupBy(*keys).agg(F.sum("english_left").alias("english_left"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "english_left")))).alias("english_by_kind"))
+    out = r.drop("source", "text")
+    for part in (missed, shape, code.withColumnRenamed("code_changed", "__code"), links, left):
+        out = out.join(part, keys, "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    none = F.create_map().cast("map<string,bigint>")
+    broken = F.coalesce("structure_broken", F.lit(1))
+    return out.select(
+        *keys, number(F.col("keep_missing")).alias("keep_missing"), number(F.col("translate_left")).alias("translate_left"), broken.cast("long").alias("structure_broken"),
+        number(F.col("__code")).alias("code_changed"), number(F.col("links_broken")).alias("links_broken"), number(F.col("english_left")).alias("english_left"), number(F.col("errors")).alias("errors"),
+        *[number(F.col(c)).alias(c) for c in EVENTS], F.coalesce("english_by_kind", none).alias("english_by_kind"),
+    )
+
+
+def _plain_segments(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, category, plain of the segments of a text, one narrow stage; keys travel as JSON."""
+    named = df.select(F.to_json(F.struct(*keys)).alias("doc"), F.col(text).alias("content"))
+    seg = D.extract_segments(named).where("NOT passive")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    return seg.select(F.from_json("doc", kinds).alias("k"), segment_category(F.col("kind"), F.col("note")).alias("category"), S.plain_words(F.col("masked")).alias("plain")).select("k.*", "category", "plain")
 
 
 def code_blocks(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -14,7 +14,9 @@ from ..functions import scalars as S
 from ..functions import statistics as X
 from ..operators import documents as D
 from ..operators import evaluation as E
+from ..operators import scoring
 from ..operators import translation as T
+from ..operators.islands import fixed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -64,7 +66,7 @@ def document_round_trip(spark, d):
     """Extract, pseudo-translate, check and splice every document, with a report per language."""
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
     docs = D.spread(docs)
-    seg = D.extract_segments(docs)
+    seg = fixed(D.extract_segments(docs))  # written once, read by translation and assembly
     out = T.translate(seg, ["fr", "sv"], T.Pseudo())
     memory = out.where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
     made = D.assemble(docs, seg, memory)
@@ -75,7 +77,7 @@ def document_round_trip(spark, d):
 def identity_proof(spark, d):
     """Every document with a letter is assembled from its own segments and the same, byte for byte."""
     docs = _t(spark, d, "documents").where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
-    seg = D.extract_segments(docs)
+    seg = fixed(D.extract_segments(docs))
     made = D.assemble(docs, seg, seg.select("doc", F.lit("xx").alias("lang"), "seg_id", F.col("masked").alias("text")))
     joined = docs.join(made.where("error IS NULL"), "doc", "left")
     return joined.agg(F.count("*").alias("docs"), F.count("text").alias("assembled"), F.count_if(F.col("text") == F.col("content")).alias("identical"))
@@ -434,7 +436,7 @@ def duration_quantiles(spark, d):
 def bootstrap_reduction(spark, d):
     """Paired bootstrap by language, items in the order of their id."""
     items = judgements(spark, d).groupBy("lang", "doc_id").agg(F.first("words").alias("words"), F.avg("mqm_on").alias("mqm_on"), F.avg("mqm_off").alias("mqm_off"))
-    return X.bootstrap(items, ["lang"], "doc_id", iterations=200)
+    return X.bootstrap(items, ["lang"], "doc_id")
 
 
 @register("""
@@ -465,13 +467,19 @@ def defect_diff(spark, d):
 
 
 @register("""
-WITH w AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT line, count(*) AS n FROM (SELECT line FROM w WHERE source = 'src1' INTERSECT ALL SELECT line FROM w WHERE source = 'src2') GROUP BY 1
+WITH w AS (SELECT source, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT source, unnest(ls) AS line FROM w),
+a AS (SELECT line, count(*) AS n FROM l WHERE source = 'src1' AND len(regexp_extract_all(line, '\\p{L}{2,}')) >= 3 GROUP BY 1),
+b AS (SELECT line, count(*) AS n FROM l WHERE source = 'src2' AND len(regexp_extract_all(line, '\\p{L}{2,}')) >= 3 GROUP BY 1)
+SELECT length(a.line) % 5 AS run, CASE WHEN length(a.line) % 2 = 0 THEN 'prose' ELSE 'comment' END AS category, sum(least(a.n, b.n))::BIGINT AS english_left
+FROM a JOIN b USING (line) GROUP BY 1, 2
 """)
 def english_left(spark, d):
-    """Lines that two texts share, each as often as the rarer side has it; the lines of two sources stand for them."""
-    w = _t(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
-    return E.multiset_common(w.where("source = 'src1'"), w.where("source = 'src2'"), ["line"]).groupBy("line").agg(F.count("*").alias("n"))
+    """Segments that source and output share; the lines of two sources stand for them."""
+    w = _t(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("plain"))
+    n = F.length("plain")
+    w = w.select("source", (n % 5).alias("run"), F.when(n % 2 == 0, "prose").otherwise("comment").alias("category"), "plain")
+    return scoring.english_left(w.where("source = 'src1'"), w.where("source = 'src2'"), ["run"])
 
 
 @register("""

@@ -227,3 +227,47 @@ def block_changes_in_sql(spark, d):
     side("a", 3).union(side("b", 2)).createOrReplaceTempView("foliowright_blocks")
     found = "differing_blocks_of(TABLE(foliowright_blocks) PARTITION BY conv_id ORDER BY (turn, side), 'block', 'conv_id')"
     return spark.sql(f"SELECT conv_id, count_if(kind = 'lost') AS lost, count_if(kind = 'added') AS added FROM {found} GROUP BY conv_id")
+
+
+# ---- deterministic metrics
+
+
+@register("""
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 3 ELSE 1 + (doc_id % 2 = 0)::INT END AS keep_missing, (doc_id % 11 <> 0 AND doc_id % 2 = 1)::BIGINT AS translate_left,
+  (doc_id % 11 = 0 OR doc_id % 4 = 0 OR doc_id % 3 = 0)::BIGINT AS structure_broken, (doc_id % 11 <> 0 AND doc_id % 3 = 0)::BIGINT AS code_changed, (doc_id % 11 <> 0 AND doc_id % 5 = 0)::BIGINT AS links_broken,
+  (doc_id % 11 <> 0 AND doc_id % 2 = 1)::BIGINT AS english_left, (doc_id % 13 = 0)::BIGINT AS errors, doc_id % 7 AS reverted, doc_id % 6 AS kept_source, doc_id % 8 AS nmt,
+  CASE WHEN doc_id % 11 <> 0 AND doc_id % 2 = 1 THEN 1 END AS prose
+FROM documents
+""")
+def run_metrics(spark, d):
+    """All deterministic counts of a run at once, over made translations of every document that differ in known ways."""
+    from ..operators import scoring
+
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    on = lambda n, a, b: F.when(i % n == 0, a).otherwise(b)
+    text = lambda mark, link, x, words: F.concat(F.lit(mark), s, F.lit("\n\nSee [x](#"), link, F.lit(") and [y](#100%).\n\n```js\nx = "), x, F.lit(";\n```\n\n"), words, F.lit("\n"))
+    own, english = F.concat(F.lit("title-"), s), F.lit("These english words stay here.")
+    source = text("# Title ", own, F.lit("1"), english)
+    made = F.when(i % 4 == 0, text("## Title ", on(5, F.lit("gone+here"), own), on(3, F.lit("2"), F.lit("1")), on(2, F.lit("Diese sind deutsch geworden."), english)))
+    made = made.otherwise(text("# Title ", on(5, F.lit("gone+here"), own), on(3, F.lit("2"), F.lit("1")), on(2, F.lit("Diese sind deutsch geworden."), english)))
+    runs = _t(spark, d, "documents").select(
+        "doc_id", s.alias("doc"), source.alias("source"), F.when(i % 11 != 0, made).alias("text"), (i % 7).alias("reverted"), (i % 6).alias("kept_source"), (i % 8).alias("nmt"), F.when(i % 13 == 0, "failed").alias("error"),
+    )
+    expected = _t(spark, d, "documents").select(s.alias("doc"), F.array(F.concat(F.lit("# Title "), s), F.lit("absent"), F.lit("words stay")).alias("keep"), F.array(F.lit("english words")).alias("translate"))
+    m = scoring.run_metrics(runs, ["doc_id", "doc"], expected)
+    return m.select("doc_id", *scoring.COUNTS, F.col("english_by_kind")["prose"].cast("int").alias("prose"))
+
+
+@register("""
+SELECT doc_id, (4 + (doc_id % 3 = 0)::INT)::BIGINT AS targets, (1 + (doc_id % 2 = 1)::INT + (doc_id % 3 = 0)::INT)::BIGINT AS broken FROM documents
+""")
+def malformed_links(spark, d):
+    """Targets with per-cent signs that are no escapes, plus signs, escapes, and links in code."""
+    from ..operators import scoring
+
+    i = F.col("doc_id")
+    text = F.concat(
+        F.lit("# Über a+b\n\n[p](#100%) [q](#a+b) [r](#%C3%BCber-ab)\n\n```\n[no](#nowhere)\n```\n\n`[no](#nowhere)` <i id='a+b'></i>\n"),
+        F.when(i % 2 == 0, "<a href='#m'>m</a> {#m}\n").otherwise("<a href='#m'>m</a>\n"), F.when(i % 3 == 0, "[s](#%zz)\n").otherwise(""),
+    )
+    return scoring.broken_links(_t(spark, d, "documents").select("doc_id", text.alias("text")), ["doc_id"])

@@ -168,3 +168,27 @@ def test_quantiles_and_dangling(spark):
     assert (q["m"], round(q["p"], 6), q["mean"]) == (3.0, 6.8, 3.75)
     t = spark.createDataFrame([("x",), ("x",), ("y",)], "u string")
     assert [r["u"] for r in E.dangling(t, t.where("u = 'y'"), ["u"]).collect()] == ["x", "x"]
+
+
+def test_link_targets(spark):
+    """Escapes are read, a plus stays, and what is no escape stays as it is."""
+    rows = [("a%20b",), ("100%",), ("a+b",), ("%zz",), ("%C3%BC",), (None,), ("",)]
+    got = [r["t"] for r in spark.createDataFrame(rows, "x string").select(Q.link_target(F.col("x")).alias("t")).collect()]
+    assert got == ["a b", "100%", "a+b", "%zz", "ü", None, ""]
+
+
+def test_links_in_code_are_none(spark):
+    text = "# A\n\n[x](#a) [y](#b)\n\n~~~md\n[z](#c)\n~~~\n\n`[z](#c)` ``[z](#d) ` [z](#e)`` [w](#100%)\n```\n[z](#f)\n"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, text string")
+    got = {r["k"]: (r["targets"], r["broken"]) for r in Q.broken_links(rows, ["k"]).collect()}
+    assert got == {1: (3, 2), 2: (0, 0), 3: (0, 0)}
+
+
+def test_run_metrics_of_runs_without_text_or_expectations(spark):
+    rows = [("a", "fr", "# T\n\nSome words stay here.\n", None, 1, 2, 3, "boom"), ("a", "sv", "# T\n\nSome words stay here.\n", "# T\n\nSome words stay here.\n", None, 0, 0, None), ("b", "sv", "", "", 0, 0, 0, None)]
+    runs = spark.createDataFrame(rows, "doc string, lang string, source string, text string, reverted int, kept_source int, nmt int, error string")
+    got = {(r["doc"], r["lang"]): r for r in Q.run_metrics(runs, ["doc", "lang"]).collect()}
+    assert [got["a", "fr"][c] for c in Q.COUNTS] == [0, 0, 1, 0, 0, 0, 1, 1, 2, 3]
+    assert [got["a", "sv"][c] for c in Q.COUNTS] == [0, 0, 0, 0, 0, 1, 0, 0, 0, 0] and got["a", "sv"]["english_by_kind"] == {"prose": 1}
+    assert sum(got["b", "sv"][c] for c in Q.COUNTS) == 0
+    assert Q.run_metrics(runs.limit(0), ["doc", "lang"]).count() == 0
