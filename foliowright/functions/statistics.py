@@ -76,16 +76,34 @@ def mulberry32(seed: int, n: int, start: int = 0) -> np.ndarray:
 DRAWS = 1 << 20  # numbers that are drawn at once
 
 
-def resampled(words: np.ndarray, gain: np.ndarray, first: int, count: int, seed: int = 7) -> np.ndarray:
-    """Reduction per 100 words of resamples first to first + count, each of as many items as there are."""
-    n, out = len(words), []
+SHARD = 1 << 22  # items of a group that one task holds
+
+
+def resampled_sums(words: np.ndarray, gain: np.ndarray, first: int, count: int, seed: int = 7, low: int = 0, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of words and gain of resamples first to first + count, each of n draws from n items; only of the drawn items
+    low to low + len(words), which are given. The sums of all ranges add up to those of the whole."""
+    n = len(words) if n is None else n
+    w, g = np.zeros(count), np.zeros(count)
+    whole = low == 0 and len(words) == n
     step = max(1, DRAWS // max(1, n))
-    for at in range(first, first + count, step):
-        k = min(step, first + count - at)
-        pick = np.floor(mulberry32(seed, k * n, at * n) * n).astype(int).reshape(k, n)
-        w = words[pick].sum(1)
-        out.append(np.where(w != 0, gain[pick].sum(1) / np.where(w != 0, w, 1) * 100, 0.0))
-    return np.concatenate(out) if out else np.zeros(0)
+    for at in range(0, count if n else 0, step):
+        k = min(step, count - at)
+        for slot in range(0, n, DRAWS):  # more than one stretch only where a single resample exceeds DRAWS
+            m = min(DRAWS, n - slot) if k == 1 else n
+            pick = np.floor(mulberry32(seed, k * m, (first + at) * n + slot) * n).astype(np.int64).reshape(k, m) - low
+            if not whole:
+                inside = (pick >= 0) & (pick < len(words))
+                pick = np.where(inside, pick, len(words))
+            w[at : at + k] += (words if whole else np.append(words, 0.0))[pick].sum(1)
+            g[at : at + k] += (gain if whole else np.append(gain, 0.0))[pick].sum(1)
+            if k > 1:
+                break
+    return w, g
+
+
+def reductions(w: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Reduction per 100 words."""
+    return np.where(w != 0, g / np.where(w != 0, w, 1) * 100, 0.0)
 
 
 def bootstrap_reduction(words, on, off, iterations: int = 2000, seed: int = 7) -> tuple[float, float, float]:
@@ -93,27 +111,42 @@ def bootstrap_reduction(words, on, off, iterations: int = 2000, seed: int = 7) -
     w, d = np.asarray(words, float), np.asarray(off, float) - np.asarray(on, float)
     if not len(w):
         return (np.nan, np.nan, np.nan)
-    low, high = np.quantile(resampled(w, d, 0, iterations, seed), [0.025, 0.975])
+    low, high = np.quantile(reductions(*resampled_sums(w, d, 0, iterations, seed)), [0.025, 0.975])
     return float(d.sum() / w.sum() * 100 if w.sum() else 0.0), float(low), float(high)
 
 
-def bootstrap(items: DataFrame, by: list[str], order: str, words: str = "words", on: str = "mqm_on", off: str = "mqm_off", iterations: int = 2000, seed: int = 7, chunk: int = 100) -> DataFrame:
-    """by, estimate, low, high as ``bootstrap_reduction`` gives them, items in the order of ``order``.
+def bootstrap(
+    items: DataFrame, by: list[str], order: str, words: str = "words", on: str = "mqm_on", off: str = "mqm_off", iterations: int = 2000, seed: int = 7, chunk: int = 100, shard: int = SHARD,
+) -> DataFrame:
+    """by, estimate, low, high as ``bootstrap_reduction`` gives them, items in the order of ``order`` (which should be total).
 
-    The generator is a counter, so that resamples are dealt in chunks over tasks; each holds two numbers an
-    item of its group and draws at most DRAWS at once. Quantiles are taken by Spark.
+    The generator is a counter, so any stretch of draws is computable anywhere: resamples are dealt in chunks and the
+    items of a group in ranges of ``shard``; a task holds two numbers an item of one range, draws at most DRAWS at once
+    and keeps the draws that fall into its range. Sums of a resample over the ranges are added by Spark, which takes the
+    quantiles as well. A group's items are numbered by ranges of the order; no task holds a group. Null numbers count
+    as 0; null keys are a key; an empty table gives no rows.
     """
-    d = (F.col(off) - F.col(on)).cast("double")
-    lists = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).cast("double").alias("w"), d.alias("d")))).alias("x"))
+    from ..operators.islands import places
+
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    rows = items.select(*by, F.col(order).alias("__o"), zero(F.col(words)).alias("__w"), zero(F.col(off) - F.col(on)).alias("__d"))
+    placed = places(rows, by, ["__o"])
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    sums = rows.groupBy(*by).agg(F.count("*").alias("__n"), F.sum("__w").alias("w"), F.sum("__d").alias("d")).withColumn("__key", key)
+    lists = placed.withColumn("__s", (F.col("place") / shard).cast("long")).groupBy(key.alias("__key"), "__s").agg(F.array_sort(F.collect_list(F.struct("place", "__w", "__d"))).alias("x"))
     chunks = F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-iterations // chunk) - 1))))
-    rows = lists.select(*by, F.transform("x", lambda i: i["w"]).alias("w"), F.transform("x", lambda i: i["d"]).alias("d"), chunks.alias("c")).repartition(*by, "c")
-
-    @F.pandas_udf("array<double>")
-    def draw(w: pd.Series, d: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([resampled(np.asarray(a), np.asarray(b), k * chunk, min(chunk, iterations - k * chunk), seed) for a, b, k in zip(w, d, c, strict=True)])
-
-    spread = rows.select(*by, F.explode(draw("w", "d", "c")).alias("s")).groupBy(*by).agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
-    w = F.sum(F.col(words).cast("double"))
-    total = items.groupBy(*by).agg(F.when(w != 0, F.sum(d) / w * 100).otherwise(0.0).alias("estimate"))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by]
-    return total.alias("t").join(spread.alias("s"), same).select(*[F.col(f"t.{c}") for c in by], "estimate", "low", "high")
+    work = lists.join(sums.select("__key", "__n"), "__key").select("__key", "__s", "__n", F.transform("x", lambda i: i["__w"]).alias("w"), F.transform("x", lambda i: i["__d"]).alias("d"), chunks.alias("c")).repartition("__key", "__s", "c")
+
+    @F.pandas_udf("array<struct<i:int,w:double,d:double>>")
+    def draw(w: pd.Series, d: pd.Series, c: pd.Series, s: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for a, b, k, at, size in zip(w, d, c, s, n, strict=True):
+            count = min(chunk, iterations - k * chunk)
+            x, y = resampled_sums(np.asarray(a), np.asarray(b), int(k) * chunk, count, seed, int(at) * shard, int(size))
+            out.append([{"i": int(k) * chunk + i, "w": p, "d": q} for i, (p, q) in enumerate(zip(x, y, strict=True))])
+        return pd.Series(out)
+
+    drawn = work.select("__key", F.explode(draw("w", "d", "c", "__s", "__n")).alias("r")).groupBy("__key", "r.i").agg(F.sum("r.w").alias("w"), F.sum("r.d").alias("d"))
+    per_cent = F.when(F.col("w") != 0, F.col("d") / F.col("w") * 100).otherwise(0.0)
+    spread = drawn.select("__key", per_cent.alias("s")).groupBy("__key").agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.975).alias("high"))
+    return sums.select(*by, "__key", per_cent.alias("estimate")).join(spread, "__key").select(*by, "estimate", "low", "high")

@@ -9,19 +9,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir``; only a local master gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; only a local master gets one of its own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="foliowright-"))
+        found = tempfile.mkdtemp(prefix="foliowright-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -74,3 +82,17 @@ def sessions(events: DataFrame, by: list[str], time: str, gap: Column | int, par
     """Adds island: events of a key that follow each other within ``gap`` (seconds, or an interval column)."""
     limit = F.make_interval(secs=F.lit(gap)) if isinstance(gap, int) else gap
     return islands(events, by, [time], lambda this, last: this(time) > last(time) + limit, parts)
+
+
+def places(df: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds place: the number of each row in its key's order, from 0. Dealt by range like ``islands``, so a key of any size is spread."""
+    cols = df.columns
+    sort = [*by, *order]
+    dealt = (df.repartitionByRange(parts, *sort) if parts else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+    dealt = fixed(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    own = F.row_number().over(W.Window.partitionBy("__part", *by).orderBy("__at"))
+    upto = W.Window.partitionBy(*by).orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("__part", *by).count().withColumn("__base", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    bases = bases.select(F.col("__part").alias("__p"), F.struct(*by).alias("__k"), "__base")
+    same = (F.col("__part") == F.col("__p")) & F.struct(*by).eqNullSafe(F.col("__k"))
+    return dealt.join(bases, same).select(*cols, (F.col("__base") + own - 1).alias("place"))

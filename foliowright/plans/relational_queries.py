@@ -271,3 +271,98 @@ def malformed_links(spark, d):
         F.when(i % 2 == 0, "<a href='#m'>m</a> {#m}\n").otherwise("<a href='#m'>m</a>\n"), F.when(i % 3 == 0, "[s](#%zz)\n").otherwise(""),
     )
     return scoring.broken_links(_t(spark, d, "documents").select("doc_id", text.alias("text")), ["doc_id"])
+
+
+# ---- dependents, calls, the store
+
+
+def _nested(spark, d):
+    i = F.col("doc_id")
+    parent = F.when(i % 100 == 50, i + 1).when(i % 100 == 51, i - 1).when(i >= 6, F.floor(i / 6))
+    return _t(spark, d, "documents").select(F.lit("d").alias("doc"), i.alias("id"), parent.cast("long").alias("parent"))
+
+
+_NESTED_SQL = """
+WITH RECURSIVE s AS (SELECT doc_id AS id, CASE WHEN doc_id % 100 = 50 THEN doc_id + 1 WHEN doc_id % 100 = 51 THEN doc_id - 1 WHEN doc_id >= 6 THEN doc_id // 6 END AS parent FROM documents),
+up(id, anc, d) AS (SELECT id, id, 0 FROM s UNION ALL SELECT u.id, s.parent, u.d + 1 FROM up u JOIN s ON s.id = u.anc WHERE s.parent IS NOT NULL AND u.d < 12)
+"""
+
+
+@register(_NESTED_SQL + """
+SELECT s.id, CASE WHEN max(d) < 12 THEN max(d) END::INTEGER AS level, max(d) >= 12 AS cyclic FROM up JOIN s ON s.id = up.anc GROUP BY s.id
+""")
+def render_levels(spark, d):
+    """Levels of nested segments, with segments that hold each other; documents stand for segments."""
+    from ..operators import dependents
+
+    return dependents.levels(_nested(spark, d), ["doc"]).select("id", "level", "cyclic")
+
+
+@register(_NESTED_SQL + """
+SELECT s.id, CASE WHEN max(d) < 12 THEN sum(len(up.id::VARCHAR) + 2) ELSE max(len(s.id::VARCHAR)) + 2 + coalesce(max(k.marks), 0) END::INTEGER AS chars, max(d) >= 12 AS failed
+FROM up JOIN s ON s.id = up.anc LEFT JOIN (SELECT parent, sum(len(id::VARCHAR) + 4) AS marks FROM s GROUP BY 1) k ON k.parent = s.id GROUP BY s.id
+""")
+def render_nested(spark, d):
+    """Every segment with all that it holds, rendered level by level."""
+    from ..operators import dependents
+
+    rows = _nested(spark, d)
+    marks = rows.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("{{"), F.col("id").cast("string"), F.lit("}}")))), "").alias("marks"))
+    rows = rows.join(marks, "id", "left").withColumn("text", F.concat(F.lit("("), F.col("id").cast("string"), F.coalesce("marks", F.lit("")), F.lit(")")))
+    made = dependents.render(rows, ["doc"])
+    return made.select(F.col("id").cast("long").alias("id"), F.length("text").alias("chars"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("""
+WITH c AS (SELECT doc_id, doc_id % 9 AS bad, CASE WHEN doc_id % 9 < 4 THEN doc_id % 9 + 1 WHEN doc_id % 2 = 1 THEN 1 ELSE 5 END AS attempts FROM documents)
+SELECT doc_id, attempts::INTEGER AS attempts, ((attempts - 1) * (doc_id % 3 + 0.5))::DOUBLE AS waited,
+  CASE WHEN bad >= 4 THEN NULL ELSE 'answer ' || doc_id END AS answer, CASE WHEN bad >= 4 AND doc_id % 2 = 1 THEN 'status 400' WHEN bad >= 4 THEN 'status 503' END AS error
+FROM c
+""")
+def service_calls(spark, d):
+    """Calls of a service that refuses some requests several times and some for good, in a dry run: attempts, waits and answers."""
+    from ..operators import calls
+
+    rows = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("request"))
+    made = calls.called(rows, "doc_id", "request", RefusingService, calls.Policy(attempts=5, unit=0.0))
+    return made.select("doc_id", "attempts", "waited", "answer", "error")
+
+
+class RefusingService:
+    """Answers a request after number % 9 refusals that ask for a wait; from 4 on it never does, an odd number at once for good."""
+
+    def __init__(self):
+        self.asked: dict[int, int] = {}
+
+    def __call__(self, request: str) -> str:
+        from ..operators.calls import Refused
+
+        n = int(request)
+        self.asked[n] = self.asked.get(n, 0) + 1
+        if n % 9 >= 4:
+            raise Refused(503 if n % 2 == 0 else 400, n % 3 + 0.5)
+        if self.asked[n] <= n % 9:
+            raise Refused(429, n % 3 + 0.5)
+        return f"answer {n}"
+
+
+@register("""
+SELECT 1 AS run, count(*) AS computed, count(*) AS stored FROM documents UNION ALL SELECT 2, 0, count(*) FROM documents
+UNION ALL SELECT 3, count(*) FILTER (doc_id % 10 = 0), count(*) + count(*) FILTER (doc_id % 10 = 0) FROM documents
+""")
+def incremental_runs(spark, d):
+    """A store of results by document and fingerprint: a first run, the same again, and one after a tenth of the texts changed."""
+    import uuid
+
+    from ..operators.islands import shared_dir
+    from ..sources.store import RunStore
+
+    store = RunStore(spark, f"{shared_dir(spark)}/foliowright/store-{uuid.uuid4().hex}", ["doc_id", "fingerprint"], 16)
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    out = []
+    for run, texts in enumerate((docs, docs, changed), 1):
+        wanted = texts.withColumn("fingerprint", F.sha2(F.coalesce("text", F.lit("")), 256))
+        store.run(wanted, lambda todo, run=run: todo.select("doc_id", "fingerprint", F.lit(run).alias("run"), F.length("text").alias("chars")))
+        out.append(store.read().agg(F.lit(run).alias("run"), F.count_if(F.col("run") == run).alias("computed"), F.count("*").alias("stored")))
+    return out[0].union(out[1]).union(out[2])
