@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import anchors as heading_anchors
 from ..functions import code_comments, markdown, masking
 from ..functions.protect import find_protected
+from ..options import Options
 
 SEGMENTS = (
     "doc string, seq int, seg_id string, kind string, note string, start int, end int, original string, masked string, "
@@ -25,13 +27,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False) -> DataFrame:
+def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False, options: Options | None = None) -> DataFrame:
     """One row per segment, ids s1..sN in document order; a null or blank document yields none.
 
+    ``options`` switches front matter, comments and docstrings of code.
+
     One narrow Python stage: it needs the whole document, reads two columns and never shuffles. Put
     filters before it, Catalyst can't push them through.
     """
-    find = markdown.html_segments if html else markdown.segments
+    o = options or Options()
+    find = markdown.html_segments if html else partial(markdown.segments, front_matter=o.front_matter, comments=o.code_comments, docstrings=o.docstrings)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -68,14 +73,15 @@ def rule_matches(text: Column, rule: str) -> Column:
     return F.regexp_extract_all(text, F.lit(jvm_pattern(rule)), F.lit(0))
 
 
-def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str = "doc", content: str = "content", anchors: bool = False) -> DataFrame:
+def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str = "doc", content: str = "content", anchors: bool = False, unwrapped: frozenset[str] = frozenset()) -> DataFrame:
     """doc, lang, text, reverted, anchors, identical, error: translations spliced into their documents.
 
     memory (doc, lang, seg_id, text) holds masked translations. A translation whose tags or markup don't
     fit is left out; if the structure differs, the translations at the place are withdrawn until it
     is the source's, at worst all of them. Work of a document stays in one task; documents are
     spread by (doc, lang), and only segments with a translation travel. With ``anchors``, headings get an
-    empty anchor of their old slug where the translation changes it.
+    empty anchor of their old slug where the translation changes it. Paragraphs of languages in ``unwrapped`` (lower
+    case), which don't put blanks between words, stay on one line.
     """
     picked = segments.select("doc", "seg_id", "kind", "start", "end", "masked", "singles", "pairs").join(memory, ["doc", "seg_id"])
     per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "masked", "singles", "pairs")).alias("parts"))
@@ -86,7 +92,7 @@ def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str =
             rows = []
             for d, lang, source, parts in zip(b["doc"], b["lang"], b["content"], b["parts"], strict=True):
                 try:
-                    text, reverted = splice(source, parts)
+                    text, reverted = splice(source, parts, lang is None or lang.lower() not in unwrapped)
                     text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
                     rows.append((d, lang, text, reverted, added, text == source, None))
                 except Exception as e:  # a document that can't be assembled stays as it is
@@ -104,7 +110,7 @@ ROUNDS = 100  # of withdrawing translations from one document; then all of them
 NARROWEST = 40  # columns of a paragraph that is wrapped anew
 
 
-def finished(part, source: str) -> str | None:
+def finished(part, source: str, wrap: bool = True) -> str | None:
     """The bytes of a translated segment for its place in the document; None if they would change its markup.
 
     A text that is the source's own keeps the source's bytes.
@@ -134,12 +140,12 @@ def finished(part, source: str) -> str | None:
     if masking.inline_signature(made) != masking.inline_signature(old):
         return None
     lines = old.splitlines()
-    if kind == "paragraph" and len(lines) > 1 and "\n" not in made:
+    if wrap and kind == "paragraph" and len(lines) > 1 and "\n" not in made:
         made = masking.rewrap(made, max(NARROWEST, *map(len, lines)), "\r\n" if "\r\n" in old else "\n")
     return masking.render_escape(made, old)
 
 
-def splice(source: str, parts) -> tuple[str, list[str]]:
+def splice(source: str, parts, wrap: bool = True) -> tuple[str, list[str]]:
     """(document with its translations, ids of those left out).
 
     Where the outline differs from the source's, the translations that overlap or touch the first block
@@ -147,7 +153,7 @@ def splice(source: str, parts) -> tuple[str, list[str]]:
     """
     todo, reverted = [], []
     for p in sorted(parts, key=lambda p: p["start"]):
-        made = finished(p, source)
+        made = finished(p, source, wrap)
         if made is None:
             reverted.append(p["seg_id"])
         else:

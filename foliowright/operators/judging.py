@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import translation as T
 
 # Most items and characters of one request to a judge; most characters of a document beside a request.
@@ -96,9 +97,9 @@ def answered(segments: DataFrame, got: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def analysis(raw: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
-    """keys and what a model found out about a document; an unreadable answer gives nulls, and the run goes on."""
-    kind = "language string, register string, domain string, dnt array<string>, terminology array<struct<term:string,translation:string,note:string>>"
-    return raw.select(*keys, F.from_json(answer, kind).alias("a")).select(*keys, "a.*")
+    """keys and what a model found out about a document, as columns of ``files.analysis_columns``; an unreadable answer
+    gives nulls, and the run goes on."""
+    return raw.select(*keys, F.from_json(answer, files.ANALYSIS).alias("a")).select(*keys, *files.analysis_columns(F.col("a")))
 
 
 # ---- derived runs

@@ -23,7 +23,12 @@ from . import evaluation as E
 PROBLEMS = ("keep_missing", "translate_left", "structure_broken", "code_changed", "links_broken", "english_left", "errors")
 EVENTS = ("reverted", "kept_source", "nmt")
 COUNTS = (*PROBLEMS, *EVENTS)
-ANSWER = "results array<struct<id:string,better:string,errors_a:array<struct<category:string,severity:string>>,errors_b:array<struct<category:string,severity:string>>>>"
+# The shape of a judge's answer and its categories; the older names of the two lists are read as well.
+_ERRORS = "array<struct<category:string,severity:string,note:string>>"
+ANSWER = f"results array<struct<id:string,better:string,errorsA:{_ERRORS},errorsB:{_ERRORS},errors_a:{_ERRORS},errors_b:{_ERRORS}>>"
+CATEGORIES = (
+    "mistranslation", "omission", "addition", "terminology", "grammar", "spelling", "punctuation", "fluency", "style", "register", "locale", "untranslated", "overtranslation", "markup",
+)
 TOLERANCE, TOKEN_SHARE = 0.005, 0.10
 
 
@@ -199,17 +204,30 @@ def differing_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.concat(F.lit("b"), F.col("x.i")).alias("item"), F.col("x.s").alias("source"), F.col("x.a").alias("on"), F.col("x.b").alias("off"))
 
 
-def answers(raw: DataFrame, keys: list[str], answer: str = "answer", swapped: str = "swapped") -> DataFrame:
+def answers(raw: DataFrame, keys: list[str], answer: str = "answer", swapped: str = "swapped", asked: str | None = None) -> DataFrame:
     """keys, item, better (on, off, tie), errors_on, errors_off of judges' answers: the first JSON object of each,
-    with sides put back where they were swapped. Answers that are no such object, and results with unknown
-    values, give no row."""
+    with sides put back where they were swapped.
+
+    Answers that are no such object, and results with unknown values, give no row. ``asked`` names a column with the ids of
+    the items that were asked for: then an answer counts only as a whole, if each of them has a result and each of these
+    is well formed, and results for other ids drop out. Of results for one id the last counts.
+    """
     text = F.coalesce(F.nullif(F.regexp_extract(F.col(answer), r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit("")), F.regexp_extract(F.col(answer), r"(?s)(\{.*\})", 1))
-    rows = raw.select(*keys, F.col(swapped).alias("__swap"), F.explode(F.from_json(text, ANSWER)["results"]).alias("r"))
-    known = lambda errors: F.coalesce(F.forall(errors, lambda e: e["category"].isNotNull() & e["severity"].isin(*S.SEVERITY)), F.lit(False))
-    rows = rows.where(F.col("r.id").isNotNull() & F.col("r.better").isin("A", "B", "tie") & known(F.col("r.errors_a")) & known(F.col("r.errors_b")))
-    first, second = F.col("r.errors_a"), F.col("r.errors_b")
+    known = lambda errors: F.coalesce(F.forall(errors, lambda e: e["category"].isin(*CATEGORIES) & e["severity"].isin(*S.SEVERITY)), F.lit(False))
+    bare = lambda errors: F.transform(errors, lambda e: F.struct(e["category"].alias("category"), e["severity"].alias("severity")))
+    one = lambda r: F.struct(r["id"].alias("id"), r["better"].alias("better"), F.coalesce(r["errorsA"], r["errors_a"]).alias("a"), F.coalesce(r["errorsB"], r["errors_b"]).alias("b"))
+    fine = lambda r: F.coalesce(r["id"].isNotNull() & r["better"].isin("A", "B", "tie") & known(r["a"]) & known(r["b"]), F.lit(False))
+    rows = raw.select(*keys, F.col(swapped).alias("__swap"), *([F.col(asked).alias("__asked")] if asked else []), F.transform(F.from_json(text, ANSWER)["results"], one).alias("__r"))
+    rows = rows.withColumn("__fine", F.filter("__r", fine))
+    if asked:
+        ids = F.transform("__fine", lambda r: r["id"])
+        whole = (F.size(F.array_except("__asked", ids)) == 0) & ~F.exists("__r", lambda r: F.coalesce(F.array_contains("__asked", r["id"]), F.lit(False)) & ~fine(r))
+        rows = rows.where(F.coalesce(whole, F.lit(False))).withColumn("__fine", F.filter("__fine", lambda r: F.array_contains("__asked", r["id"])))
+    last = F.filter("__fine", lambda r, i: ~F.exists(F.slice("__fine", i + 2, F.size("__fine")), lambda x: x["id"] == r["id"]))
+    rows = rows.select(*keys, "__swap", F.explode(last).alias("r"))
     on = (F.col("r.better") == "A") != F.col("__swap")
     better = F.when(F.col("r.better") == "tie", "tie").when(on, "on").otherwise("off")
+    first, second = bare(F.col("r.a")), bare(F.col("r.b"))
     return rows.select(*keys, F.col("r.id").alias("item"), better.alias("better"), F.when(F.col("__swap"), second).otherwise(first).alias("errors_on"), F.when(F.col("__swap"), first).otherwise(second).alias("errors_off"))
 
 

@@ -193,23 +193,28 @@ def ask(call, items: list) -> list[str | None]:
 OUTCOMES = "doc string, lang string, seg_id string, kind string, text string, via string, retries int, errors array<string>, source string"
 
 
-def translate(segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+def translate(
+    segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None,
+    max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS, done: DataFrame | None = None,
+) -> DataFrame:
     """Outcome of every active segment and language: engine, else retries, else fallback, else source.
 
     One narrow stage: a failing text is asked again inside its task, so a lost task repeats only its own
-    rows. Requests hold at most BATCH_SEGMENTS texts and BATCH_CHARS characters of a document, retries
+    rows. Requests hold at most ``max_items`` texts and ``max_chars`` characters of a document, retries
     RETRY_SEGMENTS. Answers become one line where the source is one and are checked (tags, length by
-    language) before they count.
+    language, in lower case) before they count. ``done`` (doc, lang) names what is not to be translated.
     """
     rows = jobs(segments.where("NOT passive").select("doc", "seg_id", "kind", "masked", F.map_keys("singles").alias("s"), F.map_keys("pairs").alias("g")), langs)
-    limits = ratios or {}
+    if done is not None:
+        rows = rows.join(done.select("doc", "lang"), ["doc", "lang"], "left_anti")
+    limits = {k.lower(): v for k, v in (ratios or {}).items()}
 
     def check(src, singles, pairs, got, lang):
         if got is None:
             return ["no answer for this segment"]
         errors = masking.check_tags(set(singles), set(pairs), got)
         units = lambda s: len(masking.plain_text(s).strip().encode("utf-16-le", "surrogatepass")) / 2
-        low, high = limits.get(lang, S.RATIO)
+        low, high = limits.get(lang.lower(), S.RATIO)
         n = units(src)
         if n >= S.RATIO_FROM and not low <= units(got) / n <= high:
             errors.append("length ratio")
@@ -227,7 +232,7 @@ def translate(segments: DataFrame, langs: list[str], engine: Translator, fallbac
                     for r in range(rounds if e else 0):
                         again = r and hasattr(e, "retry")
                         call = (lambda at, e=e: e.retry([src[i] for i in at], lang, [given[i] for i in at], [errors[i] for i in at])) if again else (lambda at, e=e: e.translate([src[i] for i in at], lang))
-                        dealt = packed([len(src[i]) for i in todo], RETRY_SEGMENTS if r else BATCH_SEGMENTS, BATCH_CHARS)
+                        dealt = packed([len(src[i]) for i in todo], min(RETRY_SEGMENTS, max_items) if r else max_items, max_chars)
                         left = []
                         for k in range(dealt[-1] + 1 if dealt else 0):
                             at = [i for i, d in zip(todo, dealt, strict=True) if d == k]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANGUAGES = "defaultTargets array<string>, languages map<string, struct<name:string,translator:string,formal:string,informal:string,style:string,wrap:boolean,lengthRatio:array<double>>>"
+LANGUAGES = "defaultTargets array<string>, languages map<string, struct<name:string,translator:string,formal:string,informal:string,style:string,wrap:string,lengthRatio:array<double>>>"
 GLOSSARY = "doNotTranslate array<string>, terms map<string, map<string,string>>"
 MEMORY = "doc string, lang string, tm map<string,string>"
 
@@ -60,9 +60,25 @@ def memory(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("doc", "lang", F.col("e.key").alias("seg_id")).agg(F.max_by("e.value", "at").alias("text"))
 
 
+# The fields of an analysis, as it is answered and saved.
+ANALYSIS = (
+    "sourceLanguage string, register string, registerEvidence string, domain string, audience string, summary string, doNotTranslate array<string>, "
+    "terminology array<struct<term:string,note:string>>"
+)
+
+
+def analysis_columns(a: Column) -> list[Column]:
+    """language, register, register_evidence, domain, audience, summary, dnt, terminology of an analysis; a register that is none is null."""
+    register = F.when(a["register"].isin("formal", "informal", "neutral"), a["register"])
+    names = (("sourceLanguage", "language"), ("registerEvidence", "register_evidence"), ("domain", "domain"), ("audience", "audience"), ("summary", "summary"), ("doNotTranslate", "dnt"), ("terminology", "terminology"))
+    return [register.alias("register"), *(a[field].alias(column) for field, column in names)]
+
+
 def analyses(spark: SparkSession, path: str) -> DataFrame:
-    """doc and what an earlier analysis found: language, register, domain, dnt, terminology (JSON lines)."""
-    return spark.read.schema("doc string, language string, register string, domain string, dnt array<string>, terminology array<struct<term:string,translation:string,note:string>>").json(path)
+    """doc (null where the file names none) and what an earlier analysis found; one JSON object a line, or a file that is one."""
+    lines = spark.read.text(path, wholetext=True)
+    objects = F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")
+    return lines.select(F.explode(objects).alias("o")).select(F.from_json("o", f"doc string, {ANALYSIS}").alias("a")).select("a.doc", *analysis_columns(F.col("a")))
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
