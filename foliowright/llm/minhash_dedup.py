@@ -35,6 +35,7 @@ DEPTH = 4
 BLOCK = 400  # documents a task confirms at once
 BLOCK_SHINGLES = 1_500_000
 PIVOTS = 4
+BITMAP, PAGE = 1 << 26, 1 << 15  # bits of the filter of texts, and of a page of it
 SIGNATURE_AT = 36  # equal positions of a pair worth confirming; one of similarity 0.8 has fewer once in 10^6
 
 _rng = np.random.default_rng(20240607)
@@ -115,8 +116,7 @@ def _branch(members: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _leaf_edges(leaves: DataFrame, reps: DataFrame) -> DataFrame:
     """Exhaustive comparison inside every small node; one edge a document to the least of its candidates."""
-    sketch = F.transform(F.slice("sig", 1, SKETCH), lambda x: (x.bitwiseAND(0xFFFF) - 32768).cast("short"))
-    rows = leaves.join(reps.select("rep", "n", sketch.alias("sk")), "rep").select("node", "rep", "n", "sk")
+    rows = leaves.join(reps.select("rep", "n", "sk"), "rep").select("node", "rep", "n", "sk")
     rows = rows.repartition("node").sortWithinPartitions("node", "rep")
 
     def edges(batches):
@@ -162,9 +162,9 @@ def _beside_least(large: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
     """node, rep, low, c of the large nodes with near (the document is a candidate of the node's least one) and
     far (how many of the node are not)."""
     least = large.groupBy("node").agg(F.first("low").alias("low"))
-    least = least.join(reps.select(F.col("rep").alias("low"), F.col("sig").alias("l_sig"), F.col("n").alias("l_n")), "low").drop("low")
-    rows = large.join(reps.select("rep", "n", "sig"), "rep").join(least, "node")
-    equal = F.size(F.filter(F.sequence(F.lit(0), F.lit(SKETCH - 1)), lambda p: F.get("sig", p).bitwiseXOR(F.get("l_sig", p)).bitwiseAND(0xFFFF) == 0))
+    least = least.join(reps.select(F.col("rep").alias("low"), F.col("sk").alias("l_sk"), F.col("n").alias("l_n")), "low").drop("low")
+    rows = large.join(reps.select("rep", "n", "sk"), "rep").join(least, "node")
+    equal = F.size(F.filter(F.zip_with("sk", "l_sk", lambda a, b: a == b), lambda same: same))
     near = (equal >= SKETCH_AT) & (DENOMINATOR * F.least("n", "l_n") >= NUMERATOR * F.greatest("n", "l_n"))
     rows = materialize(rows.select("node", "rep", "low", "c", near.alias("near")), f"beside-{depth}")
     far = rows.groupBy("node").agg(F.count_if(~F.col("near")).alias("far"))
@@ -180,7 +180,7 @@ def _outsiders(held: DataFrame) -> DataFrame:
 
 
 def candidate_edges(reps: DataFrame, trees: int = TREES) -> DataFrame:
-    """Edges (a, b) that connect every group of candidates; reps: rep, n, sig."""
+    """Edges (a, b) that connect every group of candidates; reps: rep, n, sig, sk (the sketch)."""
     rng = np.random.default_rng(99)
     first = []
     for t in range(trees):
@@ -261,6 +261,27 @@ def _confirmed(assigned: DataFrame, full: DataFrame) -> DataFrame:
     return assigned.join(full, "rep").groupBy("bundle", "block", "tile").applyInArrow(run, "comp bigint, rep bigint, label bigint")
 
 
+def _perhaps_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key may be one of ``keys``, told by a bitmap of hashes, so that texts nobody asks for are not shuffled.
+
+    The bitmap is BITMAP bits in pages of PAGE bits, 8 MB in all at any number of keys, and is broadcast; where keys are so
+    many that it fills, more rows pass, and the join behind it decides as before.
+    """
+    bit = F.pmod(F.xxhash64(*on, F.lit(5)), F.lit(BITMAP)).cast("int")
+    page, at = (bit / PAGE).cast("int"), bit % PAGE
+
+    def pack(table: pa.Table) -> pa.Table:
+        w = table["at"].to_numpy()
+        bits = np.zeros(PAGE // 8, np.uint8)
+        np.bitwise_or.at(bits, w >> 3, (1 << (w & 7)).astype(np.uint8))
+        return pa.table({"page": pa.array([table["page"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    pages = keys.select(page.alias("page"), at.alias("at")).distinct().groupBy("page").applyInArrow(pack, "page int, bits binary")
+    met = rows.withColumn("__page", page).withColumn("__at", at).join(F.broadcast(pages), F.col("__page") == F.col("page"))  # at most BITMAP / PAGE rows
+    byte = F.conv(F.hex(F.substring("bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.bit_get(byte, F.col("__at") % 8) == 1).select(*rows.columns)
+
+
 def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component, group) of every set that more than one row shares or that has a link.
 
@@ -270,7 +291,8 @@ def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
     reps = usable.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     # a set is a node of its own, also where one id has several texts
     reps = reps.select("key", "copies", "n", "sig", F.col("least.doc_id").alias("least"), F.col("least.h").alias("h"), F.monotonically_increasing_id().alias("rep"))
-    reps = materialize(reps, "classes")
+    sketch = F.transform(F.slice("sig", 1, SKETCH), lambda x: (x.bitwiseAND(0xFFFF) - 32768).cast("short"))
+    reps = materialize(reps.withColumn("sk", sketch), "classes")
     found = connected_components(candidate_edges(reps), "candidates")
     sized = reps.select("rep", "n").join(found, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("comp"))
     members = materialize(sized, "members")
@@ -289,7 +311,7 @@ def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
     # the text of each set: its least document's, and of that one's texts the one that has this set
     keys = reps.join(dealt.select("rep"), "rep", "left_semi").select("rep", "least", "h", "sig")
     texts = docs.select(F.col(doc_id).cast("long").alias("least"), text_hash(text).alias("h"), F.col(text).cast("binary").alias("b"))
-    texts = texts.join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "sig", "b")
+    texts = _perhaps_among(texts, keys, ["least", "h"]).join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "sig", "b")
     full = map_texts(texts, {"rep": F.col("rep"), "sig": F.col("sig")}, "s binary", lambda ts: [[shingles(t).tobytes() for t in ts]], "b")
     full = materialize(full, "full-sets")
     linked = materialize(_confirmed(assigned, full), "linked")
