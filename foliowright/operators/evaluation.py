@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import statistics as X
+from .islands import fixed
 
 
 def tally(judgements: DataFrame, groupings: list[list[str]], columns: list[str]) -> DataFrame:
@@ -112,6 +113,66 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) ->
     return df.groupBy(*by).agg(*[F.percentile(value, q).alias(name) for name, q in at.items()], F.avg(value).alias("mean"))
 
 
+SPLITS = 128  # parts that one round cuts an interval into
+FEW = 1_000_000  # values of an interval from which on it is no longer cut but sorted
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], few: int = FEW) -> DataFrame:
+    """by and a column for each of ``at``: quantiles by linear interpolation between ranks, exact, in bounded memory.
+
+    Every wanted rank has an interval that holds its value, first the whole range. A round cuts each interval at quantiles
+    of a mergeable sketch of what lies in it, counts the parts and keeps the one with the rank: about a hundredth.
+    When no interval holds more than ``few`` values, or only equal ones, these are counted and the rank is read off. Rounds
+    grow with the logarithm of the rows; nothing collects a group. Null and NaN values take no part; a group without
+    any is left out.
+    """
+    v = F.col(value).cast("double")
+    rows = fixed(df.select(*by, v.alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)"))
+    key = F.struct(*by) if by else F.lit(0)
+    rows = rows.withColumn("__k", F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit(""))
+    groups = rows.groupBy("__k").agg(F.first(key).alias("__by"), F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("place")) for name, q in at.items()])
+    asked = fixed(groups.select("__k", "__by", "lo", "hi", "n", F.explode(wanted).alias("w")).select("__k", "__by", "lo", "hi", "n", "w.*"))
+    ranks = asked.select("__k", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank"), "lo", "hi", F.col("n").alias("c")).distinct()
+    open_ = fixed(ranks.withColumn("below", F.lit(0).cast("long")))
+    while open_.where(F.col("c") > few).where("lo < hi").limit(1).count():
+        inside = rows.join(open_, "__k").where("__v BETWEEN lo AND hi")
+        sketch = F.percentile_approx("__v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS)
+        cuts = inside.groupBy("__k", "rank").agg(sketch.alias("cuts"), F.max(F.when(F.col("__v") < F.col("hi"), F.col("__v"))).alias("next"))
+        # the lowest value and the highest below the end are cuts as well, so values that most rows share get a part of their own
+        ends = F.concat("cuts", F.array("lo", "next", F.col("lo") / 2 + F.col("hi") / 2))
+        cuts = fixed(open_.join(cuts, ["__k", "rank"]).withColumn("cuts", F.array_distinct(F.filter(ends, lambda x: (x >= F.col("lo")) & (x < F.col("hi"))))))
+        # part p holds the values above cut p - 1 up to cut p
+        part = F.size(F.filter("cuts", lambda x: x < F.col("__v")))
+        counts = rows.join(cuts, "__k").where("__v BETWEEN lo AND hi").groupBy("__k", "rank", part.alias("part")).agg(F.count("*").alias("here"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        upto = W.Window.partitionBy("__k", "rank").orderBy("part")  # at most SPLITS rows
+        counts = counts.join(open_.select("__k", "rank", "below"), ["__k", "rank"]).withColumn("before", F.col("below") + F.sum("here").over(upto) - F.col("here"))
+        open_ = fixed(counts.where("rank >= before AND rank < before + here").select("__k", "rank", F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("here").alias("c"), F.col("before").alias("below")))
+    equal = open_.where("lo = hi").select("__k", "rank", F.col("lo").alias("x"))
+    sorted_ = rows.join(open_.where("lo < hi"), "__k").where("__v BETWEEN lo AND hi").groupBy("__k", "rank", "below", "__v").count()
+    before = F.col("below") + F.sum("count").over(W.Window.partitionBy("__k", "rank").orderBy("__v")) - F.col("count")  # at most ``few`` values
+    read = sorted_.withColumn("before", before).where("rank >= before AND rank < before + count").select("__k", "rank", F.col("__v").alias("x"))
+    found = equal.union(read)
+    low = found.select("__k", F.col("rank").alias("f"), F.col("x").alias("x0"))
+    high = found.select("__k", F.col("rank").alias("c"), F.col("x").alias("x1"))
+    made = asked.withColumn("f", F.floor("place")).withColumn("c", F.ceil("place")).join(low, ["__k", "f"]).join(high, ["__k", "c"])
+    made = made.withColumn("q", F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("place") - F.col("f")))
+    out = made.groupBy("__k").agg(F.first("__by").alias("__by"), *[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in at])
+    return out.select(*[F.col(f"__by.{c}").alias(c) for c in by], *at)
+
+
+def quantile_sketches(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, sketch, n: a mergeable sketch of the values of each group, to be stored with a snapshot."""
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"))
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(sketch.alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """by, n and approximate quantiles of stored sketches put together; the rows that they were made of are not read."""
+    one = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("__s"), F.sum("n").alias("n"))
+    return one.select(*by, "n", *[F.kll_sketch_get_quantile_double("__s", F.lit(float(q))).alias(name) for name, q in at.items()])
+
+
 def multiset_common(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     """Rows of both sides, as often as the rarer side has them."""
     return a.select(*cols).intersectAll(b.select(*cols))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masking
+from ..operators import charts as C
+from ..operators import evaluation as E
 from ..operators import judging as J
 from ..operators import run as R
 from ..operators import scoring as Q
@@ -103,3 +105,49 @@ def whole_answers(spark, d):
     raw = _t(spark, d, "documents").select("doc_id", made.alias("answer"), (i % 2 == 1).alias("swapped"), F.array(F.lit("b0"), F.lit("b1")).alias("asked"))
     a = Q.answers(raw, ["doc_id"], asked="asked")
     return a.select("doc_id", "item", "better", F.size("errors_on").alias("n_on"), F.size("errors_off").alias("n_off"))
+
+
+# ---- quantiles and charts
+
+
+@register("""
+SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), 6) AS median, round(quantile_cont(value::DOUBLE, 0.975), 6) AS high, round(quantile_cont(value::DOUBLE, 0.0), 6) AS low FROM events GROUP BY 1
+""")
+def quantiles_by_selection(spark, d):
+    """Exact quantiles by cutting intervals until few values are left."""
+    q = E.exact_quantiles(_t(spark, d, "events"), ["event_type"], "value", {"median": 0.5, "high": 0.975, "low": 0.0}, few=200)
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "high", "low")])
+
+
+@register("""
+WITH c AS (SELECT lang, source, count(*) FILTER (n_chars > 500)::DOUBLE AS n FROM documents GROUP BY ALL),
+l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS LAST) - 1 AS at FROM (SELECT DISTINCT lang FROM documents))
+SELECT l.at::INTEGER AS row_at, l.lang AS row, coalesce(max(n) FILTER (source = 'src3'), 0) AS src3, coalesce(max(n) FILTER (source = 'none'), 0)::DOUBLE AS "none", coalesce(max(n) FILTER (source = 'src1'), 0) AS src1
+FROM l LEFT JOIN c ON c.lang IS NOT DISTINCT FROM l.lang GROUP BY 1, 2
+""")
+def heat_map(spark, d):
+    """Long documents by language and some sources, one of which has none."""
+    return C.heat_map(_t(spark, d, "documents"), "lang", "source", F.count_if(F.col("n_chars") > 500), columns=["src3", "none", "src1"])
+
+
+@register("""
+WITH c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
+a AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS at FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)), b AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS at FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)),
+g AS (SELECT a.at AS row_at, b.at AS column_at, a.s AS row, b.p AS "column", coalesce(n, 0) AS value FROM a CROSS JOIN b LEFT JOIN c ON c.s = a.s AND c.p = b.p)
+SELECT row_at::INTEGER AS row_at, column_at::INTEGER AS column_at, row, "column", value, sum(value) OVER w - value AS low, sum(value) OVER w AS high, round(value / sum(value) OVER (PARTITION BY row_at), 9) AS share
+FROM g WINDOW w AS (PARTITION BY row_at ORDER BY column_at)
+""")
+def stacked_bars(spark, d):
+    """Orders by status, stacked by priority."""
+    return C.stacked(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", F.count("*")).withColumn("share", F.round("share", 9))
+
+
+@register("""
+WITH s AS (SELECT source AS label, round(avg(doc_id % 7 - 3), 9) AS value, min(doc_id % 7 - 3) + 2.5 AS low, max(doc_id % 5)::DOUBLE AS high FROM documents GROUP BY 1)
+SELECT row_number() OVER (ORDER BY value DESC, label)::INTEGER - 1 AS at, label, value, low::DOUBLE AS low, high, CASE WHEN low > 0 THEN 1 WHEN high < 0 THEN -1 ELSE 0 END AS side FROM s
+""")
+def forest_rows(spark, d):
+    """Estimates with intervals by source."""
+    i = F.col("doc_id") % 7 - 3
+    s = _t(spark, d, "documents").groupBy("source").agg(F.round(F.avg(i), 9).alias("v"), (F.min(i) + 2.5).alias("a"), F.max(F.col("doc_id") % 5).cast("double").alias("b"))
+    return C.forest(s, "source", "v", "a", "b")
