@@ -102,13 +102,17 @@ def protected_union(spark, d):
     return spans.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-def _rule(name, table, key, col, re2):
+def _rule(name, table, key, col, re2, made=None):
+    """A query of one rule; ``made`` (a text before the id, one behind it) stands behind every text, where the table has no match."""
+
     def query(spark, d):
-        rows = _t(spark, d, table).select(key, F.posexplode(D.rule_matches(F.col(col), name)).alias("pos", "span"))
+        text = F.concat_ws(" ", F.col(col), F.concat(F.lit(made[0]), F.col(key).cast("string"), F.lit(made[1]))) if made else F.col(col)
+        rows = _t(spark, d, table).select(key, F.posexplode(D.rule_matches(text, name)).alias("pos", "span"))
         return rows.select(key, F.col("pos").cast("long").alias("pos"), "span")
 
     query.__name__ = f"protect_{name}_{table}"
-    register(f"SELECT {key}, pos - 1 AS pos, m[pos] AS span FROM (SELECT {key}, m, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT {key}, regexp_extract_all({col}, '{re2}') AS m FROM {table}))")(query)
+    text = f"concat_ws(' ', {col}, '{made[0]}' || {key} || '{made[1]}')" if made else col
+    register(f"SELECT {key}, pos - 1 AS pos, m[pos] AS span FROM (SELECT {key}, m, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT {key}, regexp_extract_all({text}, '{re2}') AS m FROM {table}))")(query)
 
 
 # The same patterns in the dialect of the SQL engine.
@@ -116,10 +120,10 @@ _rule("email", "documents", "doc_id", "text", r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b
 _rule("version", "documents", "doc_id", "text", r"\bv\d+(?:\.\d+)+(?:[-+][\w.-]+)?\b|\b\d+\.\d+\.\d+(?:\.\d+)?(?:[-+][\w.-]+)?\b")
 _rule("ip", "documents", "doc_id", "text", r"\b(?:\d{1,3}\.){3}\d{1,3}(?:\/\d{1,2})?(?::\d{1,5})?\b")
 _rule("pascal", "documents", "doc_id", "text", r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b[A-Z]{2,}[a-z]+[A-Za-z0-9]*\b")
-_rule("snake", "documents", "doc_id", "text", r"\b[A-Za-z][A-Za-z0-9]*(?:\\?_[A-Za-z0-9]+)+\b")
-_rule("guid", "documents", "doc_id", "text", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b")
-_rule("hostport", "documents", "doc_id", "text", r"\b(?:localhost|127\.0\.0\.1|0\.0\.0\.0)(?::\d{1,5})?\b")
-_rule("call", "documents", "doc_id", "text", r"\b[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*\(\)")
+_rule("snake", "documents", "doc_id", "text", r"\b[A-Za-z][A-Za-z0-9]*(?:\\?_[A-Za-z0-9]+)+\b", ("my_name_", "_x and other_one"))
+_rule("guid", "documents", "doc_id", "text", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", ("in 550e8400-e29b-41d4-a716-446655440000 but not 550e8400-e29b-41d4-a716-44665544 ", ""))
+_rule("hostport", "documents", "doc_id", "text", r"\b(?:localhost|127\.0\.0\.1|0\.0\.0\.0)(?::\d{1,5})?\b", ("at localhost:80 and 127.0.0.1:8", " or 0.0.0.0"))
+_rule("call", "documents", "doc_id", "text", r"\b[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*\(\)", ("by run.it", "() and a::b() or not()"))
 
 
 _COMMENTED = r"""
