@@ -54,6 +54,15 @@ def test_divergence(spark):
     assert divergence.divergence(df.limit(0)).count() == 0
 
 
+def test_terms_are_those_of_the_stated_pattern(spark):
+    """Both patterns agree on every character that a text may hold."""
+    step = 64
+    rows = [("\x00".join(chr(c) + "A" for c in range(a, a + step) if not 0xD800 <= c < 0xE000),) for a in range(0, 0x3000, step)] + [("\U0001f600a\U0010ffff\ud7ff\ue000 \x7f\x80",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    both = [F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", divergence.TERM), ("b", divergence._SAME))]
+    assert all(r["a"] == r["b"] for r in df.select(*both).collect())
+
+
 def test_divergence_of_counts_beyond_64_bits(spark):
     n, total = 10**17, 9 * 10**17
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(7)).alias("p")).first()["p"]
