@@ -132,21 +132,26 @@ def formality(option: Column, front_matter: Column, register: Column) -> Column:
     return F.coalesce(option, front_matter, F.when(register == "informal", "informal"), F.lit("formal"))
 
 
-# Names of languages by code.
+# English names of languages by code, those of regions and scripts first.
 LANGUAGE_NAMES = dict(
     x.split(":")
     for x in (
-        "bg:Bulgarian cs:Czech da:Danish de:German el:Greek en:English es:Spanish et:Estonian fi:Finnish fr:French ga:Irish hr:Croatian hu:Hungarian it:Italian "
-        "ja:Japanese ko:Korean lt:Lithuanian lv:Latvian mt:Maltese nb:Norwegian nl:Dutch pl:Polish pt:Portuguese ro:Romanian sk:Slovak sl:Slovenian sv:Swedish "
-        "uk:Ukrainian zh:Chinese"
-    ).split()
+        "en-us:American English,en-gb:British English,en-au:Australian English,en-ca:Canadian English,pt-pt:European Portuguese,pt-br:Brazilian Portuguese,"
+        "es-es:European Spanish,es-mx:Mexican Spanish,es-419:Latin American Spanish,fr-ca:Canadian French,fr-ch:Swiss French,de-at:Austrian German,"
+        "de-ch:Swiss High German,nl-be:Flemish,zh-hans:Simplified Chinese,zh-hant:Traditional Chinese,sr-latn:Serbian (Latin),sr-cyrl:Serbian (Cyrillic),"
+        "af:Afrikaans,ar:Arabic,bg:Bulgarian,bn:Bangla,ca:Catalan,cs:Czech,cy:Welsh,da:Danish,de:German,el:Greek,en:English,es:Spanish,et:Estonian,eu:Basque,"
+        "fa:Persian,fi:Finnish,fil:Filipino,fr:French,ga:Irish,gl:Galician,he:Hebrew,hi:Hindi,hr:Croatian,hu:Hungarian,hy:Armenian,id:Indonesian,is:Icelandic,"
+        "it:Italian,ja:Japanese,ka:Georgian,kk:Kazakh,ko:Korean,lt:Lithuanian,lv:Latvian,mk:Macedonian,ms:Malay,mt:Maltese,nb:Norwegian Bokmål,nl:Dutch,"
+        "nn:Norwegian Nynorsk,no:Norwegian,pl:Polish,pt:Portuguese,ro:Romanian,ru:Russian,sk:Slovak,sl:Slovenian,sq:Albanian,sr:Serbian,sv:Swedish,sw:Swahili,"
+        "ta:Tamil,th:Thai,tr:Turkish,uk:Ukrainian,ur:Urdu,vi:Vietnamese,zh:Chinese"
+    ).split(",")
 )
 
 
 def language_name(code: Column) -> Column:
-    """The name of a language by the base of its code, else the code itself."""
+    """The name of a language with its region or script, else by the base of its code, else the code itself."""
     names = F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv])
-    return F.coalesce(names[F.lower(F.split(code, "[-_]")[0])], code)
+    return F.coalesce(F.try_element_at(names, F.lower(code)), F.try_element_at(names, F.lower(F.split(code, "[-_]")[0])), code)
 
 
 def percent(c: Column, digits: int = 1) -> Column:

@@ -84,11 +84,17 @@ def test_small_predicates(spark):
         S.language_name(F.lit("pt-BR")).alias("c"), S.language_name(F.lit("xx")).alias("d"), S.percent(F.lit(0.98765)).alias("e"), S.percent(F.lit(float("nan"))).alias("f"),
         S.p_value(F.lit(0.0004)).alias("g"), S.p_value(F.lit(0.25)).alias("h"),
     ).first()
-    assert tuple(r) == ("fr", "en", "Portuguese", "xx", "98.8%", "n/a", "< 0.001", "0.250")
+    assert tuple(r) == ("fr", "en", "Brazilian Portuguese", "xx", "98.8%", "n/a", "< 0.001", "0.250")
     docs = spark.createDataFrame([("a", "# Title\n"), ("b", "12\n"), ("c", None)], "doc string, content string")
     assert [x["doc"] for x in T.translatable(docs, D.extract_segments(docs)).collect()] == ["a"]
 
 
+def test_language_names(spark):
+    codes = ["de", "DE-at", "de-LI", "zh-Hant", "nb", "pt_PT", "es-419", "", None, "qq-QQ"]
+    got = [r["n"] for r in spark.createDataFrame([(c,) for c in codes], "c string").select(S.language_name(F.col("c")).alias("n")).collect()]
+    assert got == ["German", "Austrian German", "German", "Traditional Chinese", "Norwegian Bokmål", "Portuguese", "Latin American Spanish", "", None, "qq-QQ"]
+
+
 def test_links_and_code(spark):
     rows = [(1, '# One\n\n[a](#one) [b](#two) <a id="x"></a> [c](#x) [d](#%C3%BC)\n\n## ü\n'), (2, "no links"), (3, None)]
     got = {r["k"]: (r["targets"], r["broken"]) for r in Q.broken_links(spark.createDataFrame(rows, "k int, text string"), ["k"]).collect()}
