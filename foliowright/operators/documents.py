@@ -13,6 +13,7 @@ from ..functions import anchors as heading_anchors
 from ..functions import code_comments, markdown, masking
 from ..functions.protect import find_protected
 from ..options import Options
+from .stages import flat_rows
 
 SEGMENTS = (
     "doc string, seq int, seg_id string, kind string, note string, start int, end int, original string, masked string, "
@@ -38,32 +39,21 @@ def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content"
     o = options or Options()
     find = markdown.html_segments if html else partial(markdown.segments, front_matter=o.front_matter, comments=o.code_comments, docstrings=o.docstrings)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, text in zip(b["doc"], b["content"], strict=True):
-                for i, s in enumerate(find(text) if isinstance(text, str) else []):
-                    original = text[s.start : s.end]
-                    masked, singles, pairs = masking.mask(original, dnt)
-                    rows.append((d, i, f"s{i + 1}", s.kind, s.note, s.start, s.end, original, masked, singles, {k: {"open": a, "close": z} for k, (a, z) in pairs.items()}, not any(c.isalpha() for c in masking.plain_text(masked))))
-            yield pd.DataFrame(rows, columns=["doc", "seq", "seg_id", "kind", "note", "start", "end", "original", "masked", "singles", "pairs", "passive"])
+    def rows(d, text):
+        for i, s in enumerate(find(text)):
+            original = text[s.start : s.end]
+            masked, singles, pairs = masking.mask(original, dnt)
+            ends = [(k, {"open": a, "close": z}) for k, (a, z) in pairs.items()]
+            yield d, i, f"s{i + 1}", s.kind, s.note, s.start, s.end, original, masked, list(singles.items()), ends, not any(c.isalpha() for c in masking.plain_text(masked))
 
-    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).where(F.trim("content") != "").mapInPandas(run, SEGMENTS)
+    picked = docs.select(F.col(doc).cast("string").alias("__doc"), F.col(content).alias("__content")).where(F.trim("__content") != "")
+    return flat_rows(picked, [], ["__doc", "__content"], SEGMENTS, rows)
 
 
 def protected_spans(df: DataFrame, keys: list[str], text: str = "text", dnt: tuple[str, ...] = ()) -> DataFrame:
     """keys, start, end, rule, span of every protected span; offsets in code points."""
-    picked = df.select(*keys, F.col(text).alias("__t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "__t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [[(*s, t[s[0] : s[1]]) for s in find_protected(t, dnt)] if isinstance(t, str) else [] for t in b.pop("__t")]
-            at = [i for i, spans in enumerate(found) for _ in spans]
-            flat = pd.DataFrame([s for spans in found for s in spans], columns=["start", "end", "rule", "span"])
-            yield pd.concat([b.iloc[at].reset_index(drop=True), flat], axis=1)
-
-    return picked.mapInPandas(run, f"{fields}, start int, end int, rule string, span string")
+    spans = lambda t: ((*s, t[s[0] : s[1]]) for s in find_protected(t, dnt)) if t is not None else ()
+    return flat_rows(df.select(*keys, F.col(text).alias("__t")), keys, ["__t"], "start int, end int, rule string, span string", spans)
 
 
 def rule_matches(text: Column, rule: str) -> Column:
@@ -87,25 +77,24 @@ def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str =
     per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "masked", "singles", "pairs")).alias("parts"))
     full = docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).join(per, "doc")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, lang, source, parts in zip(b["doc"], b["lang"], b["content"], b["parts"], strict=True):
-                try:
-                    text, reverted = splice(source, parts, lang is None or lang.lower() not in unwrapped)
-                    text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
-                    rows.append((d, lang, text, reverted, added, text == source, None))
-                except Exception as e:  # a document that can't be assembled stays as it is
-                    rows.append((d, lang, source, [], [], True, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc", "lang", "text", "reverted", "anchors", "identical", "error"])
+    def rows(d, lang, source, parts):
+        try:
+            text, reverted = splice(source, parts, lang is None or lang.lower() not in unwrapped)
+            text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
+            yield d, lang, text, reverted, added, text == source, None
+        except Exception as e:  # a document that can't be assembled stays as it is
+            yield d, lang, source, [], [], True, f"{type(e).__name__}: {e}"
 
-    return full.select("doc", "lang", "content", "parts").mapInPandas(run, "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string")
+    made = "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string"
+    used = {"doc": "__doc", "lang": "__lang", "content": "__content", "parts": "__parts"}
+    return flat_rows(full.select(*[F.col(c).alias(n) for c, n in used.items()]), [], list(used.values()), made, rows)
 
 
 # Where the text of a kind of segment stands; all others stand in Markdown.
 CONTEXTS = {"cell": "cell", "frontmatter": "yaml", "comment": "comment", "html": "html", "attr": "attr"}
 #: What would end a comment or docstring too early.
 CLOSERS = ("*/", "-->", '"""', "'''", "*)", "-}", "#>", "--]]")
+AT_ONCE = 64  # values of a column that become Python results at once
 ROUNDS = 100  # of withdrawing translations from one document; then all of them go
 NARROWEST = 40  # columns of a paragraph that is wrapped anew
 
@@ -203,8 +192,10 @@ def map_column(df: DataFrame, source: str, target: str, fn: Callable[[str], obje
     """Adds fn(source) as a vectorized column; null stays null."""
 
     @F.pandas_udf(ddl)
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else fn(v))
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            for at in range(0, max(1, len(s)), AT_ONCE):  # a few values of any size, so results of a batch don't pile up
+                yield s.iloc[at : at + AT_ONCE].map(lambda v: None if v is None else fn(v))
 
     return df.withColumn(target, apply(F.col(source)))
 
@@ -215,29 +206,11 @@ def comment_prose(df: DataFrame, keys: list[str], language: Column | str, code:
     Code of an unknown or null language yields no rows, nor does null code. One narrow Python stage.
     """
     picked = df.select(*keys, (F.col(language) if isinstance(language, str) else language).alias("__l"), F.col(code).alias("__c"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            code_, lang = b.pop("__c"), b.pop("__l")
-            found = [[(*s, c[s[0] : s[1]]) for s in code_comments.prose(code_comments.language(n), c)] if isinstance(c, str) and isinstance(n, str) else [] for n, c in zip(lang, code_, strict=True)]
-            at = [i for i, spans in enumerate(found) for _ in spans]
-            flat = pd.DataFrame([s for spans in found for s in spans], columns=["start", "end", "kind", "prose"])
-            yield pd.concat([b.iloc[at].reset_index(drop=True), flat], axis=1)
-
-    return picked.mapInPandas(run, f"{fields}, start int, end int, kind string, prose string")
+    lines = lambda n, c: ((*s, c[s[0] : s[1]]) for s in code_comments.prose(code_comments.language(n), c)) if n is not None and c is not None else ()
+    return flat_rows(picked, keys, ["__l", "__c"], "start int, end int, kind string, prose string", lines)
 
 
 def heading_slugs(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, seq, heading, slug, own_id of every heading with letters; null text has none."""
-    picked = df.select(*keys, F.col(text).alias("__t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [[(i, *h[1:]) for i, h in enumerate(heading_anchors.headings(t))] if isinstance(t, str) else [] for t in b.pop("__t")]
-            at = [i for i, hs in enumerate(found) for _ in hs]
-            flat = pd.DataFrame([h for hs in found for h in hs], columns=["seq", "heading", "slug", "own_id"])
-            yield pd.concat([b.iloc[at].reset_index(drop=True), flat], axis=1)
-
-    return picked.mapInPandas(run, f"{fields}, seq int, heading string, slug string, own_id boolean")
+    found = lambda t: ((i, *h[1:]) for i, h in enumerate(heading_anchors.headings(t))) if t is not None else ()
+    return flat_rows(df.select(*keys, F.col(text).alias("__t")), keys, ["__t"], "seq int, heading string, slug string, own_id boolean", found)
