@@ -150,7 +150,8 @@ SELECT doc_id, sum(n)::BIGINT AS headings, sum(n - 1)::BIGINT AS numbered, max(C
 def heading_slug_numbers(spark, d):
     """Slugs of a document whose words are headings; repeated ones are numbered in order."""
     lines = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.concat(F.lit("## "), w))
-    h = D.heading_slugs(D.spread(_t(spark, d, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))), ["doc_id"])
+    docs = D.spread(_t(spark, d, "documents").select("doc_id", "text"))  # words are looked for behind it
+    h = D.heading_slugs(docs.select("doc_id", F.array_join(lines, "\n\n").alias("text")), ["doc_id"])
     plain = F.regexp_replace("slug", "-[0-9]+$", "")
     h = h.withColumn("n", F.coalesce(F.nullif(F.regexp_extract("slug", "-([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)))
     top = h.groupBy("doc_id", plain.alias("s")).agg(F.count("*").alias("c"), F.max("n").alias("m"), F.max_by("slug", "n").alias("slug"))
