@@ -48,21 +48,22 @@ def formality(docs: DataFrame, options: Options, register: str | None = None, co
 
 def run(
     docs: DataFrame, langs: list[str], engine: T.Translator, options: Options = Options(), fallback: T.Translator | None = None, catalogue: DataFrame | None = None,
-    dnt: tuple[str, ...] = (), detected: str | None = None,
+    dnt: tuple[str, ...] = (), detected: str | None = None, segments: DataFrame | None = None,
 ) -> Result:
     """Extraction, translation and assembly of documents (doc, content) into each language.
 
     Options switch what is extracted (front matter, comments, docstrings), limit requests and attempts, let the fallback
     take part, and keep anchors; the catalogue sets length ratios and wrapping by language. A language that is the
     document's own (the option's, else the column ``detected``, else SOURCE_LANGUAGE) is left out. Segments and outcomes
-    are written once. Null and blank documents have no segments and stay out; an empty table gives no rows.
+    are written once; ``segments`` of an earlier run over the same documents, whose options extract the same, are taken
+    as they are. Null and blank documents have no segments and stay out; an empty table gives no rows.
     """
     ratios, unwrapped = settings(catalogue)
     picked = docs.select("doc", "content", *([F.col(detected).alias("__found")] if detected else []))
     own = T.source_language(F.lit(options.source_lang), F.lit(None).cast("string"), F.col("__found") if detected else F.lit(None).cast("string"))
     pairs = picked.select("doc", own.alias("__own")).withColumn("lang", F.explode(F.array(*map(F.lit, langs))))
     done = pairs.where(F.coalesce(S.same_language(F.col("__own"), F.col("lang")), F.lit(False))).select("doc", "lang").distinct()
-    segments = fixed(D.extract_segments(picked, dnt=dnt, options=options))
+    segments = fixed(D.extract_segments(picked, dnt=dnt, options=options)) if segments is None else segments
     helper = fallback if fallback_applies(options, fallback is not None) else None
     outcomes = fixed(T.translate(segments, langs, engine, helper, options.max_attempts, ratios, options.batch_segments, options.batch_chars, done))
     memory = outcomes.where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")

@@ -6,15 +6,17 @@ import re
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import masking
 from ..functions import scalars as S
 from ..functions import tags
+from .stages import batch_of, stretches
 
 BATCH_SEGMENTS, BATCH_CHARS = 40, 12000
 RETRY_SEGMENTS = 10
@@ -220,35 +222,51 @@ def translate(
             errors.append("length ratio")
         return errors
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames:
-            out = []
-            for (_, lang), part in b.groupby(["doc", "lang"], sort=False):
-                src, singles, pairs = (part[c].tolist() for c in ("masked", "s", "g"))
-                text, via = [None] * len(src), ["source"] * len(src)
-                retries, errors, given = [0] * len(src), [[] for _ in src], [None] * len(src)
-                todo = list(range(len(src)))
-                for e, rounds in ((engine, 1 + attempts), (fallback, 1)):
-                    for r in range(rounds if e else 0):
-                        again = r and hasattr(e, "retry")
-                        call = (lambda at, e=e: e.retry([src[i] for i in at], lang, [given[i] for i in at], [errors[i] for i in at])) if again else (lambda at, e=e: e.translate([src[i] for i in at], lang))
-                        dealt = packed([len(src[i]) for i in todo], min(RETRY_SEGMENTS, max_items) if r else max_items, max_chars)
-                        left = []
-                        for k in range(dealt[-1] + 1 if dealt else 0):
-                            at = [i for i, d in zip(todo, dealt, strict=True) if d == k]
-                            for i, got in zip(at, ask(call, at), strict=True):
-                                got = masking.sanitize(got, src[i])
-                                errors[i], given[i] = check(src[i], singles[i], pairs[i], got, lang), got
-                                retries[i] = max(retries[i], r)
-                                if errors[i]:
-                                    left.append(i)
-                                else:
-                                    text[i], via[i] = got, e.name
-                        todo = left
-                out.append(part[["doc", "lang", "seg_id", "kind"]].assign(text=text, via=via, retries=retries, errors=errors, source=src))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["doc", "lang", "seg_id", "kind", "text", "via", "retries", "errors", "source"])
-
-    made = rows.mapInPandas(run, OUTCOMES)
+    def outcome(lang, src, singles, pairs):
+        """(text, via, retries, errors) of the segments of one document and language."""
+        text, via = [None] * len(src), ["source"] * len(src)
+        retries, errors, given = [0] * len(src), [[] for _ in src], [None] * len(src)
+        todo = list(range(len(src)))
+        for e, rounds in ((engine, 1 + attempts), (fallback, 1)):
+            for r in range(rounds if e and todo else 0):
+                again = r and hasattr(e, "retry")
+                call = (lambda at, e=e: e.retry([src[i] for i in at], lang, [given[i] for i in at], [errors[i] for i in at])) if again else (lambda at, e=e: e.translate([src[i] for i in at], lang))
+                dealt = packed([len(src[i]) for i in todo], min(RETRY_SEGMENTS, max_items) if r else max_items, max_chars)
+                requests: list[list[int]] = [[] for _ in range(dealt[-1] + 1 if dealt else 0)]
+                for i, k in zip(todo, dealt, strict=True):
+                    requests[k].append(i)
+                left = []
+                for at in requests:
+                    for i, got in zip(at, ask(call, at), strict=True):
+                        got = masking.sanitize(got, src[i])
+                        errors[i], given[i] = check(src[i], singles[i], pairs[i], got, lang), got
+                        retries[i] = max(retries[i], r)
+                        if errors[i]:
+                            left.append(i)
+                        else:
+                            text[i], via[i] = got, e.name
+                todo = left
+        return zip(text, via, retries, errors, strict=True)
+
+    made_fields = StructType.fromDDL(OUTCOMES)
+    names, types = [f.name for f in made_fields], [to_arrow_type(f.dataType) for f in made_fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in stretches(b, ["masked"]):
+                groups: dict[tuple, list[tuple]] = {}
+                for doc, seg_id, kind, masked, singles, pairs, lang in zip(*(c.to_pylist() for c in s.columns), strict=True):
+                    if doc is not None and lang is not None:
+                        groups.setdefault((doc, lang), []).append((seg_id, kind, masked, singles, pairs))
+                out = []
+                for (doc, lang), part in groups.items():
+                    ids, kinds, src, singles, pairs = zip(*part, strict=True)
+                    for seg_id, kind, masked, (text, via, retries, errors) in zip(ids, kinds, src, outcome(lang, list(src), singles, pairs), strict=True):
+                        out.append((doc, lang, seg_id, kind, text, via, retries, errors, masked))
+                if out:
+                    yield batch_of(out, names, types)
+
+    made = rows.select("doc", "seg_id", "kind", "masked", "s", "g", "lang").mapInArrow(run, OUTCOMES)
     same = S.untranslated(F.trim(S.masked_plain(F.col("source"))), F.trim(S.masked_plain(F.col("text"))))
     return made.withColumn("untranslated", F.coalesce(same, F.lit(False)))
 

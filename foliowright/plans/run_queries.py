@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking
 from ..operators import charts as C
+from ..operators import documents as D
 from ..operators import evaluation as E
 from ..operators import judging as J
 from ..operators import run as R
@@ -36,7 +37,7 @@ def _documents(spark, d) -> DataFrame:
         F.lit("---\ntitle: A fine title "), s, F.when(F.col("doc_id") % 2 == 0, "\nformality: informal").otherwise(""), F.lit("\n---\n\n# Head line of a good many words that say little "), s,
         F.lit("\n\nA paragraph of words\non two lines.\n\n```python\ndef f():\n    \"\"\"Words in a string.\"\"\"\n    return 1  # words in a comment\n```\n"),
     )
-    return _t(spark, d, "documents").select(s.alias("doc"), text.alias("content"), F.when(F.col("doc_id") % 5 == 0, "fr-CA").otherwise("en").alias("found"), "doc_id")
+    return D.spread(_t(spark, d, "documents").select("doc_id")).select(s.alias("doc"), text.alias("content"), F.when(F.col("doc_id") % 5 == 0, "fr-CA").otherwise("en").alias("found"), "doc_id")
 
 
 #: Variants of the default options by name.
@@ -56,9 +57,12 @@ FROM (SELECT v.*, n.all_docs, CASE WHEN variant = 'source_lang' THEN all_docs EL
 """)
 def option_effects(spark, d):
     """What each option changes in a run into two languages, one of which is some documents' own."""
-    docs, out = _documents(spark, d), []
+    docs, out, extracted = _documents(spark, d), [], {}
     for name, given in _VARIANTS.items():
-        r = R.run(docs, ["fr", "sv"], Slow(), Options(**given), T.Identity(), detected="found")
+        o = Options(**given)
+        how = (o.front_matter, o.code_comments, o.docstrings)  # what an extraction depends on
+        r = R.run(docs, ["fr", "sv"], Slow(), o, T.Identity(), detected="found", segments=extracted.get(how))
+        extracted[how] = r.segments
         o = r.outcomes.agg(F.count_if(F.col("via") == "pseudo").alias("by_engine"), F.count_if(F.col("via") == "identity").alias("by_fallback"), F.count_if(F.col("via") == "source").alias("kept_source"), F.count_if(F.col("retries") > 0).alias("retried"))
         out.append(r.segments.agg(F.lit(name).alias("variant"), F.count("*").alias("segments")).crossJoin(o))  # one row each
     return reduce(DataFrame.union, out)
