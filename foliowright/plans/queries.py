@@ -136,7 +136,7 @@ SELECT d.doc_id, count(*) AS comments, sum(len(w))::BIGINT AS chars FROM (
 @register(_COMMENTED)
 def code_comment_prose(spark, d):
     """Comments of C-like code, one word a comment, between strings that look like comments."""
-    docs = _t(spark, d, "documents")
+    docs = D.spread(_t(spark, d, "documents").select("doc_id", "text"))
     lines = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), lambda w: F.concat(F.lit('f("// no"); // '), w))
     found = D.comment_prose(docs.select("doc_id", F.array_join(lines, "\n").alias("code")), ["doc_id"], F.lit("js"))
     return found.groupBy("doc_id").agg(F.count("*").alias("comments"), F.sum(F.length("prose")).alias("chars"))
