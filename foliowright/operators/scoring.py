@@ -18,6 +18,7 @@ from ..functions import scalars as S
 from ..functions import statistics as X
 from . import documents as D
 from . import evaluation as E
+from .stages import flat_rows
 
 # The counts whose sum is the problems of a side, and counts that are reported beside them.
 PROBLEMS = ("keep_missing", "translate_left", "structure_broken", "code_changed", "links_broken", "english_left", "errors")
@@ -192,16 +193,15 @@ def differing_blocks(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, item, source, on, off of the blocks in which two translations differ; where the numbers of blocks
     do, the whole document is one item."""
 
-    @F.pandas_udf("array<string>")
-    def blocks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: markdown.blocks(t) if isinstance(t, str) else [])
+    def items(source, on, off):
+        cut = [markdown.blocks(t) if t is not None else [] for t in (source, on, off)]
+        even = len(cut[0]) == len(cut[1]) == len(cut[2])
+        for i, (x, a, b) in enumerate(zip(*cut, strict=True) if even else [(source, on, off)]):
+            if a != b:
+                yield f"b{i}", x, a, b
 
-    rows = df.where(~F.col("on").eqNullSafe(F.col("off"))).select(*keys, "source", "on", "off", *[blocks(F.col(c)).alias(f"__{c}") for c in ("source", "on", "off")])
-    even = (F.size("__source") == F.size("__on")) & (F.size("__source") == F.size("__off"))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.col("source").alias("s"), F.col("on").alias("a"), F.col("off").alias("b")))
-    zipped = F.transform(F.arrays_zip("__source", "__on", "__off"), lambda x, i: F.struct(i.alias("i"), x["__source"].alias("s"), x["__on"].alias("a"), x["__off"].alias("b")))
-    out = rows.select(*keys, F.explode(F.when(even, zipped).otherwise(whole)).alias("x")).where(~F.col("x.a").eqNullSafe(F.col("x.b")))
-    return out.select(*keys, F.concat(F.lit("b"), F.col("x.i")).alias("item"), F.col("x.s").alias("source"), F.col("x.a").alias("on"), F.col("x.b").alias("off"))
+    rows = df.where(~F.col("on").eqNullSafe(F.col("off"))).select(*keys, *[F.col(c).alias(f"__{c}") for c in ("source", "on", "off")])
+    return flat_rows(rows, keys, ["__source", "__on", "__off"], "item string, source string, on string, off string", items)
 
 
 def answers(raw: DataFrame, keys: list[str], answer: str = "answer", swapped: str = "swapped", asked: str | None = None) -> DataFrame:

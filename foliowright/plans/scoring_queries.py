@@ -68,7 +68,7 @@ SELECT doc_id, rule, a || {_NUMBER_SQL} || b AS span FROM documents CROSS JOIN s
 def protected_samples(spark, d):
     """Every protection rule finds its sample, and nothing else, in a sentence made for each document and rule."""
     part = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("rule", "lead", "a", "b", "tail"), strict=True)])
-    rows = _t(spark, d, "documents").select("doc_id", F.explode(F.array(*[part(*s) for s in SAMPLES], *[part(r, "a ", a, None, t) for r, a, t in FIXED])).alias("s"))
+    rows = D.spread(_t(spark, d, "documents").select("doc_id")).select("doc_id", F.explode(F.array(*[part(*s) for s in SAMPLES], *[part(r, "a ", a, None, t) for r, a, t in FIXED])).alias("s"))
     n = F.when(F.col("s.rule") == "guid", F.lpad((F.col("doc_id") % 100000).cast("string"), 12, "0")).when(F.col("s.rule") == "ip", (F.col("doc_id") % 200).cast("string"))
     n = n.when(F.col("s.rule") == "hostport", (F.col("doc_id") % 1000 + 1000).cast("string")).otherwise((F.col("doc_id") % 100000).cast("string"))
     number = F.when(F.col("s.b").isNull(), "").otherwise(n)
@@ -200,7 +200,7 @@ SELECT doc_id, n::BIGINT AS blocks, (SELECT count(*) FROM (SELECT unnest(x) AS l
 def differing_blocks(spark, d):
     """Lines as blocks; the two sides differ where a line holds an e."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
-    rows = _t(spark, d, "documents").select("doc_id", F.transform(lines, lambda x: F.concat(F.lit("p "), x)).alias("x")).where(F.size("x") > 0)
+    rows = D.spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(lines, lambda x: F.concat(F.lit("p "), x)).alias("x")).where(F.size("x") > 0)
     text = F.array_join("x", "\n\n")
     sides = rows.select("doc_id", F.size("x").cast("long").alias("blocks"), text.alias("source"), text.alias("on"), F.replace(text, F.lit("e"), F.lit("E")).alias("off"))
     items = Q.differing_blocks(sides, ["doc_id", "blocks"])
