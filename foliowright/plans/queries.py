@@ -76,7 +76,7 @@ def document_round_trip(spark, d):
 @register(r"SELECT count(*) AS docs, count(*) AS assembled, count(*) AS identical FROM documents WHERE regexp_matches(text, '\p{L}')")
 def identity_proof(spark, d):
     """Every document with a letter is assembled from its own segments and the same, byte for byte."""
-    docs = _t(spark, d, "documents").where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content"))
+    docs = D.spread(_t(spark, d, "documents").where(F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("content")))
     seg = fixed(D.extract_segments(docs))
     made = D.assemble(docs, seg, seg.select("doc", F.lit("xx").alias("lang"), "seg_id", F.col("masked").alias("text")))
     joined = docs.join(made.where("error IS NULL"), "doc", "left")
