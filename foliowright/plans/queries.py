@@ -317,8 +317,8 @@ SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<!--(?s
 """)
 def html_skeletons(spark, d):
     """The tags of a page with their prose attributes blanked."""
-    p = D.map_column(_t(spark, d, "pages"), "html", "tags", markdown.html_skeleton, "array<string>")
-    return p.select("page_id", F.array_join("tags", " ").alias("skeleton"))
+    p = D.map_column(D.spread(_t(spark, d, "pages").select("page_id", "html")), "html", "skeleton", lambda h: " ".join(markdown.html_skeleton(h)), "string")
+    return p.select("page_id", "skeleton")
 
 
 @register("""
