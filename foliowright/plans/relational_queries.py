@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import spans as P
+from ..operators.documents import spread
 from .queries import _t, register
 
 # Texts that several rules match at once, picked by id.
@@ -61,7 +62,7 @@ def protected_overlaps(spark, d):
 @register()
 def protected_union_relational(spark, d):
     """All protection rules with overlap elimination over whole texts, without a Python worker."""
-    spans = P.protected_spans(_t(spark, d, "documents"), ["doc_id"])
+    spans = P.protected_spans(spread(_t(spark, d, "documents").select("doc_id", "text")), ["doc_id"])
     return spans.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
