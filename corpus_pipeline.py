@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliowright.llm import language_id, minhash_dedup, mixing, packing, quality_pu
-from foliowright.llm.common import bucket_of, load, shared_dir
+from foliowright.llm.common import bucket_of, load, materialize, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,8 +34,9 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     one without a non-null lang, leaves nothing.
     """
     model = language_id.train(docs, bucket_of("doc_id", 4) != 2)
-    least = language_id.least_score(docs, model, language_id.held_out())
-    return _documents(language_id.language_id(docs, model, _carry(docs), raw=True).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
+    judged = materialize(language_id.language_id(docs, model, _carry(docs), raw=True), "languages")  # predicted once
+    least = language_id.least_score(judged, language_id.held_out())
+    return _documents(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

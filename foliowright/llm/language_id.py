@@ -9,6 +9,7 @@ piecewise-linear tanh, which keeps a step to a few passes over contiguous arrays
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ HIDDEN = 8
 LANES = 2048  # windows side by side
 TRAIN_DOCS = 1500  # bound: labelled documents a language
 TRAIN_WINDOWS = 4  # bound: windows a training document
-HELD_DOCS = 4000  # bound: held-out documents whose scores set the least score
+PASS_LANES = 1024  # windows of a step of the pass over all rows
+PASS_RATE = 0.001
 FLOOR = 0.75  # of the score that 999 in 1000 of them reach
 STEPS = 450
 BATCH = 128
@@ -87,8 +89,8 @@ class ByteGRU:
         """Probabilities (T, languages, N) of every position of the windows x (T, N)."""
         return self._probabilities(self._direction(x, "f", False)[0], self._direction(x, "b", False)[0])
 
-    def loss_gradient(self, x: np.ndarray, y: np.ndarray):
-        """Mean cross entropy over positions that hold a byte, and its gradient through time."""
+    def loss_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        """Mean cross entropy over positions that hold a byte, and its gradient through time; ``weight`` of each window for the gradient."""
         (hf, sf), (hb, sb) = self._direction(x, "f", True), self._direction(x, "b", True)
         p = self._probabilities(hf, hb)
         real = (x < PAD).astype(np.float32)[:, None, :]
@@ -97,6 +99,8 @@ class ByteGRU:
         one[:, y, np.arange(len(y))] = 1
         loss = -float((np.log(np.maximum(p, 1e-9)) * one * real).sum()) / total
         dl = (p - one) * real / total
+        if weight is not None:
+            dl *= weight.astype(np.float32)[None, None, :]
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         hcat = np.concatenate([hf, hb], axis=1)
         g["W"] = np.einsum("tln,thn->lh", dl, hcat, optimize=True)
@@ -128,16 +132,28 @@ class ByteGRU:
         by = [b for b in by if len(b)]
         for s in range(1, steps + 1):
             pick = np.concatenate([rng.choice(b, max(1, batch // len(by))) for b in by])
-            _, g = self.loss_gradient(np.ascontiguousarray(x[pick].T), y[pick])
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            lr = rate * min(1.0, 2.0 * (1 - s / (steps + 1)))
-            for k, a in g.items():
-                a = a / max(1.0, norm)
-                m[k] += 0.1 * (a - m[k])
-                v[k] += 0.01 * (a * a - v[k])
-                self.p[k] -= (lr * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-6)).astype(np.float32)
+            self._step(self.loss_gradient(np.ascontiguousarray(x[pick].T), y[pick])[1], m, v, s, rate * min(1.0, 2.0 * (1 - s / (steps + 1))))
         return self
 
+    def _step(self, g, m, v, s: int, lr: float) -> None:
+        """Step ``s`` of Adam, with means ``m`` and ``v``, along the clipped gradient ``g``."""
+        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        for k, a in g.items():
+            a = a / max(1.0, norm)
+            m[k] += 0.1 * (a - m[k])
+            v[k] += 0.01 * (a * a - v[k])
+            self.p[k] -= (lr * (m[k] / (1 - 0.9**s)) / (np.sqrt(v[k] / (1 - 0.99**s)) + 1e-6)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
+
+    def set_flat(self, values: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            n = self.p[k].size
+            self.p[k] = values[at : at + n].reshape(self.p[k].shape).astype(np.float32)
+            at += n
+
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Language and probability of whole texts; all windows of a batch run side by side."""
         sums = np.zeros((len(texts), len(self.labels)))
@@ -187,9 +203,62 @@ def has_letter(raw: bytes | None) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def windows_of(text: bytes):
+    """Symbols of every window of a text, the last one padded."""
+    for at in range(0, len(text), WINDOW):
+        part = np.frombuffer(text, np.uint8, min(WINDOW, len(text) - at), at).astype(np.intp)
+        yield part if len(part) == WINDOW else np.concatenate([part, np.full(WINDOW - len(part), PAD, np.intp)])
+
+
+def learn_all(rows: DataFrame, model: ByteGRU, counts: dict[str, int], text: str = "text", lang: str = "lang") -> ByteGRU:
+    """One pass over every window of every row, from the weights of ``model``.
+
+    Each task steps through its rows by itself, and the mean of the tasks' weights by their windows is the new model, so
+    a task of the table sends one set of weights (some 100 KB) to the driver and no text. Languages weigh
+    alike whatever their share.
+    """
+    place = {k: i for i, k in enumerate(model.labels)}
+    share = np.array([sum(counts.values()) / (len(counts) * counts[k]) for k in model.labels])
+
+    def run(batches):
+        m, v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
+        lanes, labels, seen, s = [], [], 0, 0
+
+        def step():
+            nonlocal seen, s
+            s += 1
+            y = np.array(labels)
+            model._step(model.loss_gradient(np.stack(lanes, axis=1), y, share[y])[1], m, v, s, PASS_RATE)
+            seen += len(lanes)
+            lanes.clear()
+            labels.clear()
+
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for w in windows_of(t.as_py()):
+                    lanes.append(w)
+                    labels.append(place[k])
+                    if len(lanes) == PASS_LANES:
+                        step()
+        if lanes:
+            step()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "w": pa.array([model.flat().tobytes()], pa.binary())})
+
+    picked, cores = rows.select(F.col(lang), F.col(text).cast("binary")), rows.sparkSession.sparkContext.defaultParallelism
+    if picked.rdd.getNumPartitions() < cores:  # a small table in few pieces; a large one is not shuffled
+        picked = picked.repartition(cores)
+    total, mean = 0, 0.0
+    for r in picked.mapInArrow(run, "n long, w binary").collect():
+        total, mean = total + r["n"], mean + r["n"] * np.frombuffer(r["w"])
+    if total:
+        model.set_flat(mean / total)
+    return model
+
+
 def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = TRAIN_DOCS, steps: int = STEPS) -> ByteGRU:
-    """Fits the network on a bounded sample: at most about ``per_lang`` documents of each language among
-    the rows where ``learn`` holds, and TRAIN_WINDOWS windows of each, spread over its whole length.
+    """Fits the network on all rows where ``learn`` holds: it starts from weights of at most about ``per_lang`` documents of
+    each language, TRAIN_WINDOWS windows of each, and then passes over every window of every row (``learn_all``).
 
     The network has one output for each language, so the languages of a corpus (not its documents) set its
     width and the rows that reach the driver: one count and at most 2 * per_lang samples a language.
@@ -220,7 +289,7 @@ def train(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", la
                 ys.append(labels.index(r["lang"]))
     if xs:
         model.fit(np.stack(xs).astype(np.intp), np.array(ys), steps=steps)
-    return model
+    return learn_all(rows, model, counts, text, lang)
 
 
 def language_id(docs: DataFrame, model: ByteGRU, carry: dict | None = None, text: str = "text", raw: bool = False) -> DataFrame:
@@ -232,18 +301,21 @@ def language_id(docs: DataFrame, model: ByteGRU, carry: dict | None = None, text
     return map_texts(docs, carry or {"doc_id": F.col("doc_id")}, "lang_pred string, score double", lambda ts: list(model.predict(ts)), text, raw)
 
 
-def least_score(docs: DataFrame, model: ByteGRU, held, text: str = "text", lang: str = "lang", sample: int = HELD_DOCS) -> float:
+def least_score(judged: DataFrame, held, text: str = "text", lang: str = "lang") -> float:
     """The score below which a text is taken to be of no learned language.
 
-    FLOOR of the score that all but one in a thousand of the held-out rows (at most about ``sample``, drawn by the hash
-    of their text) reach whose language is predicted right; 0.0 where there are none, so nothing is rejected by it.
+    FLOOR of the score that all but one in a thousand of the held-out rows reach whose language is predicted right, over
+    all of them; 0.0 where there are none, so nothing is rejected by it. ``judged`` are rows with text, lang_pred and score. The
+    lowest thousandth of the scores reaches the driver, one number a row.
     """
-    rows = docs.where(held & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64(text, F.lit(23)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20)))
-    right = language_id(drawn, model, {"lang": F.col(lang)}, text).where("lang = lang_pred")
-    found = right.agg(F.percentile("score", F.lit(0.001))).first()[0]
-    return FLOOR * (found or 0.0)
+    right = judged.where(held & F.col(text).isNotNull() & (F.col(lang) == F.col("lang_pred"))).select("score")
+    n = right.count()
+    if not n:
+        return 0.0
+    at = 0.001 * (n - 1)
+    low = [r[0] for r in right.orderBy("score").limit(int(at) + 2).collect()]
+    i = int(at)
+    return FLOOR * (low[i] + (at - i) * (low[min(i + 1, len(low) - 1)] - low[i]))
 
 
 def held_out(doc_id: str = "doc_id"):
