@@ -26,12 +26,7 @@ FLOOR = 0.75  # of the score that 999 in 1000 of them reach
 STEPS = 450
 BATCH = 128
 PAD = 256  # symbol of positions behind a text's end
-
-
-def _gates(x, out):
-    np.multiply(x, 0.25, out=out)
-    out += 0.5
-    return np.clip(out, 0.0, 1.0, out=out)
+ZERO, QUARTER, ONE = np.float32(0), np.float32(0.25), np.float32(1)
 
 
 class ByteGRU:
@@ -47,33 +42,45 @@ class ByteGRU:
             self.p[f"U{d}"] = (rng.standard_normal((3 * h, h)) / np.sqrt(h)).astype(np.float32)
         self.p["W"] = (rng.standard_normal((len(labels), 2 * h)) * 0.3).astype(np.float32)
         self.p["c"] = np.zeros((len(labels), 1), np.float32)
+        self.room: dict = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, the same one for the same name and shape: fresh memory for every block would cost more than its use."""
+        if name not in self.room or self.room[name].shape != shape:
+            self.room[name] = np.empty(shape, np.float32)
+        return self.room[name]
+
+    def __getstate__(self):
+        return self.__dict__ | {"room": {}}
 
     def _direction(self, x, d: str, keep: bool):
-        """States (T, H, N) for symbols x (T, N); with keep also what backpropagation needs."""
+        """States (T, H, N) for symbols x (T, N); with keep also what backpropagation needs: gates and candidate (T, 3H, N),
+        the candidate's recurrent part (T, H, N). The gates' slope and offset lie in their weights."""
         h2, steps, n = 2 * self.h, *x.shape
-        table, u = self.p[f"E{d}"], self.p[f"U{d}"]
-        out = np.empty((steps, self.h, n), np.float32)
+        table, u = self.p[f"E{d}"].copy(), self.p[f"U{d}"].copy()
+        table[:h2] = table[:h2] * 0.25 + 0.5
+        u[:h2] *= 0.25
+        out = self._room("states" + d, steps, self.h, n)
         state = np.zeros((self.h, n), np.float32)
-        gx, gh, cand = np.empty((3 * self.h, n), np.float32), np.empty((3 * self.h, n), np.float32), np.empty((self.h, n), np.float32)
-        saved = []
+        kept, parts = (self._room(f"{name}{d}{keep}", steps if keep else 1, k, n) for name, k in (("kept", 3 * self.h), ("parts", self.h)))
+        gh = np.empty((h2, n), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            gx, part = kept[t if keep else 0], parts[t if keep else 0]
             np.take(table, x[t], axis=1, out=gx, mode="clip")
-            np.matmul(u, state, out=gh)
-            gate = gx[:h2]
-            gate += gh[:h2]
-            _gates(gate, gate)
-            z, r = gate[: self.h], gate[self.h :]
-            np.multiply(r, gh[h2:], out=cand)
-            cand += gx[h2:]
-            if keep:
-                saved.append((t, z.copy(), r.copy(), gh[h2:].copy(), cand.copy(), state.copy()))
-            np.clip(cand, -1.0, 1.0, out=cand)
+            np.matmul(u[:h2], state, out=gh)
+            np.matmul(u[h2:], state, out=part)
+            gate, cand = gx[:h2], gx[h2:]
+            gate += gh
+            np.clip(gate, ZERO, ONE, out=gate)
             nxt = out[t]
+            np.multiply(gate[self.h :], part, out=nxt)
+            cand += nxt
+            np.clip(cand, -ONE, ONE, out=cand)
             np.subtract(state, cand, out=nxt)
-            nxt *= z
+            nxt *= gate[: self.h]
             nxt += cand
             state = nxt
-        return out, saved
+        return out, kept, parts
 
     def _probabilities(self, hf, hb):
         w = self.p["W"]
@@ -91,37 +98,62 @@ class ByteGRU:
 
     def loss_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
         """Mean cross entropy over positions that hold a byte, and its gradient through time; ``weight`` of each window for the gradient."""
-        (hf, sf), (hb, sb) = self._direction(x, "f", True), self._direction(x, "b", True)
-        p = self._probabilities(hf, hb)
-        real = (x < PAD).astype(np.float32)[:, None, :]
+        h, (steps, n) = self.h, x.shape
+        ways = {d: self._direction(x, d, True) for d in "fb"}
+        dl = self._probabilities(ways["f"][0], ways["b"][0])
+        real = (x < PAD).astype(np.float32)
         total = max(1.0, float(real.sum()))
-        one = np.zeros_like(p)
-        one[:, y, np.arange(len(y))] = 1
-        loss = -float((np.log(np.maximum(p, 1e-9)) * one * real).sum()) / total
-        dl = (p - one) * real / total
-        if weight is not None:
-            dl *= weight.astype(np.float32)[None, None, :]
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        hcat = np.concatenate([hf, hb], axis=1)
-        g["W"] = np.einsum("tln,thn->lh", dl, hcat, optimize=True)
-        g["c"] = dl.sum(axis=(0, 2))[:, None]
-        dh_all = np.matmul(self.p["W"].T, dl)
-        for d, saved, part in (("f", sf, dh_all[:, : self.h]), ("b", sb, dh_all[:, self.h :])):
-            u, carry = self.p[f"U{d}"], np.zeros((self.h, x.shape[1]), np.float32)
-            inputs = np.empty((3 * self.h, *x.shape), np.float32)
-            uz, ur, un = u[: self.h], u[self.h : 2 * self.h], u[2 * self.h :]
-            for t, z, r, ghn, cand, prev in reversed(saved):
-                dh = part[t] + carry
-                n = np.clip(cand, -1, 1)
-                dz = dh * (prev - n) * ((z > 0) & (z < 1)) * 0.25
-                dn = dh * (1 - z) * (np.abs(cand) < 1)
-                dr = dn * ghn * ((r > 0) & (r < 1)) * 0.25
-                dgn = dn * r
-                carry = dh * z + uz.T @ dz + ur.T @ dr + un.T @ dgn
-                g[f"U{d}"] += np.concatenate([dz, dr, dgn]) @ prev.T
-                inputs[:, t] = np.concatenate([dz, dr, dn])
-            for row, at in zip(g[f"E{d}"], inputs, strict=True):
-                row += np.bincount(x.ravel(), weights=at.ravel(), minlength=PAD + 1)
+        lanes = np.arange(n)
+        right = dl[:, y, lanes]
+        loss = -float((np.log(np.maximum(right, 1e-9)) * real).sum()) / total
+        dl[:, y, lanes] = right - 1
+        dl *= (real / total if weight is None else real * (weight / total).astype(np.float32))[:, None, :]
+        g = {"c": dl.sum(axis=(0, 2))[:, None], "W": np.empty_like(self.p["W"])}
+        symbols = x.ravel()
+        a, b, carry = (np.empty((h, n), np.float32) for _ in range(3))
+        c, slope, through = (np.empty((k * h, n), np.float32) for k in (2, 2, 3))  # through: slopes at the recurrent sums
+        one, weights = np.empty((h, n), np.float32), np.empty((steps, n))
+        for k, (d, (states, kept, parts)) in enumerate(ways.items()):
+            w, u = self.p["W"][:, k * h : (k + 1) * h], self.p[f"U{d}"]
+            g["W"][:, k * h : (k + 1) * h] = np.matmul(dl, states.transpose(0, 2, 1)).sum(axis=0)
+            dhs = np.matmul(w.T, dl, out=self._room("slopes", steps, h, n))
+            gu = np.zeros_like(u)
+            back = np.ascontiguousarray(u.T)
+            carry[:] = 0
+            start = np.zeros((h, n), np.float32)
+            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
+                before = t - 1 if d == "f" else t + 1
+                prev = states[before] if 0 <= before < steps else start
+                gate, cand = kept[t, : 2 * h], kept[t, 2 * h :]
+                dh = dhs[t]
+                dh += carry
+                # a gate's slope is 1/4 strictly between 0 and 1 a candidate's 1 strictly between -1 and 1, else 0
+                np.subtract(ONE, gate, out=c)
+                np.multiply(gate, c, out=slope)
+                np.ceil(slope, out=slope)
+                np.multiply(dh, gate[:h], out=carry)
+                np.subtract(prev, cand, out=one)
+                one *= dh
+                np.abs(cand, out=a)
+                np.subtract(ONE, a, out=a)
+                np.ceil(a, out=a)
+                a *= c[:h]
+                np.multiply(dh, a, out=b)
+                np.multiply(b, gate[h:], out=through[2 * h :])
+                cand[:] = b
+                b *= parts[t]
+                one *= QUARTER
+                b *= QUARTER
+                np.multiply(one, slope[:h], out=through[:h])
+                np.multiply(b, slope[h:], out=through[h : 2 * h])
+                gate[:] = through[: 2 * h]  # what was kept of this step is not read again: the inputs' slopes stand there
+                carry += np.matmul(back, through, out=a)
+                gu += through @ prev.T
+            g[f"U{d}"] = gu
+            g[f"E{d}"] = np.empty_like(self.p[f"E{d}"])
+            for i, row in enumerate(g[f"E{d}"]):
+                np.copyto(weights, kept[:, i])
+                row[:] = np.bincount(symbols, weights=weights.ravel(), minlength=PAD + 1)
         return loss, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11):

@@ -26,3 +26,33 @@ def test_rows_outside_the_sample_are_learned_from(spark):
     assert model.loss_gradient(x, y)[0] < start.loss_gradient(x, y)[0]
     none = L.train(docs.where("doc_id < 0"), F.lit(True))
     assert none.labels == []
+
+
+def test_gradient_is_the_slope_of_the_loss_and_costs_few_predictions():
+    from time import process_time
+
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 256, (L.WINDOW, 512)).astype(np.intp), rng.integers(0, 4, 512)
+    x[100:, ::3] = L.PAD
+    model = L.ByteGRU(list("abcd"))
+    g = model.loss_gradient(x, y)[1]
+    for k, value in model.p.items():
+        way = rng.standard_normal(value.shape).astype(np.float32)
+        at, losses = value.copy(), []
+        for step in (1e-3, -1e-3):
+            model.p[k] = at + np.float32(step) * way
+            losses.append(model.loss_gradient(x, y)[0])
+        model.p[k] = at
+        slope = float((g[k] * way).sum())
+        assert abs((losses[0] - losses[1]) / 2e-3 - slope) < 0.02 * abs(slope) + 2e-4, k
+
+    def cost(f):
+        times = []
+        for _ in range(5):
+            t = process_time()
+            f()
+            times.append(process_time() - t)
+        return min(times)
+
+    x, y = np.concatenate([x, x], axis=1), np.concatenate([y, y])
+    assert cost(lambda: model.loss_gradient(x, y)) < 5 * cost(lambda: model.positions(x))
