@@ -236,10 +236,10 @@ def _confirm(rep: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, label: np
     return low[group]
 
 
-def _confirmed(assigned: DataFrame, full: DataFrame) -> DataFrame:
+def _confirmed(assigned: DataFrame) -> DataFrame:
     """Edges (comp, rep, label) found inside groups of full sets.
 
-    assigned: bundle, block, tile (a task each), comp, rep, label, wander; full: rep, sig, s.
+    assigned: bundle, block, tile (a task each), comp, rep, label, wander, sig, s.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -258,7 +258,7 @@ def _confirmed(assigned: DataFrame, full: DataFrame) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("comp", "rep", "label"), columns, strict=True)})
 
-    return assigned.join(full, "rep").groupBy("bundle", "block", "tile").applyInArrow(run, "comp bigint, rep bigint, label bigint")
+    return assigned.groupBy("bundle", "block", "tile").applyInArrow(run, "comp bigint, rep bigint, label bigint")
 
 
 def _perhaps_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -303,21 +303,23 @@ def components(sets: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: s
     own = F.pmod(F.xxhash64("rep", F.lit(77)), F.col("blocks")).cast("int")
     dealt = materialize(dealt.select("comp", "rep", "n", "blocks", pivot.alias("pivot"), own.alias("own")), "dealt")
     docs_in = max(1, dealt.count())
+    # the text of each set: its least document's, and of that one's texts the one that has this set
+    places = ["rep", "n", "comp", "blocks", "pivot", "own"]
+    keys = reps.select("rep", "least", "h", "sig").join(dealt, "rep")
+    texts = docs.select(F.col(doc_id).cast("long").alias("least"), text_hash(text).alias("h"), F.col(text).cast("binary").alias("b"))
+    # no semi-join behind the filter: it would be moved in front of it, and all texts would be shuffled
+    texts = _perhaps_among(texts, keys, ["least", "h"]).groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select(*places, "sig", "b")
+    full = map_texts(texts, {c: F.col(c) for c in [*places, "sig"]}, "s binary", lambda ts: [[shingles(t).tobytes() for t in ts]], "b")
+    full = materialize(full, "full-sets")  # with its places, so that it is shuffled once
     # small groups go in bundles of about BLOCK documents; large ones by block, pivots to each block
     bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(math.ceil(docs_in / BLOCK)))).otherwise(F.col("comp"))
     block = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own")))
-    assigned = dealt.select(bundle.alias("bundle"), "comp", block.alias("block"), F.lit(0).alias("tile"), "rep", F.col("rep").alias("label"), F.lit(False).alias("wander"), "blocks")
+    assigned = full.select(bundle.alias("bundle"), "comp", block.alias("block"), F.lit(0).alias("tile"), "rep", F.col("rep").alias("label"), F.lit(False).alias("wander"), "blocks", "sig", "s")
     assigned = assigned.withColumn("block", F.when(F.col("blocks") == 1, -1).otherwise(F.col("block"))).drop("blocks")
-    # the text of each set: its least document's, and of that one's texts the one that has this set
-    keys = reps.join(dealt.select("rep"), "rep", "left_semi").select("rep", "least", "h", "sig")
-    texts = docs.select(F.col(doc_id).cast("long").alias("least"), text_hash(text).alias("h"), F.col(text).cast("binary").alias("b"))
-    texts = _perhaps_among(texts, keys, ["least", "h"]).join(keys.select("least", "h"), ["least", "h"], "left_semi").groupBy("least", "h").agg(F.first("b").alias("b")).join(keys, ["least", "h"]).select("rep", "sig", "b")
-    full = map_texts(texts, {"rep": F.col("rep"), "sig": F.col("sig")}, "s binary", lambda ts: [[shingles(t).tobytes() for t in ts]], "b")
-    full = materialize(full, "full-sets")
-    linked = materialize(_confirmed(assigned, full), "linked")
+    linked = materialize(_confirmed(assigned), "linked")
     big = dealt.where("blocks > 1").select("comp", "rep", "n", "blocks", "own")
     if not big.isEmpty():
-        linked = materialize(_across(linked, big, full), "linked-across")
+        linked = materialize(_across(linked, big, full.where("blocks > 1").select("rep", "sig", "s")), "linked-across")
     final = linked.groupBy("rep").agg(F.min("label").alias("group"))
     grouped = reps.join(final, "rep", "left").select("key", "least", "copies", F.coalesce("group", "rep").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component"), F.sum("copies").alias("rows")).where("rows > 1")
@@ -345,7 +347,8 @@ def _across(linked: DataFrame, big: DataFrame, full: DataFrame) -> DataFrame:
         home = open_.select("comp", F.col("own").alias("block"), each(F.col("tiles")).alias("tile"), "rep", "label", F.lit(False).alias("wander"))
         tile = F.pmod(F.xxhash64("rep", F.lit(78)), F.col("tiles")).cast("int")
         wanderers = open_.where("label <> top").select("comp", each(F.col("blocks")).alias("block"), tile.alias("tile"), "rep", "label", F.lit(True).alias("wander"))
-        again = _confirmed(home.union(wanderers).withColumn("bundle", F.col("comp")), full)
+        met = home.union(wanderers).withColumn("bundle", F.col("comp"))
+        again = _confirmed(met.join(_perhaps_among(full, open_.select("rep"), ["rep"]), "rep"))
         edges = again.select("comp", "rep", "label").union(now.select("comp", "rep", "label"))
         now = settled(edges, "across-2")
     return rest.select("comp", "rep", "label").union(now.select("comp", "rep", "label"))
