@@ -6,12 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that lower-case A-Z and leave all else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of texts that an Arrow stage holds as Python objects at once, whatever its batch holds; a longer text stands alone.
+STRETCH = 1 << 21
 #: Bytes 0x80-0xBF continue a UTF-8 code point.
 CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -65,7 +69,7 @@ def map_texts(
 ) -> DataFrame:
     """One Arrow stage over whole texts (as UTF-8 bytes, null stays None).
 
-    ``fn`` gets the texts of a batch and returns one list per column of ``fields``; the carried
+    ``fn`` gets the texts of a stretch of a batch (STRETCH bytes) and returns one list per column of ``fields``; the carried
     columns pass through. Only the named columns leave the scan, so extra columns of any name are
     never read. With ``raw`` the text itself is also passed through, as ``text``.
     """
@@ -76,7 +80,7 @@ def map_texts(
     out = T_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in stretches(batch)):
             n = b.num_columns - (not raw)
             texts = b.column(b.num_columns - 1)
             # the bytes of a text that is passed through are those of the same buffer
@@ -87,6 +91,15 @@ def map_texts(
     return picked.mapInArrow(run, schema)
 
 
+def stretches(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts, its last column, have at most STRETCH bytes beside the first one's."""
+    size = pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // STRETCH)) + 1).tolist(), b.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        if z > a:
+            yield b.slice(a, z - a)
+
+
 def T_schema(ddl: str) -> tuple[list[str], list[pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +41,13 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.fast = path, None
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.size = len(set(model["vocab"]) | set(self.special))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         vocab, first = model["vocab"], len(model["vocab"]) - len(pairs)
         if all(vocab.get(a + b) == first + i for i, (a, b) in enumerate(pairs)):
@@ -55,6 +55,13 @@ class Encoder:
             ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if i < first + len(pairs) and token not in self.special}
             self.fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def lib(self):
+        """The library's own tokenizer, read where a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, raw: bytes | None) -> np.ndarray:
         text = raw.decode("utf-8", "replace") if raw else ""
         if self.fast is None or any(s in text for s in self.special) or _ODD.search(text):
@@ -129,7 +136,7 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, doc_id: str =
         enc = encoder(vocabulary)
         ids = [enc.ids(t) for t in texts]
         keys = hilbert(cells(ids)) if ids else []
-        wide = "<u2" if enc.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        wide = "<u2" if enc.size <= 1 << 16 else "<u4"
         return [[len(x) + 1 for x in ids], list(keys), [np.append(x, END).astype(wide).tobytes() for x in ids]]
 
     made = map_texts(docs, {"doc_id": F.col(doc_id)}, "doc_tokens bigint, hilbert_key bigint, ids binary", run, text)
