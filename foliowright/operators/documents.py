@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,6 +134,11 @@ def finished(part, source: str, wrap: bool = True) -> str | None:
     return masking.render_escape(made, old)
 
 
+@lru_cache(maxsize=4)  # a document comes once for each language
+def _skeleton(source: str) -> tuple[str, ...]:
+    return tuple(markdown.skeleton(source))
+
+
 def splice(source: str, parts, wrap: bool = True) -> tuple[str, list[str]]:
     """(document with its translations, ids of those left out).
 
@@ -158,13 +163,13 @@ def splice(source: str, parts, wrap: bool = True) -> tuple[str, list[str]]:
             at = b
         return "".join([*out, source[at:]]), spans
 
-    want = [sig for sig, _, _ in markdown.outline(source)]
+    want = _skeleton(source)
     text, spans = build(todo)
     for r in range(ROUNDS + 1):
         if text == source:
             break
         got = markdown.outline(text)
-        if [sig for sig, _, _ in got] == want:
+        if tuple(sig for sig, _, _ in got) == want:
             break
         k = next((i for i, (x, y) in enumerate(zip(want, got, strict=False)) if x != y[0]), min(len(want), len(got)))
         a, b = got[k][1:] if k < len(got) else (got[-1][1:] if got else (0, 0))
