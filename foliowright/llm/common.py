@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of texts that an Arrow stage holds as Python objects at once, whatever its batch holds; a longer text stands alone.
 STRETCH = 1 << 21
+#: Bytes of a batch that goes to Python or comes back; Spark's own setting has 64 MB, which the JVM of every task holds twice.
+BATCH_BYTES = 1 << 22
 #: Bytes 0x80-0xBF continue a UTF-8 code point.
 CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -53,6 +55,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most about BATCH_BYTES from now on, unless the session has a limit of its own; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def bucket_of(id_col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -73,6 +82,7 @@ def map_texts(
     columns pass through. Only the named columns leave the scan, so extra columns of any name are
     never read. With ``raw`` the text itself is also passed through, as ``text``.
     """
+    small_batches(df.sparkSession)
     last = F.col(text) if raw else F.col(text).cast("binary")
     picked = df.select(*[c.alias(k) for k, c in carry.items()], last.alias("text" if raw else "__b"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "__b"]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, load, map_texts
+from .common import bucket_of, load, map_texts, small_batches
 
 WINDOW = 128  # bytes that the network reads at once
 HIDDEN = 8
@@ -277,6 +277,7 @@ def learn_all(rows: DataFrame, model: ByteGRU, counts: dict[str, int], text: str
         if seen:
             yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "w": pa.array([model.flat().tobytes()], pa.binary())})
 
+    small_batches(rows.sparkSession)
     picked, cores = rows.select(F.col(lang), F.col(text).cast("binary")), rows.sparkSession.sparkContext.defaultParallelism
     if picked.rdd.getNumPartitions() < cores:  # a small table in few pieces; a large one is not shuffled
         picked = picked.repartition(cores)
