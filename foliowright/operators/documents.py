@@ -28,10 +28,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False, options: Options | None = None) -> DataFrame:
+def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False, options: Options | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per segment, ids s1..sN in document order; a null or blank document yields none.
 
-    ``options`` switches front matter, comments and docstrings of code.
+    With ``kinds`` only segments of these kinds become rows and are masked; ids and seq count all. ``options`` switches front matter, comments and docstrings of code.
 
     One narrow Python stage: it needs the whole document, reads two columns and never shuffles. Put
     filters before it, Catalyst can't push them through.
@@ -41,6 +41,8 @@ def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content"
 
     def rows(d, text):
         for i, s in enumerate(find(text)):
+            if kinds and s.kind not in kinds:
+                continue
             original = text[s.start : s.end]
             masked, singles, pairs = masking.mask(original, dnt)
             ends = [(k, {"open": a, "close": z}) for k, (a, z) in pairs.items()]

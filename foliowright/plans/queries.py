@@ -163,8 +163,8 @@ def assemble_with_anchors(spark, d):
     """Translated headings keep an anchor of their old slug."""
     text = F.concat(F.lit("# About "), F.col("source"), F.lit("\n\n"), F.coalesce("text", F.lit("")))
     docs = D.spread(_t(spark, d, "documents").where("source IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc"), text.alias("content")))
-    seg = D.extract_segments(docs)
-    memory = T.translate(seg.where("kind = 'heading'"), ["fr"], T.Pseudo()).where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
+    seg = fixed(D.extract_segments(docs, kinds=("heading",)))  # written once, read by translation and assembly
+    memory = T.translate(seg, ["fr"], T.Pseudo()).where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
     made = D.assemble(docs, seg, memory, anchors=True)
     return made.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("anchors")).alias("anchors"), F.sum(F.size("reverted")).alias("reverted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
