@@ -8,6 +8,8 @@ piecewise-linear tanh, which keeps a step to a few passes over contiguous arrays
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from .common import bucket_of, load, map_texts, small_batches
 
 WINDOW = 128  # bytes that the network reads at once
 HIDDEN = 8
-LANES = 2048  # windows side by side
+BLOCK = 1024  # windows side by side, each in both directions
 TRAIN_DOCS = 1500  # bound: labelled documents a language
 TRAIN_WINDOWS = 4  # bound: windows a training document
 PASS_LANES = 1024  # windows of a step of the pass over all rows
@@ -53,108 +55,143 @@ class ByteGRU:
     def __getstate__(self):
         return self.__dict__ | {"room": {}}
 
-    def _direction(self, x, d: str, keep: bool):
-        """States (T, H, N) for symbols x (T, N); with keep also what backpropagation needs: gates and candidate (T, 3H, N),
-        the candidate's recurrent part (T, H, N). The gates' slope and offset lie in their weights."""
-        h2, steps, n = 2 * self.h, *x.shape
-        table, u = self.p[f"E{d}"].copy(), self.p[f"U{d}"].copy()
-        table[:h2] = table[:h2] * 0.25 + 0.5
-        u[:h2] *= 0.25
-        out = self._room("states" + d, steps, self.h, n)
-        state = np.zeros((self.h, n), np.float32)
-        kept, parts = (self._room(f"{name}{d}{keep}", steps if keep else 1, k, n) for name, k in (("kept", 3 * self.h), ("parts", self.h)))
-        gh = np.empty((h2, n), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+    def _states(self, x, keep: bool):
+        """States (T, 2, N, H) of both directions for symbols x (T, N): [t, 0] of the forward one at t, [t, 1] of the backward one
+        at T-1-t. With keep also what backpropagation needs: gates and candidate (T, 3, 2, N, H), the candidate's recurrent part
+        (T, 2, N, H), and the rows of both directions' tables that were read (T, 2, N).
+
+        A window's H numbers lie side by side, so a symbol's row of the table is copied at once. The gates' slope and
+        offset lie in their weights."""
+        h, (steps, n) = self.h, x.shape
+        read = np.empty((steps, 2, n), np.intp)
+        read[:, 0] = x
+        np.add(x[::-1], PAD + 1, out=read[:, 1])
+        table = np.stack([self.p["Ef"], self.p["Eb"]]).astype(np.float32).reshape(2, 3, h, PAD + 1).transpose(1, 0, 3, 2).reshape(3, 2 * (PAD + 1), h)
+        u = np.stack([self.p["Uf"], self.p["Ub"]]).astype(np.float32).reshape(2, 3, h, h).transpose(1, 0, 3, 2).copy()
+        table[:2] = table[:2] * QUARTER + np.float32(0.5)
+        u[:2] *= QUARTER
+        out = self._room("states", steps, 2, n, h)
+        kept, parts = (self._room(f"{name}{keep}", steps if keep else 1, *k, 2, n, h) for name, k in (("kept", (3,)), ("parts", ())))
+        state, gh = np.zeros((2, n, h), np.float32), np.empty((2, 2, n, h), np.float32)
+        for t in range(steps):
             gx, part = kept[t if keep else 0], parts[t if keep else 0]
-            np.take(table, x[t], axis=1, out=gx, mode="clip")
-            np.matmul(u[:h2], state, out=gh)
-            np.matmul(u[h2:], state, out=part)
-            gate, cand = gx[:h2], gx[h2:]
+            for rows, to in zip(table, gx, strict=True):
+                np.take(rows, read[t], axis=0, out=to, mode="clip")
+            np.matmul(state, u[:2], out=gh)
+            np.matmul(state, u[2], out=part)
+            gate, cand = gx[:2], gx[2]
             gate += gh
             np.clip(gate, ZERO, ONE, out=gate)
             nxt = out[t]
-            np.multiply(gate[self.h :], part, out=nxt)
+            np.multiply(gate[1], part, out=nxt)
             cand += nxt
             np.clip(cand, -ONE, ONE, out=cand)
             np.subtract(state, cand, out=nxt)
-            nxt *= gate[: self.h]
+            nxt *= gate[0]
             nxt += cand
             state = nxt
-        return out, kept, parts
-
-    def _probabilities(self, hf, hb):
-        w = self.p["W"]
-        logits = np.matmul(w[:, : self.h], hf)
-        logits += np.matmul(w[:, self.h :], hb)
-        logits += self.p["c"]
+        return out, kept, parts, read
+
+    def _probabilities(self, states, real=None):
+        """Probabilities (T, languages, N) of every position, 0 where ``real`` (T, N) is 0."""
+        w, (steps, _, n, h) = self.p["W"], states.shape
+        logits, second = (self._room(name, steps, len(self.labels), n) for name in ("logits", "second"))
+        np.matmul(w[:, :h], states[:, 0].transpose(0, 2, 1), out=logits)
+        logits += np.matmul(w[:, h:], states[::-1, 1].transpose(0, 2, 1), out=second)
+        logits += self.p["c"].astype(np.float32)
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        share = logits.sum(axis=1)
+        np.divide(ONE if real is None else real, share, out=share)
+        logits *= share[:, None, :]
         return logits
 
     def positions(self, x: np.ndarray) -> np.ndarray:
         """Probabilities (T, languages, N) of every position of the windows x (T, N)."""
-        return self._probabilities(self._direction(x, "f", False)[0], self._direction(x, "b", False)[0])
+        out = np.empty((len(x), len(self.labels), x.shape[1]), np.float32)
+        for a in range(0, x.shape[1], BLOCK):
+            out[:, :, a : a + BLOCK] = self._probabilities(self._states(x[:, a : a + BLOCK], False)[0])
+        return out
 
-    def loss_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
-        """Mean cross entropy over positions that hold a byte, and its gradient through time; ``weight`` of each window for the gradient."""
-        h, (steps, n) = self.h, x.shape
-        ways = {d: self._direction(x, d, True) for d in "fb"}
-        dl = self._probabilities(ways["f"][0], ways["b"][0])
+    def loss_gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ask_loss: bool = True):
+        """Mean cross entropy over positions that hold a byte (None if not asked for), and its gradient through time; ``weight`` of
+        each window for the gradient.
+
+        Both are sums over blocks of windows, so what is kept of the steps stays small."""
         real = (x < PAD).astype(np.float32)
         total = max(1.0, float(real.sum()))
-        lanes = np.arange(n)
-        right = dl[:, y, lanes]
-        loss = -float((np.log(np.maximum(right, 1e-9)) * real).sum()) / total
-        dl[:, y, lanes] = right - 1
-        dl *= (real / total if weight is None else real * (weight / total).astype(np.float32))[:, None, :]
-        g = {"c": dl.sum(axis=(0, 2))[:, None], "W": np.empty_like(self.p["W"])}
-        symbols = x.ravel()
-        a, b, carry = (np.empty((h, n), np.float32) for _ in range(3))
-        c, slope, through = (np.empty((k * h, n), np.float32) for k in (2, 2, 3))  # through: slopes at the recurrent sums
-        one, weights = np.empty((h, n), np.float32), np.empty((steps, n))
-        for k, (d, (states, kept, parts)) in enumerate(ways.items()):
-            w, u = self.p["W"][:, k * h : (k + 1) * h], self.p[f"U{d}"]
-            g["W"][:, k * h : (k + 1) * h] = np.matmul(dl, states.transpose(0, 2, 1)).sum(axis=0)
-            dhs = np.matmul(w.T, dl, out=self._room("slopes", steps, h, n))
-            gu = np.zeros_like(u)
-            back = np.ascontiguousarray(u.T)
-            carry[:] = 0
-            start = np.zeros((h, n), np.float32)
-            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-                before = t - 1 if d == "f" else t + 1
-                prev = states[before] if 0 <= before < steps else start
-                gate, cand = kept[t, : 2 * h], kept[t, 2 * h :]
-                dh = dhs[t]
-                dh += carry
-                # a gate's slope is 1/4 strictly between 0 and 1 a candidate's 1 strictly between -1 and 1, else 0
-                np.subtract(ONE, gate, out=c)
-                np.multiply(gate, c, out=slope)
-                np.ceil(slope, out=slope)
-                np.multiply(dh, gate[:h], out=carry)
-                np.subtract(prev, cand, out=one)
-                one *= dh
-                np.abs(cand, out=a)
-                np.subtract(ONE, a, out=a)
-                np.ceil(a, out=a)
-                a *= c[:h]
-                np.multiply(dh, a, out=b)
-                np.multiply(b, gate[h:], out=through[2 * h :])
-                cand[:] = b
-                b *= parts[t]
-                one *= QUARTER
-                b *= QUARTER
-                np.multiply(one, slope[:h], out=through[:h])
-                np.multiply(b, slope[h:], out=through[h : 2 * h])
-                gate[:] = through[: 2 * h]  # what was kept of this step is not read again: the inputs' slopes stand there
-                carry += np.matmul(back, through, out=a)
-                gu += through @ prev.T
-            g[f"U{d}"] = gu
-            g[f"E{d}"] = np.empty_like(self.p[f"E{d}"])
-            for i, row in enumerate(g[f"E{d}"]):
-                np.copyto(weights, kept[:, i])
-                row[:] = np.bincount(symbols, weights=weights.ravel(), minlength=PAD + 1)
-        return loss, g
+        share = real * np.float32(1 / total) if weight is None else real * (weight / total).astype(np.float32)
+        losses, g = [], {}
+        for a in range(0, x.shape[1], BLOCK):
+            part = slice(a, a + BLOCK)
+            lost, more = self._block_gradient(x[:, part], y[part], real[:, part] if ask_loss else None, share[:, part])
+            losses.append(lost)
+            g = {k: g[k] + v for k, v in more.items()} if g else more
+        return sum(losses) / total if ask_loss else None, g
+
+    def _block_gradient(self, x, y, real, share):
+        """Sum of the cross entropy where ``real`` is 1 (None without it), and the gradient of its sum by ``share``."""
+        h, (steps, n) = self.h, x.shape
+        states, kept, parts, read = self._states(x, True)
+        dl = self._probabilities(states)
+        lost = None if real is None else -float((np.log(np.maximum(dl[:, y, np.arange(n)], 1e-9)) * real).sum())
+        dl -= y == np.arange(len(self.labels))[:, None]
+        dl *= share[:, None, :]
+        g = {"c": dl.sum(axis=(0, 2))[:, None]}
+        g["W"] = np.concatenate([np.matmul(dl, s).sum(axis=0) for s in (states[:, 0], states[::-1, 1])], axis=1)
+        w = [np.ascontiguousarray(self.p["W"][:, k * h : (k + 1) * h], np.float32) for k in (0, 1)]
+        dl = dl.transpose(0, 2, 1)
+        back = np.stack([self.p["Uf"], self.p["Ub"]]).astype(np.float32)
+        back[:, : 2 * h] *= QUARTER
+        gu = np.zeros((2, 3 * h, h), np.float32)
+        # a step's slopes at the sums of: update gate, reset gate, candidate, the candidate's recurrent part
+        slopes, through = np.empty((4, 2, n, h), np.float32), np.empty((2, n, 3 * h), np.float32)
+        recurrent = np.arange(2 * n)[:, None] + 2 * n * np.array([0, 1, 3])
+        # a symbol's slopes are added up two numbers at a time, as one complex number (an odd H as it is)
+        pair = np.complex64 if h % 2 == 0 else np.float32
+        ge = np.zeros((3, 2 * (PAD + 1) * h), np.float32)
+        sums, added = ge.view(pair), slopes[:3].reshape(3, -1).view(pair)
+        width = sums.shape[1] // (2 * (PAD + 1))
+        places = np.arange(sums.shape[1]).reshape(-1, width)  # in the sums, by row of the tables
+        to = np.empty((2 * n, width), np.intp)
+        dh, carry, more, start = (np.zeros((2, n, h), np.float32) for _ in range(4))
+        c, slope = (np.empty((2, 2, n, h), np.float32) for _ in range(2))
+        update, reset, outer, inner = slopes
+        for t in range(steps - 1, -1, -1):
+            prev = states[t - 1] if t else start
+            gate, cand = kept[t, :2], kept[t, 2]
+            np.matmul(dl[t], w[0], out=dh[0])
+            np.matmul(dl[steps - 1 - t], w[1], out=dh[1])
+            dh += carry
+            # a gate's slope is 1/4 (in the weights) strictly between 0 and 1, a candidate's 1 strictly between -1 and 1, else 0
+            np.subtract(ONE, gate, out=c)
+            np.multiply(gate, c, out=slope)
+            np.ceil(slope, out=slope)
+            np.multiply(dh, gate[0], out=carry)
+            np.subtract(prev, cand, out=update)
+            update *= dh
+            update *= slope[0]
+            np.abs(cand, out=outer)
+            np.subtract(ONE, outer, out=outer)
+            np.ceil(outer, out=outer)
+            outer *= c[0]
+            outer *= dh
+            np.multiply(outer, gate[1], out=inner)
+            np.multiply(outer, parts[t], out=reset)
+            reset *= slope[1]
+            np.take(slopes.reshape(-1, h), recurrent, axis=0, out=through.reshape(2 * n, 3, h), mode="clip")
+            carry += np.matmul(through, back, out=more)
+            gu += np.matmul(through.transpose(0, 2, 1), prev)
+            np.take(places, read[t].ravel(), axis=0, out=to, mode="clip")
+            for total, part in zip(sums, added, strict=True):
+                np.add.at(total, to.ravel(), part)
+        gu[:, : 2 * h] *= QUARTER
+        ge[:2] *= QUARTER
+        ge = ge.reshape(3, 2, PAD + 1, h).transpose(1, 0, 3, 2).reshape(2, 3 * h, PAD + 1)
+        for k, d in enumerate("fb"):
+            g[f"U{d}"] = gu[k]
+            g[f"E{d}"] = ge[k]
+        return lost, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11):
         """Adam on random batches of windows x (N, T) with labels y (N,)."""
@@ -164,7 +201,7 @@ class ByteGRU:
         by = [b for b in by if len(b)]
         for s in range(1, steps + 1):
             pick = np.concatenate([rng.choice(b, max(1, batch // len(by))) for b in by])
-            self._step(self.loss_gradient(np.ascontiguousarray(x[pick].T), y[pick])[1], m, v, s, rate * min(1.0, 2.0 * (1 - s / (steps + 1))))
+            self._step(self.loss_gradient(np.ascontiguousarray(x[pick].T), y[pick], ask_loss=False)[1], m, v, s, rate * min(1.0, 2.0 * (1 - s / (steps + 1))))
         return self
 
     def _step(self, g, m, v, s: int, lr: float) -> None:
@@ -187,30 +224,13 @@ class ByteGRU:
             at += n
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        """Language and probability of whole texts; all windows of a batch run side by side."""
+        """Language and probability of whole texts; the windows of a batch run BLOCK side by side."""
         sums = np.zeros((len(texts), len(self.labels)))
         lengths = np.array([len(t or b"") for t in texts])
-        owners, lanes = [], []
-
-        def flush():
-            block = np.stack(lanes, axis=1)
-            p = self.positions(block)
-            p *= (block < PAD)[:, None, :]
-            np.add.at(sums, np.array(owners), p.sum(axis=0).T)
-            owners.clear()
-            lanes.clear()
-
-        for i, t in enumerate(texts if self.labels else []):
-            for at in range(0, lengths[i], WINDOW):
-                part = np.frombuffer(t, np.uint8, min(WINDOW, lengths[i] - at), at).astype(np.intp)
-                if len(part) < WINDOW:
-                    part = np.concatenate([part, np.full(WINDOW - len(part), PAD, np.intp)])
-                owners.append(i)
-                lanes.append(part)
-                if len(lanes) == LANES:
-                    flush()
-        if lanes:
-            flush()
+        for owners, x in window_blocks(enumerate(t or b"" for t in texts) if self.labels else (), BLOCK):
+            p = self._probabilities(self._states(x, False)[0], (x < PAD).astype(np.float32)).sum(axis=0)
+            first = np.flatnonzero(np.diff(owners, prepend=-1))
+            sums[owners[first]] += np.add.reduceat(p, first, axis=1, dtype=np.float64).T
         sums /= np.maximum(lengths, 1)[:, None]
         best = sums.argmax(axis=1) if len(texts) and self.labels else []
         names, scores = [], []
@@ -235,11 +255,32 @@ def has_letter(raw: bytes | None) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def window_blocks(texts: Iterable[tuple[int, bytes]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of all texts in order, ``size`` at once (fewer at the end): the numbers that stand beside their texts (N) and
+    their symbols (T, N), a text's last window padded. The numbers' array is used again."""
+    rows, numbers, filled = np.empty((size, WINDOW), np.int16), np.empty(size, np.intp), 0
+    for number, text in texts:
+        at = 0
+        while at < len(text):
+            n = min(size - filled, -(-(len(text) - at) // WINDOW))
+            part = np.frombuffer(text, np.uint8, min(n * WINDOW, len(text) - at), at)
+            to = rows[filled : filled + n].reshape(-1)
+            to[: len(part)] = part
+            to[len(part) :] = PAD
+            numbers[filled : filled + n] = number
+            at += len(part)
+            filled += n
+            if filled == size:
+                yield numbers, np.ascontiguousarray(rows.T)
+                filled = 0
+    if filled:
+        yield numbers[:filled], np.ascontiguousarray(rows[:filled].T)
+
+
 def windows_of(text: bytes):
     """Symbols of every window of a text, the last one padded."""
-    for at in range(0, len(text), WINDOW):
-        part = np.frombuffer(text, np.uint8, min(WINDOW, len(text) - at), at).astype(np.intp)
-        yield part if len(part) == WINDOW else np.concatenate([part, np.full(WINDOW - len(part), PAD, np.intp)])
+    for _, x in window_blocks([(0, text)], 1):
+        yield x[:, 0].astype(np.intp)
 
 
 def learn_all(rows: DataFrame, model: ByteGRU, counts: dict[str, int], text: str = "text", lang: str = "lang") -> ByteGRU:
@@ -254,26 +295,11 @@ def learn_all(rows: DataFrame, model: ByteGRU, counts: dict[str, int], text: str
 
     def run(batches):
         m, v = ({k: np.zeros_like(a) for k, a in model.p.items()} for _ in range(2))
-        lanes, labels, seen, s = [], [], 0, 0
-
-        def step():
-            nonlocal seen, s
-            s += 1
-            y = np.array(labels)
-            model._step(model.loss_gradient(np.stack(lanes, axis=1), y, share[y])[1], m, v, s, PASS_RATE)
-            seen += len(lanes)
-            lanes.clear()
-            labels.clear()
-
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for w in windows_of(t.as_py()):
-                    lanes.append(w)
-                    labels.append(place[k])
-                    if len(lanes) == PASS_LANES:
-                        step()
-        if lanes:
-            step()
+        seen = 0
+        rows = ((place[k], t.as_py()) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for s, (y, x) in enumerate(window_blocks(rows, PASS_LANES), 1):
+            model._step(model.loss_gradient(x, y, share[y], False)[1], m, v, s, PASS_RATE)
+            seen += len(y)
         if seen:
             yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "w": pa.array([model.flat().tobytes()], pa.binary())})
 
