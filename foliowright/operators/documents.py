@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
 
 import pandas as pd
@@ -19,6 +19,7 @@ SEGMENTS = (
     "doc string, seq int, seg_id string, kind string, note string, start int, end int, original string, masked string, "
     "singles map<int,string>, pairs map<int,struct<open:string,close:string>>, passive boolean"
 )
+ASSEMBLED = "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,6 +29,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def finder(options: Options | None = None, html: bool = False) -> Callable[[str], Iterable[markdown.Segment]]:
+    """What finds the segments of a text, as the options switch it."""
+    o = options or Options()
+    return markdown.html_segments if html else partial(markdown.segments, front_matter=o.front_matter, comments=o.code_comments, docstrings=o.docstrings)
+
+
+def segments_of(text: str, find: Callable[[str], Iterable[markdown.Segment]], dnt: tuple[str, ...] = (), kinds: tuple[str, ...] | None = None) -> Iterator[tuple]:
+    """The fields of SEGMENTS behind doc, of every segment of a text."""
+    for i, s in enumerate(find(text)):
+        if kinds and s.kind not in kinds:
+            continue
+        original = text[s.start : s.end]
+        masked, singles, pairs = masking.mask(original, dnt)
+        ends = [(k, {"open": a, "close": z}) for k, (a, z) in pairs.items()]
+        yield i, f"s{i + 1}", s.kind, s.note, s.start, s.end, original, masked, list(singles.items()), ends, not any(c.isalpha() for c in masking.plain_text(masked))
+
+
 def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content", dnt: tuple[str, ...] = (), html: bool = False, options: Options | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per segment, ids s1..sN in document order; a null or blank document yields none.
 
@@ -36,18 +54,8 @@ def extract_segments(docs: DataFrame, doc: str = "doc", content: str = "content"
     One narrow Python stage: it needs the whole document, reads two columns and never shuffles. Put
     filters before it, Catalyst can't push them through.
     """
-    o = options or Options()
-    find = markdown.html_segments if html else partial(markdown.segments, front_matter=o.front_matter, comments=o.code_comments, docstrings=o.docstrings)
-
-    def rows(d, text):
-        for i, s in enumerate(find(text)):
-            if kinds and s.kind not in kinds:
-                continue
-            original = text[s.start : s.end]
-            masked, singles, pairs = masking.mask(original, dnt)
-            ends = [(k, {"open": a, "close": z}) for k, (a, z) in pairs.items()]
-            yield d, i, f"s{i + 1}", s.kind, s.note, s.start, s.end, original, masked, list(singles.items()), ends, not any(c.isalpha() for c in masking.plain_text(masked))
-
+    find = finder(options, html)
+    rows = lambda d, text: ((d, *s) for s in segments_of(text, find, dnt, kinds))
     picked = docs.select(F.col(doc).cast("string").alias("__doc"), F.col(content).alias("__content")).where(F.trim("__content") != "")
     return flat_rows(picked, [], ["__doc", "__content"], SEGMENTS, rows)
 
@@ -78,18 +86,19 @@ def assemble(docs: DataFrame, segments: DataFrame, memory: DataFrame, doc: str =
     picked = segments.select("doc", "seg_id", "kind", "start", "end", "masked", "singles", "pairs").join(memory, ["doc", "seg_id"])
     per = picked.groupBy("doc", "lang").agg(F.collect_list(F.struct("start", "end", "seg_id", "kind", "text", "masked", "singles", "pairs")).alias("parts"))
     full = docs.select(F.col(doc).cast("string").alias("doc"), F.col(content).alias("content")).join(per, "doc")
+    rows = lambda d, lang, source, parts: [assembled(d, lang, source, parts, anchors, unwrapped)]
+    used = {"doc": "__doc", "lang": "__lang", "content": "__content", "parts": "__parts"}
+    return flat_rows(full.select(*[F.col(c).alias(n) for c, n in used.items()]), [], list(used.values()), ASSEMBLED, rows)
 
-    def rows(d, lang, source, parts):
-        try:
-            text, reverted = splice(source, parts, lang is None or lang.lower() not in unwrapped)
-            text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
-            yield d, lang, text, reverted, added, text == source, None
-        except Exception as e:  # a document that can't be assembled stays as it is
-            yield d, lang, source, [], [], True, f"{type(e).__name__}: {e}"
 
-    made = "doc string, lang string, text string, reverted array<string>, anchors array<string>, identical boolean, error string"
-    used = {"doc": "__doc", "lang": "__lang", "content": "__content", "parts": "__parts"}
-    return flat_rows(full.select(*[F.col(c).alias(n) for c, n in used.items()]), [], list(used.values()), made, rows)
+def assembled(doc: str | None, lang: str | None, source: str, parts, anchors: bool = False, unwrapped: frozenset[str] = frozenset()) -> tuple:
+    """The fields of ASSEMBLED, of one document and language."""
+    try:
+        text, reverted = splice(source, parts, lang is None or lang.lower() not in unwrapped)
+        text, added = heading_anchors.preserve(source, text) if anchors else (text, [])
+        return doc, lang, text, reverted, added, text == source, None
+    except Exception as e:  # a document that can't be assembled stays as it is
+        return doc, lang, source, [], [], True, f"{type(e).__name__}: {e}"
 
 
 # Where the text of a kind of segment stands; all others stand in Markdown.

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import markdown
 from ..functions import scalars as S
@@ -13,6 +14,7 @@ from ..options import Options
 from . import documents as D
 from . import translation as T
 from .islands import fixed
+from .stages import flat_rows
 
 FALLBACK = "nmt"  # the engine that is one itself
 
@@ -68,3 +70,30 @@ def run(
     outcomes = fixed(T.translate(segments, langs, engine, helper, options.max_attempts, ratios, options.batch_segments, options.batch_chars, done))
     memory = outcomes.where("text IS NOT NULL").select("doc", "lang", "seg_id", "text")
     return Result(segments, outcomes, D.assemble(picked, segments, memory, anchors=options.preserve_anchors, unwrapped=unwrapped))
+
+
+def round_trip(
+    docs: DataFrame, langs: list[str], engine: T.Translator, options: Options = Options(), fallback: T.Translator | None = None,
+    ratios: dict[str, tuple[float, float]] | None = None, unwrapped: frozenset[str] = frozenset(), dnt: tuple[str, ...] = (),
+) -> DataFrame:
+    """What assemble makes of the translations of documents (doc, content) into each language, where nothing in between is kept.
+
+    One narrow stage: a document goes from its segments to its last language inside one task, so neither segments nor
+    answers are written, shuffled or joined back by id. Each row is a document of its own, also one whose id is null or
+    another one's. A document has no row where no segment got a translation; null and blank ones have no segments.
+    """
+    find, anchors, fields = D.finder(options), options.preserve_anchors, StructType.fromDDL(D.SEGMENTS).names[1:]
+    helper = fallback if fallback_applies(options, fallback is not None) else None
+    answer = T.answerer(engine, helper, options.max_attempts, ratios, options.batch_segments, options.batch_chars)
+
+    def rows(d, source):
+        parts = [dict(zip(fields, s, strict=True)) for s in D.segments_of(source, find, dnt)]
+        parts = [p for p in parts if not p["passive"]]
+        asked = [p["masked"] for p in parts], [[k for k, _ in p["singles"]] for p in parts], [[k for k, _ in p["pairs"]] for p in parts]
+        for lang in langs if parts else ():
+            given = [p | {"text": text} for p, (text, *_) in zip(parts, answer(lang, *asked), strict=True) if text is not None]
+            if given:
+                yield D.assembled(d, lang, source, given, anchors, unwrapped)
+
+    picked = docs.select(F.col("doc").cast("string").alias("__doc"), F.col("content").alias("__content")).where(F.trim("__content") != "")
+    return flat_rows(picked, [], ["__doc", "__content"], D.ASSEMBLED, rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pyarrow as pa
@@ -195,20 +195,11 @@ def ask(call, items: list) -> list[str | None]:
 OUTCOMES = "doc string, lang string, seg_id string, kind string, text string, via string, retries int, errors array<string>, source string"
 
 
-def translate(
-    segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None,
-    max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS, done: DataFrame | None = None,
-) -> DataFrame:
-    """Outcome of every active segment and language: engine, else retries, else fallback, else source.
-
-    One narrow stage: a failing text is asked again inside its task, so a lost task repeats only its own
-    rows. Requests hold at most ``max_items`` texts and ``max_chars`` characters of a document, retries
-    RETRY_SEGMENTS. Answers become one line where the source is one and are checked (tags, length by
-    language, in lower case) before they count. ``done`` (doc, lang) names what is not to be translated.
-    """
-    rows = jobs(segments.where("NOT passive").select("doc", "seg_id", "kind", "masked", F.map_keys("singles").alias("s"), F.map_keys("pairs").alias("g")), langs)
-    if done is not None:
-        rows = rows.join(done.select("doc", "lang"), ["doc", "lang"], "left_anti")
+def answerer(
+    engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None,
+    max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS,
+) -> Callable[[str, list[str], Sequence[Iterable[int]], Sequence[Iterable[int]]], Iterator[tuple]]:
+    """A function of a language and the masked texts, single tags and pairs of a document's segments, as ``translate`` asks and checks."""
     limits = {k.lower(): v for k, v in (ratios or {}).items()}
 
     def check(src, singles, pairs, got, lang):
@@ -222,7 +213,7 @@ def translate(
             errors.append("length ratio")
         return errors
 
-    def outcome(lang, src, singles, pairs):
+    def answer(lang, src, singles, pairs):
         """(text, via, retries, errors) of the segments of one document and language."""
         text, via = [None] * len(src), ["source"] * len(src)
         retries, errors, given = [0] * len(src), [[] for _ in src], [None] * len(src)
@@ -248,6 +239,24 @@ def translate(
                 todo = left
         return zip(text, via, retries, errors, strict=True)
 
+    return answer
+
+
+def translate(
+    segments: DataFrame, langs: list[str], engine: Translator, fallback: Translator | None = None, attempts: int = 2, ratios: dict[str, tuple[float, float]] | None = None,
+    max_items: int = BATCH_SEGMENTS, max_chars: int = BATCH_CHARS, done: DataFrame | None = None,
+) -> DataFrame:
+    """Outcome of every active segment and language: engine, else retries, else fallback, else source.
+
+    One narrow stage: a failing text is asked again inside its task, so a lost task repeats only its own
+    rows. Requests hold at most ``max_items`` texts and ``max_chars`` characters of a document, retries
+    RETRY_SEGMENTS. Answers become one line where the source is one and are checked (tags, length by
+    language, in lower case) before they count. ``done`` (doc, lang) names what is not to be translated.
+    """
+    rows = jobs(segments.where("NOT passive").select("doc", "seg_id", "kind", "masked", F.map_keys("singles").alias("s"), F.map_keys("pairs").alias("g")), langs)
+    if done is not None:
+        rows = rows.join(done.select("doc", "lang"), ["doc", "lang"], "left_anti")
+    answer = answerer(engine, fallback, attempts, ratios, max_items, max_chars)
     made_fields = StructType.fromDDL(OUTCOMES)
     names, types = [f.name for f in made_fields], [to_arrow_type(f.dataType) for f in made_fields]
 
@@ -261,7 +270,7 @@ def translate(
                 out = []
                 for (doc, lang), part in groups.items():
                     ids, kinds, src, singles, pairs = zip(*part, strict=True)
-                    for seg_id, kind, masked, (text, via, retries, errors) in zip(ids, kinds, src, outcome(lang, list(src), singles, pairs), strict=True):
+                    for seg_id, kind, masked, (text, via, retries, errors) in zip(ids, kinds, src, answer(lang, list(src), singles, pairs), strict=True):
                         out.append((doc, lang, seg_id, kind, text, via, retries, errors, masked))
                 if out:
                     yield batch_of(out, names, types)
